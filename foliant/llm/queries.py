@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import copies, packing, splitting
+from foliant.llm import copies, names, packing, splitting
 from foliant.session import table
 
 
@@ -16,6 +16,18 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse_anchors(table(spark, d, "ill_anchors"))
 
 
+def _names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "ill_anchors"), table(spark, d, "toc_entries"), table(spark, d, "toc_authors")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_names(*_names(spark, d))
+
+
+def p2_variants(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_variants(*_names(spark, d))
+
+
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), "doc_id", "text")
 
@@ -32,7 +44,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"), "doc_id", "text", keep_text=False).where("pos = 0").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p8_containers, p8_items, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_variants, p8_containers, p8_items, p10_found, p10_pieces)}
 
 _KEYED = r"""
 WITH keyed AS (
