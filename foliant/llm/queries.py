@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import copies, names, packing, splitting
+from foliant.llm import copies, leaks, names, packing, splitting
 from foliant.session import table
 
 
@@ -36,6 +36,14 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(p8_items(spark, d), "doc_id").withColumnRenamed("keys", "doc_ids")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"), "doc_id", "text")
 
@@ -44,7 +52,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"), "doc_id", "text", keep_text=False).where("pos = 0").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_variants, p8_containers, p8_items, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_variants, p8_containers, p8_items, p9_found, p9_passages, p10_found, p10_pieces)}
 
 _KEYED = r"""
 WITH keyed AS (
