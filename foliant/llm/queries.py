@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import copies, leaks, names, packing, splitting
+from foliant.llm import copies, leaks, names, packing, scans, splitting
 from foliant.session import table
 
 
@@ -28,6 +28,14 @@ def p2_variants(spark: SparkSession, d: str) -> DataFrame:
     return names.name_variants(*_names(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.find_faults(table(spark, d, "layout_blocks"))
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(table(spark, d, "layout_blocks"))
+
+
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), "doc_id", "text")
 
@@ -52,7 +60,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"), "doc_id", "text", keep_text=False).where("pos = 0").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_variants, p8_containers, p8_items, p9_found, p9_passages, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_variants, p5_found, p5_paragraphs, p8_containers, p8_items, p9_found, p9_passages, p10_found, p10_pieces)}
 
 _KEYED = r"""
 WITH keyed AS (
