@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import copies, leaks, names, packing, scans, splitting
+from foliant.llm import copies, leaks, matching, names, packing, scans, splitting
 from foliant.session import table
 
 
@@ -36,6 +36,14 @@ def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scans.paragraphs(table(spark, d, "layout_blocks"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_articles(*_names(spark, d)).select("anchor_id", "entry_id")
+
+
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_articles(*_names(spark, d)).select("anchor_id", "entry_id", F.round("confidence", 4).alias("confidence"))
+
+
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), "doc_id", "text")
 
@@ -60,7 +68,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"), "doc_id", "text", keep_text=False).where("pos = 0").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_variants, p5_found, p5_paragraphs, p8_containers, p8_items, p9_found, p9_passages, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_variants, p5_found, p5_paragraphs, p6_found, p6_matches, p8_containers, p8_items, p9_found, p9_passages, p10_found, p10_pieces)}
 
 _KEYED = r"""
 WITH keyed AS (
