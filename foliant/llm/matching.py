@@ -11,8 +11,9 @@ from foliant.session import cut
 PRIOR = -2.5
 TITLE = ((0.9, 5.0), (0.78, 3.5), (0.65, 1.5), (0.5, -1.0), (0.0, -5.0))
 PAGE_SAME, PAGE_NEAR, PAGE_INSIDE, PAGE_OTHER = 3.0, 1.0, -1.0, -4.0
-LEAF_SAME, LEAF_NEAR, LEAF_OTHER = 1.5, 0.0, -2.0
-AUTHOR_SAME, AUTHOR_OTHER = 2.0, -2.0
+END_SAME, END_OTHER = 1.0, -1.5
+LEAF_SAME, LEAF_NEAR, LEAF_OTHER = 1.5, 0.0, -1.2
+AUTHOR_SAME, AUTHOR_OTHER = 2.0, -2.5
 PART_SAME, PART_OTHER, PART_ONE = 1.0, -5.0, -1.5
 _ACCENTS = ("äöüáéíóúàèìòùâêîôûñçåøőű", "aouaeiouaeiouaeiouncaoou")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
@@ -24,15 +25,15 @@ def _plain(c: Column) -> Column:
 
 def _compact(c: Column) -> Column:
     """Letters and digits only, without a bracketed remark or a leading number."""
-    c = F.regexp_replace(_plain(c), r"\[?abstract\]?\s*$|\(abstract\)", "")
+    c = F.regexp_replace(_plain(c), r"[\s\-–—:,(\[]*\b(?:abstract|article|full text|vol\.? [0-9]+)\b[\s)\].\"'”]*$", "")
     c = F.regexp_replace(c, r"^\s*[0-9]+\s*[.)]\s*", "")
     return F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")
 
 
-def _words(c: Column) -> Column:
+def _words(c: Column, letters: int = 5) -> Column:
     """Beginnings of the words of four letters or more; words broken by a hyphen and a blank count as one."""
     c = F.regexp_replace(_plain(c), r"-\s+", "")
-    return F.array_distinct(F.transform(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 5)))
+    return F.array_distinct(F.transform(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, letters)))
 
 
 def _part(c: Column) -> Column:
@@ -58,6 +59,13 @@ def _first_page(c: Column) -> Column:
     return F.regexp_extract(c, r"([0-9]{1,7})", 1).try_cast("int")
 
 
+def _last_page(c: Column) -> Column:
+    """The last page of a range; 703-7 ends at 707. 0 if there is none."""
+    a, b = F.regexp_extract(c, r"([0-9]{1,7})\s*[-–]\s*[a-zA-Z]?([0-9]{1,7})", 1), F.regexp_extract(c, r"([0-9]{1,7})\s*[-–]\s*[a-zA-Z]?([0-9]{1,7})", 2)
+    whole = F.concat(F.substring(a, F.lit(1), F.greatest(F.length(a) - F.length(b), F.lit(0))), b)
+    return F.coalesce(whole.try_cast("int"), F.lit(0))
+
+
 def _issues(df: DataFrame, group: str, issn: str, volume: Column, issue: Column, year: Column) -> DataFrame:
     """One row per issue: its most frequent issn, volume, number and year."""
     said = df.select(F.col(group).alias("g"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in (("issn", F.col(issn)), ("vol", volume), ("iss", issue), ("yr", year))])).alias("s"))
@@ -88,8 +96,9 @@ def request_units(anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(_compact("article_title"), F.lit("")).alias("title_key"),
         F.coalesce(F.regexp_replace(F.lower("article_title"), r"\s+", " "), F.lit("")).alias("title"),
         F.coalesce(_first_page(F.col("journal_pages")), F.lit(0)).alias("page"),
+        _last_page(F.col("journal_pages")).alias("last_page"),
         F.regexp_extract(F.get(F.get("leaf_ranges", F.lit(0)), F.lit(0)), r"([0-9]{1,7})", 1).try_cast("int").alias("leaf"),
-        _words("article_author").alias("authors"),
+        _words(F.col("article_author"), 4).alias("authors"),
         F.col("issn"),
         _roman(F.col("volume")).alias("vol"),
         F.regexp_extract("issue", r"([0-9]+)", 1).alias("iss"),
@@ -101,6 +110,7 @@ def request_units(anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max("title").alias("title"),
         F.first("title_key").alias("title_key"),
         F.first("page").alias("page"),
+        F.max("last_page").alias("last_page"),
         F.percentile_approx("leaf", 0.5).alias("leaf"),
         F.max_by("authors", F.struct(F.size("authors"), "authors")).alias("authors"),
     )
@@ -112,7 +122,7 @@ def _pair_scores(pairs: DataFrame) -> DataFrame:
     n = F.least(F.length("title_key"), F.length("entry_key"))
     longest = F.greatest(F.length("title_key"), F.length("entry_key"))
     edit = 1 - F.levenshtein("title_key", "entry_key") / longest
-    cut_short = F.when(n >= 18, 1 - F.levenshtein(F.expr("left(title_key, least(length(title_key), length(entry_key)))"), F.expr("left(entry_key, least(length(title_key), length(entry_key)))")) / n).otherwise(0.0)
+    cut_short = F.when(n >= 12, 1 - F.levenshtein(F.expr("left(title_key, least(length(title_key), length(entry_key)))"), F.expr("left(entry_key, least(length(title_key), length(entry_key)))")) / n).otherwise(0.0)
     shared, few = F.size(F.array_intersect("title_words", "entry_words")), F.least(F.size("title_words"), F.size("entry_words"))
     contained = F.when(few >= 3, 0.95 * shared / few).otherwise(0.0)
     t = F.greatest(edit, cut_short, contained)
@@ -123,6 +133,8 @@ def _pair_scores(pairs: DataFrame) -> DataFrame:
     known = (F.col("page") > 0) & (F.col("start_page") > 0)
     gap = F.abs(F.col("page") - F.col("start_page"))
     page = F.when(known, F.when(gap == 0, PAGE_SAME).when(gap <= 1, PAGE_NEAR).when(F.col("page").between(F.col("start_page"), F.col("end_page")), PAGE_INSIDE).otherwise(PAGE_OTHER)).otherwise(0.0)
+    ends = known & (F.col("last_page") > 0) & (F.col("end_page") > 0)
+    page = page + F.when(ends, F.when(F.abs(F.col("last_page") - F.col("end_page")) == 0, END_SAME).when(F.abs(F.col("last_page") - F.col("end_page")) > 1, END_OTHER).otherwise(0.0)).otherwise(0.0)
     off = F.abs(F.col("leaf") - F.col("start_index") - F.col("shift"))
     leaf = F.when(off.isNull(), 0.0).when(off <= 2, LEAF_SAME).when(off <= 4, LEAF_NEAR).otherwise(LEAF_OTHER)
     both = (F.size("authors") > 0) & (F.size("entry_authors") > 0)
@@ -184,7 +196,7 @@ def match_articles(anchors: DataFrame, entries: DataFrame, authors: DataFrame, l
     without ids or in issues without a partner give none.
     """
     units, members = request_units(anchors)
-    names = authors.where("name IS NOT NULL").select("entry_id", F.explode(_words("name")).alias("w")).groupBy("entry_id").agg(F.collect_set("w").alias("entry_authors"))
+    names = authors.where("name IS NOT NULL").select("entry_id", F.explode(_words(F.col("name"), 4)).alias("w")).groupBy("entry_id").agg(F.collect_set("w").alias("entry_authors"))
     e = entries.where("entry_id IS NOT NULL AND item IS NOT NULL").select(
         "entry_id",
         F.col("item").alias("ge"),
