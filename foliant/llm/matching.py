@@ -66,11 +66,12 @@ def _last_page(c: Column) -> Column:
     return F.coalesce(whole.try_cast("int"), F.lit(0))
 
 
-def _issues(df: DataFrame, group: str, issn: str, volume: Column, issue: Column, year: Column) -> DataFrame:
-    """One row per issue: its most frequent issn, volume, number and year."""
-    said = df.select(F.col(group).alias("g"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in (("issn", F.col(issn)), ("vol", volume), ("iss", issue), ("yr", year))])).alias("s"))
-    n = said.select("g", "s.k", "s.v").where("v IS NOT NULL AND v <> ''").groupBy("g", "k", "v").count()
-    best = n.groupBy("g", "k").agg(F.max_by("v", F.struct("count", "v")).alias("v"))
+def _issues(df: DataFrame) -> DataFrame:
+    """One row per issue g: its most frequent issn, volume, number and year; from (g, issn, vol, iss, yr)."""
+    seen = df.groupBy("g", "issn", "vol", "iss", "yr").count()
+    said = seen.select("g", F.col("count").alias("n"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in ("issn", "vol", "iss", "yr")])).alias("s"))
+    n = said.where("s.v IS NOT NULL AND s.v <> ''").groupBy("g", "s.k", "s.v").agg(F.sum("n").alias("n"))
+    best = n.groupBy("g", "k").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
     pick = lambda k: F.max(F.when(F.col("k") == k, F.col("v"))).alias(k)
     return best.groupBy("g").agg(pick("issn"), pick("vol"), pick("iss"), pick("yr"))
 
@@ -92,29 +93,38 @@ def request_units(anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests with the same issue, title and first page become one unit, however many there are: (units, members)."""
     rows = anchors.where("anchor_id IS NOT NULL").select(
         "anchor_id",
-        F.coalesce(F.regexp_replace(_plain("identifier"), r"[^\p{L}\p{N}]+", " "), F.lit("")).alias("raw_issue"),
+        F.xxhash64(F.coalesce(F.regexp_replace(F.lower("identifier"), r"[^\p{L}\p{N}]+", ""), F.lit(""))).alias("g"),
+        "article_title",
         F.coalesce(_compact("article_title"), F.lit("")).alias("title_key"),
-        F.coalesce(F.regexp_replace(F.lower("article_title"), r"\s+", " "), F.lit("")).alias("title"),
         F.coalesce(_first_page(F.col("journal_pages")), F.lit(0)).alias("page"),
-        _last_page(F.col("journal_pages")).alias("last_page"),
+        "journal_pages",
         F.regexp_extract(F.get(F.get("leaf_ranges", F.lit(0)), F.lit(0)), r"([0-9]{1,7})", 1).try_cast("int").alias("leaf"),
-        _words(F.col("article_author"), 4).alias("authors"),
-        F.col("issn"),
-        _roman(F.col("volume")).alias("vol"),
+        "article_author",
+        "issn",
+        F.regexp_extract("volume", r"([0-9]+)", 1).try_cast("bigint").cast("string").alias("vol"),
         F.regexp_extract("issue", r"([0-9]+)", 1).alias("iss"),
         F.regexp_extract("yr", r"(\d{4})", 1).alias("yr"),
     )
-    rows = cut(rows.withColumn("g", F.trim("raw_issue")).drop("raw_issue").withColumn("unit", F.xxhash64("g", "title_key", "page")), "requests")
+    rows = cut(rows.withColumn("unit", F.xxhash64("g", "title_key", "page")).drop("title_key"), "requests")
     units = rows.groupBy("unit").agg(
         F.first("g").alias("ga"),
-        F.max("title").alias("title"),
-        F.first("title_key").alias("title_key"),
+        F.max("article_title").alias("raw"),
         F.first("page").alias("page"),
-        F.max("last_page").alias("last_page"),
-        F.percentile_approx("leaf", 0.5).alias("leaf"),
-        F.max_by("authors", F.struct(F.size("authors"), "authors")).alias("authors"),
+        F.max("journal_pages").alias("pages"),
+        F.percentile_approx("leaf", 0.5, 100).alias("leaf"),
+        F.max_by("article_author", F.struct(F.length("article_author"), "article_author")).alias("author"),
     )
-    return units, rows
+    title = F.coalesce(F.regexp_replace(F.lower("raw"), r"\s+", " "), F.lit(""))
+    units = units.select("unit", "ga", "page", "leaf", title.alias("title"), F.coalesce(_compact("raw"), F.lit("")).alias("title_key"), F.coalesce(_last_page(F.col("pages")), F.lit(0)).alias("last_page"), F.coalesce(_words(F.col("author"), 4), F.array().cast("array<string>")).alias("authors"))
+    return units.withColumn("title_words", _words(F.col("title"))).withColumn("part_a", _part("title")).drop("title"), rows
+
+
+def _keys(words: str, page: str) -> Column:
+    """What candidates share: two title words, in a row or with one between (or the only one), or the first printed page."""
+    w = F.col(words)
+    pair = lambda step: F.when(F.size(w) > step, F.zip_with(F.slice(w, 1, F.size(w) - step), F.slice(w, step + 1, F.size(w) - step), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>"))
+    two = F.when(F.size(w) > 1, F.array_union(pair(1), pair(2))).otherwise(w)
+    return F.explode(F.array_union(two, F.when(F.col(page) > 0, F.array(F.col(page).cast("string"))).otherwise(F.array().cast("array<string>"))))
 
 
 def _pair_scores(pairs: DataFrame) -> DataFrame:
@@ -139,16 +149,14 @@ def _pair_scores(pairs: DataFrame) -> DataFrame:
     leaf = F.when(off.isNull(), 0.0).when(off <= 2, LEAF_SAME).when(off <= 4, LEAF_NEAR).otherwise(LEAF_OTHER)
     both = (F.size("authors") > 0) & (F.size("entry_authors") > 0)
     author = F.when(both, F.when(F.arrays_overlap("authors", "entry_authors"), AUTHOR_SAME).otherwise(AUTHOR_OTHER)).otherwise(0.0)
-    return pairs.withColumn("odds", F.lit(PRIOR) + title + F.when(n > 0, part).otherwise(0.0) + page + leaf + author).withColumn("t", t)
+    return pairs.withColumn("odds", F.lit(PRIOR) + title + F.when(n > 0, part).otherwise(0.0) + page + leaf + author)
 
 
-def candidate_pairs(units: DataFrame, entries: DataFrame, aligned: DataFrame) -> DataFrame:
-    """Units and entries of aligned issues that share a beginning of a title word, or the first printed page."""
-    keys = lambda df, words, page: F.explode(F.array_union(F.transform(df[words], lambda w: F.concat(F.lit("w"), w)), F.when(df[page] > 0, F.array(F.concat(F.lit("p"), df[page].cast("string")))).otherwise(F.array().cast("array<string>"))))
-    a = units.join(aligned, "ga").withColumn("title_words", _words("title"))
-    e = entries
-    found = a.select("unit", "ge", keys(a, "title_words", "page").alias("key")).join(e.select("entry_id", "ge", keys(e, "entry_words", "start_page").alias("key")), ["ge", "key"]).select("unit", "entry_id", "ge").distinct()
-    return found.join(a.drop("ga"), ["unit", "ge"]).join(e.drop("ge"), "entry_id")
+def candidate_pairs(units: DataFrame, entries: DataFrame) -> DataFrame:
+    """Units and entries of aligned issues that share two neighbouring title words or the first printed page."""
+    a, e = units.select("unit", "ge", _keys("title_words", "page").alias("key")), entries.select("entry_id", "ge", _keys("entry_words", "start_page").alias("key"))
+    found = a.join(e, ["ge", "key"]).select("unit", "ge", "entry_id").distinct()
+    return found.join(units, ["unit", "ge"]).drop("ge").join(entries.drop("ge"), "entry_id")
 
 
 def propagate(edges: DataFrame, least_change: float = 0.005, most_rounds: int = 12, rounds_a_step: int = 3) -> DataFrame:
@@ -158,10 +166,14 @@ def propagate(edges: DataFrame, least_change: float = 0.005, most_rounds: int =
     article to at most one article asked for: edges exclude each other at a unit if their entries begin on different known
     pages (slot_e), and at an entry if their units do (slot_a); variants of one article and those without a page (slot 0)
     don't. A message from a unit to an entry is 1 / (1 + the strongest other claims on the unit, one per slot), and the
-    other way round. Rounds go on until no marginal changes by more than ``least_change``, in written steps; a node's edges
+    other way round; an edge that nothing excludes has no messages to wait for. Rounds go on until no marginal changes by more than ``least_change``, in written steps; a node's edges
     are the distinct candidates of one issue.
     """
-    state = edges.select("unit", "entry_id", "slot_a", "slot_e", F.exp(F.least(F.col("odds"), F.lit(30.0))).alias("w"), F.lit(1.0).alias("to_e"), F.lit(1.0).alias("to_a"), F.lit(-1.0).alias("p"))
+    mixed = lambda node, slot: F.max(slot).over(W.partitionBy(node)) != F.min(slot).over(W.partitionBy(node))
+    edges = edges.repartition("unit").withColumn("_c", mixed("unit", "slot_e")).repartition("entry_id").withColumn("_c", F.col("_c") | mixed("entry_id", "slot_a"))
+    edges = cut(edges, "contested")
+    free = edges.where("NOT _c").select("unit", "entry_id", (1 / (1 + F.exp(-F.col("odds")))).alias("p"))
+    state = edges.where("_c").select("unit", "entry_id", "slot_a", "slot_e", F.exp(F.least(F.col("odds"), F.lit(30.0))).alias("w"), F.lit(1.0).alias("to_e"), F.lit(1.0).alias("to_a"), F.lit(-1.0).alias("p"))
 
     def half(s: DataFrame, node: str, slot: str, sent: str, out: str) -> DataFrame:
         claim = F.col("w") * F.col(sent)
@@ -183,7 +195,7 @@ def propagate(edges: DataFrame, least_change: float = 0.005, most_rounds: int =
         change = state.agg(F.max(F.abs(F.col("p") - F.col("_before")))).first()[0] or 0.0
         state = state.drop("_before")
         if change <= least_change or rounds >= most_rounds:
-            return state.select("unit", "entry_id", "p")
+            return state.select("unit", "entry_id", "p").unionByName(free)
 
 
 def match_articles(anchors: DataFrame, entries: DataFrame, authors: DataFrame, least: float = 0.5) -> DataFrame:
@@ -196,27 +208,27 @@ def match_articles(anchors: DataFrame, entries: DataFrame, authors: DataFrame, l
     without ids or in issues without a partner give none.
     """
     units, members = request_units(anchors)
+    none = F.array().cast("array<string>")
     names = authors.where("name IS NOT NULL").select("entry_id", F.explode(_words(F.col("name"), 4)).alias("w")).groupBy("entry_id").agg(F.collect_set("w").alias("entry_authors"))
-    e = entries.where("entry_id IS NOT NULL AND item IS NOT NULL").select(
+    e = entries.where("entry_id IS NOT NULL AND item IS NOT NULL").withColumn("title", F.coalesce("title", F.lit("")))
+    sides = _issues(members), _issues(e.select(F.col("item").alias("g"), "issn", _roman(F.col("volume")).alias("vol"), F.regexp_extract("issue", r"([0-9]+)", 1).alias("iss"), "yr"))
+    aligned = align_issues(*sides)
+    e = e.select(
         "entry_id",
         F.col("item").alias("ge"),
-        "issn",
-        F.coalesce(_compact("title"), F.lit("")).alias("entry_key"),
-        _words(F.coalesce("title", F.lit(""))).alias("entry_words"),
-        _part(F.coalesce("title", F.lit(""))).alias("part_e"),
+        _compact("title").alias("entry_key"),
+        _words(F.col("title")).alias("entry_words"),
+        _part("title").alias("part_e"),
         F.coalesce("start_page_number", F.lit(0)).alias("start_page"),
         F.coalesce("end_page_number", F.lit(0)).alias("end_page"),
         F.when(F.col("start_page_index").between(0, 100000), F.col("start_page_index")).alias("start_index"),
-        "volume", "issue", "yr",
-    )
-    sides = _issues(members, "g", "issn", F.col("vol"), F.col("iss"), F.col("yr")), _issues(e, "ge", "issn", _roman(F.col("volume")), F.regexp_extract("issue", r"([0-9]+)", 1), F.col("yr"))
-    aligned = align_issues(*sides)
-    e = e.drop("issn", "volume", "issue", "yr").join(names, "entry_id", "left").withColumn("entry_authors", F.coalesce("entry_authors", F.array().cast("array<string>")))
-    pairs = candidate_pairs(cut(units, "units"), cut(e, "entries"), aligned).withColumn("part_a", _part("title")).withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
-    pairs = cut(_pair_scores(pairs.withColumn("shift", F.lit(None).cast("int"))).where("odds > -9"), "pairs")
-    # the usual shift between leaves and page indexes, from pairs that are sure without it
-    shift = pairs.where("odds >= 3 AND leaf IS NOT NULL AND start_index IS NOT NULL").groupBy("ge").agg(F.percentile_approx(F.col("leaf") - F.col("start_index"), 0.5).alias("shift"))
-    scored = _pair_scores(pairs.drop("odds", "t", "shift").join(shift, "ge", "left")).where("odds > -4")
-    edges = cut(scored.select("unit", "entry_id", F.col("page").alias("slot_a"), F.col("start_page").alias("slot_e"), "odds"), "edges")
+    )
+    e = cut(e.join(names, "entry_id", "left").withColumn("entry_authors", F.coalesce("entry_authors", none)), "entries")
+    units = cut(units.join(aligned, "ga").drop("ga"), "units")
+    # the usual shift between leaves and page indexes of an issue, from units and entries with the same first page
+    beside = units.where("page > 0").join(e.where("start_page > 0"), (units["ge"] == e["ge"]) & (units["page"] == e["start_page"]))
+    shift = beside.groupBy(units["ge"]).agg(F.percentile_approx(F.col("leaf") - F.col("start_index"), 0.5, 100).alias("shift"))
+    pairs = candidate_pairs(units.join(shift, "ge", "left"), e)
+    edges = cut(_pair_scores(pairs).where("odds > -4").select("unit", "entry_id", F.col("page").alias("slot_a"), F.col("start_page").alias("slot_e"), "odds"), "edges")
     sure = propagate(edges).where(F.col("p") >= least)
     return salted_join(members.select("anchor_id", "unit"), sure, ["unit"]).select("anchor_id", "entry_id", F.col("p").alias("confidence"))
