@@ -15,6 +15,8 @@ END_SAME, END_OTHER = 1.0, -1.5
 LEAF_SAME, LEAF_NEAR, LEAF_OTHER = 1.5, 0.0, -1.2
 AUTHOR_SAME, AUTHOR_OTHER = 2.0, -2.5
 PART_SAME, PART_OTHER, PART_ONE = 1.0, -5.0, -1.5
+LONG_TITLE = 6  # words from which neighbours alone are enough as keys
+LEAST_ODDS = -2.0  # pairs below are never accepted and hardly weigh on others
 _ACCENTS = ("äöüáéíóúàèìòùâêîôûñçåøőű", "aouaeiouaeiouaeiouncaoou")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
@@ -31,9 +33,9 @@ def _compact(c: Column) -> Column:
 
 
 def _words(c: Column, letters: int = 5) -> Column:
-    """Beginnings of the words of four letters or more; words broken by a hyphen and a blank count as one."""
+    """Hashes of the beginnings of the words of four letters or more; words broken by a hyphen and a blank count as one."""
     c = F.regexp_replace(_plain(c), r"-\s+", "")
-    return F.array_distinct(F.transform(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, letters)))
+    return F.array_distinct(F.transform(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4), lambda w: F.hash(F.substring(w, 1, letters))))
 
 
 def _part(c: Column) -> Column:
@@ -115,16 +117,19 @@ def request_units(anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max_by("article_author", F.struct(F.length("article_author"), "article_author")).alias("author"),
     )
     title = F.coalesce(F.regexp_replace(F.lower("raw"), r"\s+", " "), F.lit(""))
-    units = units.select("unit", "ga", "page", "leaf", title.alias("title"), F.coalesce(_compact("raw"), F.lit("")).alias("title_key"), F.coalesce(_last_page(F.col("pages")), F.lit(0)).alias("last_page"), F.coalesce(_words(F.col("author"), 4), F.array().cast("array<string>")).alias("authors"))
+    units = units.select("unit", "ga", "page", "leaf", title.alias("title"), F.coalesce(_compact("raw"), F.lit("")).alias("title_key"), F.coalesce(_last_page(F.col("pages")), F.lit(0)).alias("last_page"), F.coalesce(_words(F.col("author"), 4), F.array().cast("array<int>")).alias("authors"))
     return units.withColumn("title_words", _words(F.col("title"))).withColumn("part_a", _part("title")).drop("title"), rows
 
 
 def _keys(words: str, page: str) -> Column:
-    """What candidates share: two title words, in a row or with one between (or the only one), or the first printed page."""
+    """What candidates share: two neighbouring title words (in short titles also with one between; the only one), or the
+    first printed page; and what that is worth. Two are needed, but a short title's or the page is enough alone."""
     w = F.col(words)
-    pair = lambda step: F.when(F.size(w) > step, F.zip_with(F.slice(w, 1, F.size(w) - step), F.slice(w, step + 1, F.size(w) - step), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>"))
-    two = F.when(F.size(w) > 1, F.array_union(pair(1), pair(2))).otherwise(w)
-    return F.explode(F.array_union(two, F.when(F.col(page) > 0, F.array(F.col(page).cast("string"))).otherwise(F.array().cast("array<string>"))))
+    pair = lambda step: F.when(F.size(w) > step, F.zip_with(F.slice(w, 1, F.size(w) - step), F.slice(w, step + 1, F.size(w) - step), lambda x, y: F.concat_ws(" ", x.cast("string"), y.cast("string")))).otherwise(F.array().cast("array<string>"))
+    two = F.when(F.size(w) >= LONG_TITLE, pair(1)).when(F.size(w) > 1, F.array_union(pair(1), pair(2))).otherwise(w.cast("array<string>"))
+    own = F.when(F.col(page) > 0, F.array(F.struct(F.xxhash64("ge", page).alias("k"), F.lit(2).alias("c")))).otherwise(F.array().cast("array<struct<k:bigint,c:int>>"))
+    worth = F.when(F.size(two) <= 3, 2).otherwise(1)
+    return F.inline(F.concat(F.transform(F.array_distinct(two), lambda x: F.struct(F.xxhash64("ge", x, F.lit("w")).alias("k"), worth.alias("c"))), own))
 
 
 def _pair_scores(pairs: DataFrame) -> DataFrame:
@@ -153,9 +158,10 @@ def _pair_scores(pairs: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(units: DataFrame, entries: DataFrame) -> DataFrame:
-    """Units and entries of aligned issues that share two neighbouring title words or the first printed page."""
-    a, e = units.select("unit", "ge", _keys("title_words", "page").alias("key")), entries.select("entry_id", "ge", _keys("entry_words", "start_page").alias("key"))
-    found = a.join(e, ["ge", "key"]).select("unit", "ge", "entry_id").distinct()
+    """Units and entries of aligned issues that share two keys, or one that is enough; see _keys."""
+    a, e = units.select("unit", "ge", _keys("title_words", "page")), entries.select("entry_id", "ge", _keys("entry_words", "start_page"))
+    met = a.join(e.select("k", "entry_id", F.col("c").alias("d")), "k")
+    found = met.groupBy("unit", "ge", "entry_id").agg(F.sum(F.greatest("c", "d")).alias("shared")).where("shared >= 2").drop("shared")
     return found.join(units, ["unit", "ge"]).drop("ge").join(entries.drop("ge"), "entry_id")
 
 
@@ -208,7 +214,7 @@ def match_articles(anchors: DataFrame, entries: DataFrame, authors: DataFrame, l
     without ids or in issues without a partner give none.
     """
     units, members = request_units(anchors)
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<int>")
     names = authors.where("name IS NOT NULL").select("entry_id", F.explode(_words(F.col("name"), 4)).alias("w")).groupBy("entry_id").agg(F.collect_set("w").alias("entry_authors"))
     e = entries.where("entry_id IS NOT NULL AND item IS NOT NULL").withColumn("title", F.coalesce("title", F.lit("")))
     sides = _issues(members), _issues(e.select(F.col("item").alias("g"), "issn", _roman(F.col("volume")).alias("vol"), F.regexp_extract("issue", r"([0-9]+)", 1).alias("iss"), "yr"))
@@ -229,6 +235,6 @@ def match_articles(anchors: DataFrame, entries: DataFrame, authors: DataFrame, l
     beside = units.where("page > 0").join(e.where("start_page > 0"), (units["ge"] == e["ge"]) & (units["page"] == e["start_page"]))
     shift = beside.groupBy(units["ge"]).agg(F.percentile_approx(F.col("leaf") - F.col("start_index"), 0.5, 100).alias("shift"))
     pairs = candidate_pairs(units.join(shift, "ge", "left"), e)
-    edges = cut(_pair_scores(pairs).where("odds > -4").select("unit", "entry_id", F.col("page").alias("slot_a"), F.col("start_page").alias("slot_e"), "odds"), "edges")
+    edges = cut(_pair_scores(pairs).where(F.col("odds") > LEAST_ODDS).select("unit", "entry_id", F.col("page").alias("slot_a"), F.col("start_page").alias("slot_e"), "odds"), "edges")
     sure = propagate(edges).where(F.col("p") >= least)
     return salted_join(members.select("anchor_id", "unit"), sure, ["unit"]).select("anchor_id", "entry_id", F.col("p").alias("confidence"))
