@@ -121,26 +121,35 @@ def request_units(anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return units.withColumn("title_words", _words(F.col("title"))).withColumn("part_a", _part("title")).drop("title"), rows
 
 
-def _keys(words: str, page: str) -> Column:
-    """What candidates share: two neighbouring title words (in short titles also with one between; the only one), or the
-    first printed page; and what that is worth. Two are needed, but a short title's or the page is enough alone."""
-    w = F.col(words)
-    pair = lambda step: F.when(F.size(w) > step, F.zip_with(F.slice(w, 1, F.size(w) - step), F.slice(w, step + 1, F.size(w) - step), lambda x, y: F.concat_ws(" ", x.cast("string"), y.cast("string")))).otherwise(F.array().cast("array<string>"))
-    two = F.when(F.size(w) >= LONG_TITLE, pair(1)).when(F.size(w) > 1, F.array_union(pair(1), pair(2))).otherwise(w.cast("array<string>"))
-    own = F.when(F.col(page) > 0, F.array(F.struct(F.xxhash64("ge", page).alias("k"), F.lit(2).alias("c")))).otherwise(F.array().cast("array<struct<k:bigint,c:int>>"))
-    worth = F.when(F.size(two) <= 3, 2).otherwise(1)
-    return F.inline(F.concat(F.transform(F.array_distinct(two), lambda x: F.struct(F.xxhash64("ge", x, F.lit("w")).alias("k"), worth.alias("c"))), own))
+def _keyed(df: DataFrame, node: str, words: str, page: str) -> DataFrame:
+    """(node, k, c): what candidates share, two neighbouring title words (in short titles also with one between; the only
+    one), or the first printed page; and what that is worth. Two are needed, but a short title's or the page is enough."""
+    w = F.col("w")
+    pair = lambda step: F.zip_with(F.slice(w, 1, F.size(w) - step), F.slice(w, step + 1, F.size(w) - step), lambda x, y: F.hash(x, y))
+    two = F.when(F.size(w) >= LONG_TITLE, pair(1)).when(F.size(w) > 2, F.concat(pair(1), pair(2))).when(F.size(w) == 2, pair(1)).otherwise(w)
+    keyed = df.select(node, "ge", F.col(words).alias("w"), page).withColumn("two", F.array_distinct(two)).withColumn("c", F.when(F.size("two") <= 3, 2).otherwise(1))
+    each = keyed.select(node, "ge", "c", F.explode("two").alias("x")).select(node, F.xxhash64("ge", "x").alias("k"), "c")
+    return each.unionByName(df.where(F.col(page) > 0).select(node, F.xxhash64("ge", page, F.lit("p")).alias("k"), F.lit(2).alias("c")))
+
+
+def candidate_pairs(units: DataFrame, entries: DataFrame) -> DataFrame:
+    """Units and entries of aligned issues that share two keys, or one that is enough; see _keyed."""
+    a = _keyed(units, "unit", "title_words", "page")
+    e = _keyed(entries, "entry_id", "entry_words", "start_page").withColumnRenamed("c", "d")
+    found = a.join(e, "k").groupBy("unit", "entry_id").agg(F.sum(F.greatest("c", "d")).alias("shared")).where("shared >= 2").drop("shared")
+    return found.join(entries, "entry_id").join(units, ["unit", "ge"]).drop("ge")
 
 
 def _pair_scores(pairs: DataFrame) -> DataFrame:
     """Adds ``odds``: the log odds of a candidate pair from its own attributes."""
     n = F.least(F.length("title_key"), F.length("entry_key"))
     longest = F.greatest(F.length("title_key"), F.length("entry_key"))
-    edit = 1 - F.levenshtein("title_key", "entry_key") / longest
-    cut_short = F.when(n >= 12, 1 - F.levenshtein(F.expr("left(title_key, least(length(title_key), length(entry_key)))"), F.expr("left(entry_key, least(length(title_key), length(entry_key)))")) / n).otherwise(0.0)
+    edit = F.when(F.col("title_key") == F.col("entry_key"), 1.0).otherwise(1 - F.levenshtein("title_key", "entry_key") / longest)
+    cut_short = F.when((n >= 12) & (n < 0.9 * longest), 1 - F.levenshtein(F.expr("left(title_key, least(length(title_key), length(entry_key)))"), F.expr("left(entry_key, least(length(title_key), length(entry_key)))")) / n).otherwise(0.0)
     shared, few = F.size(F.array_intersect("title_words", "entry_words")), F.least(F.size("title_words"), F.size("entry_words"))
     contained = F.when(few >= 3, 0.95 * shared / few).otherwise(0.0)
-    t = F.greatest(edit, cut_short, contained)
+    pairs = pairs.withColumn("t", F.greatest(edit, cut_short, contained))  # a column of its own, to be computed once
+    t = F.col("t")
     title = F.when(n == 0, 0.0)
     for least, odds in TITLE:
         title = title.when(t >= least, odds)
