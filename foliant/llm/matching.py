@@ -166,14 +166,6 @@ def _pair_scores(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("odds", F.lit(PRIOR) + title + F.when(n > 0, part).otherwise(0.0) + page + leaf + author)
 
 
-def candidate_pairs(units: DataFrame, entries: DataFrame) -> DataFrame:
-    """Units and entries of aligned issues that share two keys, or one that is enough; see _keys."""
-    a, e = units.select("unit", "ge", _keys("title_words", "page")), entries.select("entry_id", "ge", _keys("entry_words", "start_page"))
-    met = a.join(e.select("k", "entry_id", F.col("c").alias("d")), "k")
-    found = met.groupBy("unit", "ge", "entry_id").agg(F.sum(F.greatest("c", "d")).alias("shared")).where("shared >= 2").drop("shared")
-    return found.join(units, ["unit", "ge"]).drop("ge").join(entries.drop("ge"), "entry_id")
-
-
 def propagate(edges: DataFrame, least_change: float = 0.005, most_rounds: int = 12, rounds_a_step: int = 3) -> DataFrame:
     """Marginals of a matching by sum-product messages: (unit, entry_id, p).
 
