@@ -76,7 +76,7 @@ def hocr_words(spark: SparkSession, path: str) -> DataFrame:
     word = r"(?s)ocrx_word['\"][^>]*?bbox ([0-9]+) ([0-9]+) ([0-9]+) ([0-9]+)[^>]*>(.*?)</span>"
     parts = F.arrays_zip(*[F.regexp_extract_all("p", F.lit(word), k).alias(f"g{k}") for k in range(1, 6)])
     w = pages.select("file", leaf.alias("leaf"), F.explode(parts).alias("w"))
-    return w.select("file", "leaf", *[F.col("w")[str(k)].cast("int").alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))], F.regexp_replace(F.col("w")["4"], "<[^>]*>", "").alias("text"))
+    return w.select("file", "leaf", *[F.col("w")[f"g{k + 1}"].cast("int").alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))], F.regexp_replace(F.col("w")["g5"], "<[^>]*>", "").alias("text"))
 
 
 def containers(spark: SparkSession, path: str, with_sim_only: bool = False) -> DataFrame:
