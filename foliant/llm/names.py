@@ -99,6 +99,7 @@ def _spread(names: DataFrame) -> DataFrame:
 
 ERROR_RATE = 0.05  # of typing a word with one error
 NEW_NAME = 1 / 15  # per letter: how likely a name never seen is spelled just so
+LONGEST_WORD = 64  # letters; anything longer is no typed name and stands for itself
 REPEAT = 0.05  # how likely the same error is made once more
 
 
@@ -112,7 +113,7 @@ def attribute(words: DataFrame) -> DataFrame:
     frequency, then alphabet. An attributed word's own canonical form is followed once more.
     """
     gone = F.array_distinct(F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.length("word"))))))
-    keyed = words.where("length(word) > 2").select("scope", "word", "n", F.explode(gone).alias("part"))
+    keyed = words.where(f"length(word) BETWEEN 3 AND {LONGEST_WORD}").select("scope", "word", "n", F.explode(gone).alias("part"))
     v, c = keyed.alias("v"), keyed.alias("c")
     more = (F.col("c.n") > F.col("v.n")) | ((F.col("c.n") == F.col("v.n")) & (F.col("c.word") < F.col("v.word")))
     pairs = v.join(c, (F.col("v.scope") == F.col("c.scope")) & (F.col("v.part") == F.col("c.part")) & more).select(
