@@ -13,8 +13,10 @@ def judged_pairs(anchors: DataFrame, entries: DataFrame, on: str = "item", toler
     """Each anchor (anchor_id, title, names, a_start, a_end) with each entry (entry_id, ord, e_title, e_names, e_start,
     e_end) of its item, and flags: title_hit, author_hit, same, near. An item has a few hundred entries at most; the join is an
     equi-join on the item."""
-    j = anchors.join(entries, on)
-    title = F.coalesce(overlap(tokens(F.col("title")), tokens(F.col("e_title"))) >= 0.6, F.lit(False))
+    # titles become words once a row, not once a pair
+    j = anchors.withColumn("_t", F.array_distinct(tokens(F.col("title")))).join(entries.withColumn("_e", F.array_distinct(tokens(F.col("e_title")))), on)
+    j = j.withColumn("overlap", F.coalesce(overlap(F.col("_t"), F.col("_e")), F.lit(0.0))).drop("_t", "_e")
+    title = F.col("overlap") >= 0.6
     author = F.coalesce(F.arrays_overlap("names", "e_names"), F.lit(False))
     same = F.coalesce((F.col("a_start") == F.col("e_start")) & (F.col("a_end") == F.col("e_end")), F.lit(False))
     near = F.coalesce(F.abs(F.col("a_start") - F.col("e_start")) <= tolerance, F.lit(False))
@@ -46,7 +48,7 @@ def findable(pairs: DataFrame, anchor: str = "anchor_id", overshoot: int = 2) ->
 def best_blend(pairs: DataFrame, anchor: str = "anchor_id", least: int = 55) -> DataFrame:
     """(anchor, entry_id, score): the entry with the largest 55 * title + 40 * place + 5 * author in hundredths, first of
     equals; place counts 10, 6 or 0 tenths. Entries under ``least`` don't count."""
-    title = F.floor(100 * overlap(tokens(F.col("title")), tokens(F.col("e_title")))).cast("int")
+    title = F.floor(100 * F.col("overlap")).cast("int")
     place = F.when(F.col("same"), 40).when(F.col("near"), 24).otherwise(0)
     score = (F.floor(title * 55 / 100).cast("int") + place + F.when(F.col("author_hit"), 5).otherwise(0)).cast("int")
     s = pairs.withColumn("score", score).where(F.col("score") >= least)
