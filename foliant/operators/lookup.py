@@ -41,3 +41,24 @@ def most_frequent_slug(titles: DataFrame) -> DataFrame:
     """(title, slug): the identifier each title is most often served from, first by name of equals."""
     n = titles.where("title IS NOT NULL AND slug IS NOT NULL").groupBy("title", "slug").count()
     return n.groupBy("title").agg(F.min_by("slug", F.struct((-F.col("count")).alias("n"), "slug")).alias("slug"))
+
+
+def answers_from_contents(candidates: DataFrame, requests: DataFrame, entries: DataFrame) -> DataFrame:
+    """(request_id, item, tier, rank, strategy, confidence, entry_id): contents entries that fit a request's title and pages.
+
+    The score is the overlap of words in hundredths, and 30 more if the first page is the entry's; from 60 on it answers, with
+    confidence 70 + a quarter of the score, 10 less for titles of under three words in common and no page. Per request and item
+    the best entry, first of equals. Entries meet requests through the candidate items, not as all pairs.
+    """
+    from foliant.functions.pages import parse_pages
+    from foliant.functions.text import STOP_LOOKUP, overlap, tokens
+
+    r = requests.select("request_id", F.array_distinct(tokens(F.col("title"), STOP_LOOKUP, 4)).alias("rt"), parse_pages(F.col("pages"))["first"].alias("page"))
+    e = entries.select("item", "entry_id", F.array_distinct(tokens(F.col("title"), STOP_LOOKUP, 4)).alias("et"), "first_page", "last_page")
+    j = candidates.join(r, "request_id").join(e, "item")
+    on_page = F.coalesce((F.col("first_page") > 0) & (F.col("page") == F.col("first_page")), F.lit(False))
+    score = F.floor(100 * F.coalesce(overlap(F.col("rt"), F.col("et")), F.lit(0.0))).cast("int") + F.when(on_page, 30).otherwise(0)
+    weak = (F.size(F.array_intersect("rt", "et")) < 3) & ~on_page
+    j = j.withColumn("score", score).where("score >= 60").withColumn("confidence", F.least(F.lit(100), 70 + F.floor(F.col("score") / 4) - F.when(weak, 10).otherwise(0)).cast("int"))
+    best = j.groupBy("request_id", "item", "tier", "rank").agg(F.min(F.struct((-F.col("score")).alias("n"), "entry_id", "confidence")).alias("b"))
+    return best.select("request_id", "item", "tier", "rank", F.lit("contents").alias("strategy"), F.col("b.confidence").alias("confidence"), F.col("b.entry_id").alias("entry_id"))

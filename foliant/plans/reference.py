@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.functions import pages, text
-from foliant.operators import catalogue, contents, lookup, pagination, requests, scoring
+from foliant.operators import catalogue, contents, lookup, nested, pagination, placement, requests, scoring
 from foliant.plans.adapters import duck, view
 from foliant.session import table
 from foliant.sources import sinks
@@ -561,3 +561,193 @@ def arrival_stream(s: Spark, d: str) -> DataFrame:
     e = s.read.schema(schema).parquet(f"{base}/out")
     return e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
+
+
+# ---------------------------------------------------------------- placement
+
+
+_WORDS3 = lambda c: _tokens(c, text.STOP_PLACE, 3)
+
+
+@query(
+    f"""WITH a AS (SELECT item, block_id AS article_id, page_no AS hint, list_distinct({_WORDS3('text')}) AS tw FROM layout_blocks WHERE label = 'title' AND text IS NOT NULL AND item IS NOT NULL),
+b AS (SELECT item, block_id, page_no, label IN ('section_header', 'title') AS head, list_distinct({_WORDS3('text')}) AS bw FROM layout_blocks WHERE text IS NOT NULL AND page_no IS NOT NULL),
+m AS (SELECT a.item, article_id, block_id, hint, page_no, coalesce(head, false) AS head, len(list_intersect(tw, bw)) AS sh, len(tw) AS nt, len(bw) AS nb FROM a JOIN b USING (item) WHERE list_has_any(tw, bw)),
+g AS (SELECT *, round(sh::DOUBLE / nt * CASE WHEN head THEN 1.5 ELSE 1.0 END - coalesce(abs(page_no - hint), 0) * 0.001, 6) AS score FROM m WHERE sh::DOUBLE / nt >= 0.5 AND (head OR sh::DOUBLE / nb >= 0.5))
+SELECT item, article_id, page_no AS page, score FROM g QUALIFY row_number() OVER (PARTITION BY item, article_id ORDER BY score DESC, block_id) = 1"""
+)
+def title_places(s: Spark, d: str) -> DataFrame:
+    b = table(s, d, "layout_blocks")
+    a = b.where("label = 'title' AND text IS NOT NULL AND item IS NOT NULL").select("item", F.col("block_id").alias("article_id"), F.col("text").alias("title"), F.col("page_no").alias("hint"))
+    return placement.title_places(a, b.withColumn("label", F.coalesce("label", F.lit(""))))
+
+
+_ARTICLES = "(SELECT o_orderkey AS item, o_custkey AS article_id, CAST(1 + o_custkey % 4 AS VARCHAR) AS first_page, CAST(1 + o_custkey % 4 + o_orderkey % 3 AS VARCHAR) AS last_page FROM orders)"
+
+
+@query(
+    duck("leaves")
+    + _BR
+    + f""", m AS (SELECT item, label, arg_min(br, leaf) AS page FROM br WHERE br IS NOT NULL AND label IS NOT NULL GROUP BY item, label)
+SELECT a.item, article_id, s.page AS start, CASE WHEN s.page IS NOT NULL AND e.page >= s.page THEN e.page ELSE s.page + CASE WHEN last_page::INT >= first_page::INT THEN last_page::INT - first_page::INT ELSE 0 END END AS stop,
+CASE WHEN s.page IS NOT NULL AND e.page >= s.page THEN 'page_map' WHEN s.page IS NOT NULL THEN 'partial' ELSE 'failed' END AS method
+FROM {_ARTICLES} a LEFT JOIN m s ON s.item = a.item AND s.label = first_page LEFT JOIN m e ON e.item = a.item AND e.label = last_page"""
+)
+def place_articles(s: Spark, d: str) -> DataFrame:
+    o = table(s, d, "orders")
+    first = 1 + F.col("o_custkey") % 4
+    a = o.select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("article_id"), first.cast("string").alias("first_page"), (first + F.col("o_orderkey") % 3).cast("string").alias("last_page"))
+    m = pagination.printed_to_page(view(s, d, "leaves")).withColumnRenamed("br", "page")
+    return placement.place_articles(a, m)
+
+
+@query(
+    duck("leaves", "heads")
+    + _BR
+    + """, m AS (SELECT item, label, min(br) AS page, 0 AS r FROM br WHERE br IS NOT NULL AND label IS NOT NULL GROUP BY item, label UNION ALL SELECT item, CAST(first_page AS VARCHAR), min(leaf), 1 FROM heads GROUP BY 1, 2)
+SELECT item, label, page FROM m QUALIFY row_number() OVER (PARTITION BY item, label ORDER BY r, page) = 1"""
+)
+def overlay_maps(s: Spark, d: str) -> DataFrame:
+    own = pagination.page_to_printed(view(s, d, "leaves")).withColumnRenamed("br", "page")
+    return placement.overlay_maps(own, view(s, d, "heads").select("item", F.col("first_page").alias("label"), F.col("leaf").alias("page")))
+
+
+@query("""WITH x AS (SELECT item, max(greatest(start_page_index, end_page_index)) AS m FROM toc_entries GROUP BY item), s AS (SELECT DISTINCT item, start_page_index AS start FROM toc_entries WHERE start_page_index IS NOT NULL AND item IS NOT NULL),
+n AS (SELECT *, lead(start) OVER (PARTITION BY item ORDER BY start) AS nxt FROM s)
+SELECT e.item, entry_id, start, greatest(start, coalesce(nxt - CASE WHEN entry_type = 'section' THEN 0 ELSE 1 END, m))::INT AS stop FROM toc_entries e JOIN n ON n.item = e.item AND n.start = e.start_page_index JOIN x ON x.item = e.item""")
+def ends_before_next(s: Spark, d: str) -> DataFrame:
+    e = table(s, d, "toc_entries")
+    last = e.groupBy("item").agg(F.max(F.greatest("start_page_index", "end_page_index")).alias("m"))
+    return placement.ends_before_next(e.withColumn("start", F.col("start_page_index")).join(last, "item"), "m", F.col("entry_type") == "section")
+
+
+@query("""WITH e AS (SELECT item, entry_id, start_page_index AS s, end_page_index AS t FROM toc_entries WHERE start_page_index BETWEEN 0 AND end_page_index), f AS (SELECT DISTINCT item, start_page_index AS p FROM toc_entries WHERE start_page_index IS NOT NULL)
+SELECT e.item, entry_id, any_value(s) AS start, coalesce(max(p), any_value(s)) AS stop FROM e LEFT JOIN f ON f.item = e.item AND p BETWEEN s AND t GROUP BY e.item, entry_id""")
+def trim_blank_ends(s: Spark, d: str) -> DataFrame:
+    e = table(s, d, "toc_entries")
+    spans = e.where("start_page_index BETWEEN 0 AND end_page_index").select("item", "entry_id", F.col("start_page_index").alias("start"), F.col("end_page_index").alias("stop"))
+    return placement.trim_blank_ends(spans, e.where("start_page_index IS NOT NULL").select("item", F.col("start_page_index").alias("page")))
+
+
+@query("""WITH h AS (SELECT item, start_page_number AS printed, min(start_page_index) AS t FROM toc_entries WHERE start_page_number > 0 AND entry_type = 'article' GROUP BY 1, 2), k AS (SELECT item, start_page_index AS s, count(DISTINCT lower(title)) AS k FROM toc_entries WHERE start_page_index IS NOT NULL GROUP BY 1, 2)
+SELECT e.item, entry_id, CASE WHEN k > 1 AND t <> s THEN t ELSE s END AS start, CASE WHEN k > 1 AND t <> s THEN t + end_page_index - s ELSE end_page_index END AS stop, coalesce(k > 1 AND t <> s, false) AS moved
+FROM toc_entries e JOIN k ON k.item = e.item AND k.s = e.start_page_index LEFT JOIN h ON h.item = e.item AND h.printed = e.start_page_number""")
+def relocate_shared_starts(s: Spark, d: str) -> DataFrame:
+    e = table(s, d, "toc_entries").where("start_page_index IS NOT NULL").select("item", "entry_id", "title", F.col("start_page_index").alias("start"), F.col("end_page_index").alias("stop"), F.col("start_page_number").alias("printed"))
+    h = table(s, d, "toc_entries").where("start_page_number > 0 AND entry_type = 'article'").select("item", F.col("start_page_number").alias("printed"), F.col("start_page_index").alias("page"))
+    return placement.relocate_shared_starts(e, h)
+
+
+@query(duck("leaves", "heads") + _BR + ", a AS (SELECT item, label, arg_min(br, leaf) AS x FROM br WHERE br IS NOT NULL AND label IS NOT NULL GROUP BY item, label), b AS (SELECT item, CAST(leaf AS VARCHAR) AS label, min(first_page) AS y FROM heads GROUP BY 1, 2) SELECT x - y AS delta, count(*) AS n FROM a JOIN b USING (item, label) GROUP BY 1")
+def map_agreement(s: Spark, d: str) -> DataFrame:
+    a = pagination.printed_to_page(view(s, d, "leaves")).withColumnRenamed("br", "page")
+    b = view(s, d, "heads").groupBy("item", F.col("leaf").cast("string").alias("label")).agg(F.min("first_page").alias("page"))
+    return placement.map_agreement(a, b)
+
+
+_WORDS = "(SELECT l_orderkey AS item, CAST(l_suppkey % 2 AS INT) AS page, CAST(l_partkey % 500 AS INT) AS x1, CAST(l_suppkey * 37 % 1000 AS INT) AS y1, CAST(l_suppkey * 37 % 1000 + 10 + l_linenumber % 4 * 8 AS INT) AS y2, concat(l_linestatus, l_linenumber) AS text FROM lineitem)"
+_LINES = f"""WITH w AS (SELECT *, CASE WHEN y1 - lag(y1) OVER z > 25 THEN 1 ELSE 0 END AS b FROM {_WORDS} WINDOW z AS (PARTITION BY item, page ORDER BY y1, x1, text)),
+r AS (SELECT *, sum(b) OVER (PARTITION BY item, page ORDER BY y1, x1, text ROWS UNBOUNDED PRECEDING) AS line FROM w),
+l AS (SELECT item, page, line::BIGINT AS line, min(y1) AS y, max(y2 - y1) AS height, string_agg(text, ' ' ORDER BY x1, y1, text) AS text FROM r GROUP BY item, page, line) """
+
+
+def _lines(s: Spark, d: str) -> DataFrame:
+    y = F.col("l_suppkey") * 37 % 1000
+    w = table(s, d, "lineitem").select(F.col("l_orderkey").alias("item"), (F.col("l_suppkey") % 2).cast("int").alias("page"), (F.col("l_partkey") % 500).cast("int").alias("x1"), y.cast("int").alias("y1"), (y + 10 + F.col("l_linenumber") % 4 * 8).cast("int").alias("y2"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("text"))
+    return placement.text_lines(w)
+
+
+@query(_LINES + "SELECT item, page, line, y, height, text FROM l")
+def text_lines(s: Spark, d: str) -> DataFrame:
+    return _lines(s, d)
+
+
+@query(
+    _LINES
+    + """, g AS (SELECT *, median(height) OVER (PARTITION BY item, page) AS m FROM l), k AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY item, page ORDER BY y, line) > 150 THEN 1 ELSE 0 END AS b FROM g WHERE height >= 1.6 * m AND y < 500),
+q AS (SELECT *, sum(b) OVER (PARTITION BY item, page ORDER BY y, line ROWS UNBOUNDED PRECEDING) AS r FROM k), t AS (SELECT item, page, r, min(y) AS y, avg(height) AS height, string_agg(text, ' ' ORDER BY y, line) AS text FROM q GROUP BY item, page, r)
+SELECT item, page, y, height, text FROM t QUALIFY row_number() OVER (PARTITION BY item, page ORDER BY height DESC, y) = 1"""
+)
+def title_lines(s: Spark, d: str) -> DataFrame:
+    return placement.title_lines(_lines(s, d), 1000)
+
+
+@query()
+def title_in_window(s: Spark, d: str) -> DataFrame:
+    b = table(s, d, "layout_blocks")
+    t = b.where("label IN ('title', 'section_header') AND text IS NOT NULL").select("item", F.col("text").alias("title"))
+    return placement.title_in_window(b.where("label = 'text' AND text IS NOT NULL").select("item", F.col("block_id").alias("leaf"), "text"), t)
+
+
+@query()
+def claim_blocks(s: Spark, d: str) -> DataFrame:
+    b = table(s, d, "layout_blocks").withColumn("label", F.coalesce("label", F.lit("")))
+    t = b.where("label = 'title' AND text IS NOT NULL").select("item", F.col("block_id").alias("title_id"), F.col("text").alias("title"))
+    return placement.claim_blocks(t, b)
+
+
+@query()
+def layout_table_rows(s: Spark, d: str) -> DataFrame:
+    nodes = nested.flatten_nested(table(s, d, "layouts"), "layout_id", "payload")
+    return placement.table_rows(nested.layout_cells(nodes, "layout_id"), "layout_id")
+
+
+@query(
+    f"""SELECT entry_id, array_to_string(list_sort(list_distinct({_tokens('title', text.STOP_EVIDENCE, 3)})), ' ') AS signature, count(*) OVER (PARTITION BY item, array_to_string(list_sort(list_distinct({_tokens('title', text.STOP_EVIDENCE, 3)})), ' ')) AS n FROM toc_entries"""
+)
+def title_signatures(s: Spark, d: str) -> DataFrame:
+    e = table(s, d, "toc_entries").select("item", "entry_id", text.token_signature(F.col("title")).alias("signature"))
+    n = e.groupBy("item", "signature").agg(F.count(F.lit(1)).alias("n"))
+    return e.join(n, ["item", "signature"]).select("entry_id", "signature", "n")
+
+
+@query("SELECT item, entry_id, title FROM toc_entries WHERE item IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item, lower(title) ORDER BY start_page_index NULLS FIRST, entry_id) = 1")
+def first_titles(s: Spark, d: str) -> DataFrame:
+    e = table(s, d, "toc_entries").where("item IS NOT NULL").withColumn("t", F.lower("title"))
+    return requests.first_wins(e, ["item", "t"], ["start_page_index", "entry_id"]).select("item", "entry_id", "title")
+
+
+@query(
+    r"SELECT author_id, len(list_filter(string_split_regex(regexp_replace(trim(name), '^(?i)by\s+', ''), '\s*(?:;|&|,|and)\s*'), lambda p: regexp_matches(trim(p), '^[A-Z][^\s]*(\s+[^\s]+){0,4}$')))::INT AS n FROM toc_authors WHERE name NOT LIKE '%.%' AND regexp_full_match(name, '[ -~]*')"
+)
+def byline_names(s: Spark, d: str) -> DataFrame:
+    return table(s, d, "toc_authors").where("name NOT LIKE '%.%' AND name RLIKE '^[ -~]*$'").select("author_id", F.size(text.parse_authors(F.col("name"))).alias("n"))
+
+
+@query()
+def byline_flags(s: Spark, d: str) -> DataFrame:
+    return table(s, d, "layout_blocks").groupBy("label", text.byline_like(F.col("text")).alias("byline")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_LT = lambda c: f"list_distinct({_tokens(c, text.STOP_LOOKUP, 4)})"
+_ANS = (
+    _CAND
+    + f""", rq AS (SELECT request_id, {_LT('title')} AS rt, TRY_CAST(regexp_extract(trim(pages), '^([0-9]{{1,9}})', 1) AS BIGINT) AS page FROM lookup_requests), en AS (SELECT item, entry_id, {_LT('title')} AS et, start_page_number AS first_page FROM toc_entries),
+aj AS (SELECT c.*, entry_id, coalesce(first_page > 0 AND page = first_page, false) AS onp, coalesce({_overlap('rt', 'et')}, 0.0) AS ov, len(list_intersect(rt, et)) AS sh FROM c JOIN rq USING (request_id) JOIN en USING (item)),
+sc AS (SELECT *, floor(100 * ov)::INT + CASE WHEN onp THEN 30 ELSE 0 END AS score FROM aj),
+ans AS (SELECT request_id, item, tier, rank, 'contents' AS strategy, least(100, 70 + score // 4 - CASE WHEN coalesce(sh, 0) < 3 AND NOT onp THEN 10 ELSE 0 END)::INT AS confidence, entry_id FROM sc WHERE score >= 60 QUALIFY row_number() OVER (PARTITION BY request_id, item ORDER BY score DESC, entry_id) = 1) """
+)
+
+
+@query(_ANS + "SELECT * FROM ans")
+def answers_from_contents(s: Spark, d: str) -> DataFrame:
+    e = table(s, d, "toc_entries").select("item", "entry_id", "title", F.col("start_page_number").alias("first_page"), F.col("end_page_number").alias("last_page"))
+    return lookup.answers_from_contents(_candidates(s, d), table(s, d, "lookup_requests"), e)
+
+
+@query("SELECT json_extract_string(props, '$.k')::INT % 10 AS k, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def open_records(s: Spark, d: str) -> DataFrame:
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "int") % 10
+    return table(s, d, "events").groupBy(k.alias("k"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_shipmode_kind AS centre, operator, sum(n)::BIGINT AS n FROM (SELECT CAST(l_suppkey % 5 AS INT) AS l_shipmode_kind, CAST(l_partkey % 7 AS INT) AS operator, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY GROUPING SETS ((l_shipmode_kind), (operator))")
+def counters_by_centre_and_operator(s: Spark, d: str) -> DataFrame:
+    li = table(s, d, "lineitem").select((F.col("l_suppkey") % 5).cast("int").alias("centre"), (F.col("l_partkey") % 7).cast("int").alias("operator"))
+    return li.groupingSets([["centre"], ["operator"]], "centre", "operator").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def qa_report_lines(s: Spark, d: str) -> DataFrame:
+    e = table(s, d, "toc_entries").where("start_page_index IS NULL OR end_page_index < start_page_index")
+    return sinks.markdown_rows(e.select("item", "entry_id", "title", F.when(F.col("start_page_index").isNull(), "no start").otherwise("ends before it starts").alias("reason")))
