@@ -13,6 +13,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], per_key: int =
     Left rows are counted per key with map-side combining. Hot keys are at most rows / per_key, and per_key grows with
     the rows so that they are never more than MAX_HOT: only that many are broadcast. The right side's rows of a hot key
     are repeated once per salt. Without a hot key this is a plain join. Rows with a null in ``on`` match nothing.
+    A row's salt is a hash of its columns, so a task that is run again after a loss sends its rows to the same places.
     Columns of both sides other than ``on`` must have distinct names.
     """
     counts = left.groupBy(*on).count()
@@ -21,6 +22,6 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], per_key: int =
     if not total or most <= per_key:
         return left.join(right, on)
     hot = counts.where(F.col("count") > per_key).select(*on, (F.col("count") / per_key).cast("int").alias("_salts"))
-    l2 = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.floor(F.rand(7) * (F.coalesce("_salts", F.lit(0)) + 1)).cast("int")).drop("_salts")
+    l2 = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_salts", F.lit(0)) + 1).cast("int")).drop("_salts")
     r2 = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(0))))).drop("_salts")
     return l2.join(r2, [*on, "_salt"]).drop("_salt")
