@@ -13,8 +13,8 @@ TITLE = ((0.9, 5.0), (0.78, 3.5), (0.65, 1.5), (0.5, -1.0), (0.0, -5.0))
 PAGE_SAME, PAGE_NEAR, PAGE_INSIDE, PAGE_OTHER = 3.0, 1.0, -1.0, -4.0
 END_SAME, END_OTHER = 1.0, -1.5
 LEAF_SAME, LEAF_NEAR, LEAF_OTHER = 1.5, 0.0, -1.2
-AUTHOR_SAME, AUTHOR_OTHER = 2.0, -2.5
-PART_SAME, PART_OTHER, PART_ONE = 1.0, -5.0, -1.5
+AUTHOR_SAME, AUTHOR_OTHER = 2.0, -3.0
+PART_SAME, PART_OTHER, PART_ONE = 1.0, -5.0, -2.0
 LONG_TITLE = 6  # words from which neighbours alone are enough as keys
 LEAST_ODDS = -2.0  # pairs below are never accepted and hardly weigh on others
 _ACCENTS = ("äöüáéíóúàèìòùâêîôûñçåøőű", "aouaeiouaeiouaeiouncaoou")
