@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: str | None = None  # made once where no folder is named
+
+
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_memory: str = "12g") -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
     return (
@@ -27,10 +32,10 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_me
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where it is unset, a temporary one of this machine."""
+    global _own
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own = _own or tempfile.mkdtemp(prefix="foliant-")
     return path.rstrip("/")
 
 
@@ -38,13 +43,33 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The result has no lineage behind it, so losing executors costs no recomputation of what came before,
-    and later plans get column pruning and size statistics. Files are removed when the driver ends.
+    and later plans get column pruning and size statistics. Files are removed by ``release``, or when the driver ends.
+    What was shuffled on the way is no longer needed: the driver's collector is called, as Spark removes shuffle files only
+    when it finds nothing that refers to them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._foliant_path = path
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def settle(df: DataFrame, seconds: float = 1.5) -> None:
+    """Wait for Spark's cleaner, which works beside the jobs, to remove the files of earlier shuffles before a large step."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    time.sleep(seconds)
+
+
+def release(*written: DataFrame) -> None:
+    """Remove the files of results of ``cut`` that nothing will read again."""
+    for df in written:
+        _remove(df.sparkSession, df._foliant_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
