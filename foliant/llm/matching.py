@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliant.operators.skew import salted_join
-from foliant.session import cut
+from foliant.session import cut, release, settle
 
 # Log odds of the evidence, set by how often it goes with true and with false pairs of one issue
 PRIOR = -2.5
@@ -191,7 +191,7 @@ def propagate(edges: DataFrame, least_change: float = 0.005, most_rounds: int =
         others = total - F.when(F.col(slot) > 0, F.col("_own")).otherwise(0.0)
         return s.withColumn("_t", others).withColumn(out, 1 / (1 + F.greatest(F.when(F.col(slot) > 0, F.col("_t")).otherwise(0.0), F.lit(0.0)))).drop("_own", "_n", "_t")
 
-    rounds = 0
+    rounds, last = 0, None
     while True:
         for _ in range(rounds_a_step):
             state = half(state, "unit", "slot_e", "to_a", "to_e")
@@ -199,6 +199,9 @@ def propagate(edges: DataFrame, least_change: float = 0.005, most_rounds: int =
             rounds += 1
         both = F.col("w") * F.col("to_e") * F.col("to_a")
         state = cut(state.withColumn("_before", F.col("p")).withColumn("p", both / (1 + both)), "messages")
+        if last is not None:
+            release(last)
+        last = state
         change = state.agg(F.max(F.abs(F.col("p") - F.col("_before")))).first()[0] or 0.0
         state = state.drop("_before")
         if change <= least_change or rounds >= most_rounds:
@@ -214,11 +217,11 @@ def match_articles(anchors: DataFrame, entries: DataFrame, authors: DataFrame, l
     title, page, leaf or author is no evidence. Every row of a unit gets the unit's matches, repeated rows too. Rows
     without ids or in issues without a partner give none.
     """
-    units, members = request_units(anchors)
+    units, requests = request_units(anchors)
     none = F.array().cast("array<int>")
     names = authors.where("name IS NOT NULL").select("entry_id", F.explode(_words(F.col("name"), 4)).alias("w")).groupBy("entry_id").agg(F.collect_set("w").alias("entry_authors"))
     e = entries.where("entry_id IS NOT NULL AND item IS NOT NULL").withColumn("title", F.coalesce("title", F.lit("")))
-    sides = _issues(members), _issues(e.select(F.col("item").alias("g"), "issn", _roman(F.col("volume")).alias("vol"), F.regexp_extract("issue", r"([0-9]+)", 1).alias("iss"), "yr"))
+    sides = _issues(requests), _issues(e.select(F.col("item").alias("g"), "issn", _roman(F.col("volume")).alias("vol"), F.regexp_extract("issue", r"([0-9]+)", 1).alias("iss"), "yr"))
     aligned = align_issues(*sides)
     e = e.select(
         "entry_id",
@@ -232,10 +235,15 @@ def match_articles(anchors: DataFrame, entries: DataFrame, authors: DataFrame, l
     )
     e = cut(e.join(names, "entry_id", "left").withColumn("entry_authors", F.coalesce("entry_authors", none)), "entries")
     units = cut(units.join(aligned, "ga").drop("ga"), "units")
+    members = cut(requests.select("anchor_id", "unit"), "members")
+    release(requests)
+    del requests, sides, aligned
+    settle(units)
     # the usual shift between leaves and page indexes of an issue, from units and entries with the same first page
     beside = units.where("page > 0").join(e.where("start_page > 0"), (units["ge"] == e["ge"]) & (units["page"] == e["start_page"]))
     shift = beside.groupBy(units["ge"]).agg(F.percentile_approx(F.col("leaf") - F.col("start_index"), 0.5, 100).alias("shift"))
     pairs = candidate_pairs(units.join(shift, "ge", "left"), e)
     edges = cut(_pair_scores(pairs).where(F.col("odds") > LEAST_ODDS).select("unit", "entry_id", F.col("page").alias("slot_a"), F.col("start_page").alias("slot_e"), "odds"), "edges")
+    release(units, e)
     sure = propagate(edges).where(F.col("p") >= least)
     return salted_join(members.select("anchor_id", "unit"), sure, ["unit"]).select("anchor_id", "entry_id", F.col("p").alias("confidence"))
