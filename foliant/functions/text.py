@@ -152,7 +152,7 @@ def byline_like(c: Column) -> Column:
 def parse_authors(c: Column) -> Column:
     """Names of a byline: without 'by' and degrees, parts at ';', '&', 'and' and commas, those with one to five words."""
     t = F.regexp_replace(F.regexp_replace(F.trim(c), r"^(?i)by\s+", ""), CREDENTIALS, "")
-    parts = F.transform(F.split(t, r"\s*[;&,]\s*|\s+and\s+"), lambda p: F.trim(p))
+    parts = F.transform(F.split(t, r"\s*[;&,]\s*(?:and\s+)?|\s+and\s+"), lambda p: F.trim(p))
     return F.filter(parts, lambda p: (p != "") & p.rlike(r"^[A-Z][^\s]*(\s+[^\s]+){0,4}$"))
 
 

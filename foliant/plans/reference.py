@@ -708,7 +708,7 @@ def first_titles(s: Spark, d: str) -> DataFrame:
 
 
 @query(
-    r"SELECT author_id, len(list_filter(string_split_regex(regexp_replace(trim(name), '^(?i)by\s+', ''), '\s*[;&,]\s*|\s+and\s+'), lambda p: regexp_matches(trim(p), '^[A-Z][^\s]*(\s+[^\s]+){0,4}$')))::INT AS n FROM toc_authors WHERE name NOT LIKE '%.%' AND regexp_full_match(name, '[ -~]*')"
+    r"SELECT author_id, len(list_filter(string_split_regex(regexp_replace(trim(name), '^(?i)by\s+', ''), '\s*[;&,]\s*(?:and\s+)?|\s+and\s+'), lambda p: regexp_matches(trim(p), '^[A-Z][^\s]*(\s+[^\s]+){0,4}$')))::INT AS n FROM toc_authors WHERE name NOT LIKE '%.%' AND regexp_full_match(name, '[ -~]*')"
 )
 def byline_names(s: Spark, d: str) -> DataFrame:
     return table(s, d, "toc_authors").where("name NOT LIKE '%.%' AND name RLIKE '^[ -~]*$'").select("author_id", F.size(text.parse_authors(F.col("name"))).alias("n"))
