@@ -117,7 +117,7 @@ def test_requests(spark):
     assert [tuple(x) for x in pair(["n241", "n281"], ["n244", "n283"])] == [("n241", "n244"), ("n281", "n283")]
     assert [tuple(x) for x in pair(["12"], ["14"], ["n2"], ["n4"])] == [("n2", "n4")]
     assert pair(["n1"], []) is None
-    cover = "Request on Friday\nAmerasia Journal 1973-2012\n0044-7471\nOn Strike\nKaren Umemoto\nyear 1989\n\nResponse from Internet"
+    cover = "Request on Friday\nAmerasia Journal 1973-2012\n0044-7471\nOn Strike\nKaren Umemoto\nyear 1989\n\nResponse from the library"
     got = requests.cover_fields(cover)
     assert (got["journal_title"], got["article_author"], got["year"], got["volume"]) == ("Amerasia Journal", "Karen Umemoto", "1989", None)
     assert requests.cover_fields("hello") is None and requests.cover_fields(None) is None
