@@ -100,29 +100,34 @@ def _spread(names: DataFrame) -> DataFrame:
 ERROR_RATE = 0.05  # of typing a word with one error
 NEW_NAME = 1 / 15  # per letter: how likely a name never seen is spelled just so
 LONGEST_WORD = 64  # letters; anything longer is no typed name and stands for itself
-REPEAT = 0.05  # how likely the same error is made once more
+REPEAT = 0.05  # how likely the same error is made once more, beyond what is expected
+SHARE = 0.05  # of a name's typings, what one error may make up without being unexpected
 
 
 def attribute(words: DataFrame) -> DataFrame:
-    """(scope, word, canon): every spelling of (scope, word, n) with the spelling it stands for.
+    """(scope, word, canon): every spelling of (scope, word, n) with the spelling it stands for. A column ``typings`` says how
+    many of the n were typed independently of each other; without it all were.
 
     Candidates are the more frequent spellings of the scope at one insertion, deletion, substitution or exchange of
     neighbours; they meet through shared deletions of one letter, so a key brings together at most 26 * (length + 1) + 1
-    words. Each candidate's log posterior is its log frequency plus the log likelihood of the error, once for the first
-    occurrence and REPEAT for every other; it competes with the word being a name of its own. The best wins, ties by
-    frequency, then alphabet. An attributed word's own canonical form is followed once more.
+    words. Each candidate's log posterior is the log of its frequency beside the word's plus the log likelihood of the
+    error, once for the first typing and REPEAT for every other beyond the share SHARE of the candidate's typings, so that
+    an error of a frequent name stays one however large the table; it competes with the word being a name of its own. The
+    best wins, ties by frequency, then alphabet. An attributed word's own canonical form is followed once more.
     """
     gone = F.array_distinct(F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.length("word"))))))
-    keyed = words.where(f"length(word) BETWEEN 3 AND {LONGEST_WORD}").select("scope", "word", "n", F.explode(gone).alias("part"))
+    typings = F.col("typings" if "typings" in words.columns else "n").alias("typings")
+    keyed = words.where(f"length(word) BETWEEN 3 AND {LONGEST_WORD}").select("scope", "word", "n", typings, F.explode(gone).alias("part"))
     v, c = keyed.alias("v"), keyed.alias("c")
     more = (F.col("c.n") > F.col("v.n")) | ((F.col("c.n") == F.col("v.n")) & (F.col("c.word") < F.col("v.word")))
     pairs = v.join(c, (F.col("v.scope") == F.col("c.scope")) & (F.col("v.part") == F.col("c.part")) & more).select(
-        F.col("v.scope").alias("scope"), F.col("v.word").alias("word"), F.col("v.n").alias("n"), F.col("c.word").alias("canon"), F.col("c.n").alias("m")
+        F.col("v.scope").alias("scope"), F.col("v.word").alias("word"), F.col("v.n").alias("n"), F.col("c.word").alias("canon"), F.col("c.n").alias("m"),
+        F.greatest(F.col("v.typings") - 1 - SHARE * F.col("c.typings"), F.lit(0.0)).alias("repeats"),
     )
     steps = F.levenshtein("word", "canon")
     swap = (steps == 2) & (F.length("word") == F.length("canon")) & (F.array_sort(F.split("word", "")) == F.array_sort(F.split("canon", "")))
     error = F.when(steps == 1, F.log(F.lit(ERROR_RATE) / (54.0 * F.length("canon")))).when(swap, F.log(F.lit(ERROR_RATE) / (4.0 * F.length("canon"))))
-    typed = F.log("m") + error + (F.col("n") - 1) * math.log(REPEAT)
+    typed = F.log(F.col("m") / F.col("n")) + error + F.col("repeats") * math.log(REPEAT)
     own = F.length("word") * math.log(NEW_NAME)
     best = (
         pairs.where(error.isNotNull() & (typed > own))
@@ -153,7 +158,7 @@ def resolve(parsed: DataFrame) -> DataFrame:
         .unionByName(person.select(F.lit("G").alias("scope"), F.explode(g).alias("word"), "n").where("length(word) > 1"))
         .unionByName(org.select(F.concat(F.lit("O"), "issn").alias("scope"), F.explode(g).alias("word"), "n"))
         .groupBy("scope", "word")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("typings"))  # a form that comes again is copied, not typed again
     )
     fixed = cut(attribute(words), "attributed")
     sur = fixed.where("scope LIKE 'S%'").select(F.substring("scope", 2, 100).alias("issn"), F.col("word").alias("sur"), F.col("canon").alias("sur_c"))

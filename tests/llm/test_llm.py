@@ -120,6 +120,23 @@ def test_attribution_held_out(spark):
     assert sum(w in got for w in real) <= 0.02 * len(real)
 
 
+def test_attribution_of_larger_tables(spark):
+    """Errors of a frequent name stay errors when there are ten times as many of both, names of their own stay names; and a
+    table repeated ten times, whose rare names have few typings, gives the same classes."""
+    rows = [("felix", 92), ("felxi", 1), ("gareth", 88), ("greth", 2), ("carl", 64), ("karl", 84), ("tim", 14), ("tom", 15)]
+    for times in (1, 10, 100):
+        df = spark.createDataFrame([("G", w, n * times) for w, n in rows], "scope string, word string, n long")
+        assert {r.word: r.canon for r in names.attribute(df).collect()} == {"felxi": "felix", "greth": "gareth"}
+    spelled = ["Sturhaeland, Felix", "Sturshaeland, Felix", "Sturshaeland, F", "Sturshaeland, Felix M", "Oland, Carl", "Oland, Karl", "Berg, Felix", "Dal, Felxi", "Dal, Felix"]
+    df = anchors(spark, [{"anchor_id": k, "issn": "1", "article_author": x} for k, x in enumerate(spelled)])
+    entries = spark.createDataFrame([(1, "1")], "entry_id long, issn string")
+    authors = spark.createDataFrame([(11, 1, "Sturshaeland, F."), (12, 1, "Dal, Felix")], "author_id long, entry_id long, name string")
+    often = df.crossJoin(spark.range(10)).drop("id")
+    once = {tuple(r) for r in names.name_variants(df, entries, authors).drop("n").collect()}
+    assert {tuple(r) for r in names.name_variants(often, entries, authors.crossJoin(spark.range(10)).drop("id")).drop("n").collect()} == once
+    assert {tuple(r) for r in names.same_names(often, entries, authors).collect()} == {(0, 11), (1, 11), (2, 11), (3, 11), (7, 12), (8, 12)}
+
+
 # ---------------------------------------------------------------- scans
 
 BLOCK = "block_id long, item string, idx int, page_no int, label string, content_layer string, text string, bbox struct<l:double,t:double,r:double,b:double>"
