@@ -15,7 +15,7 @@ END_SAME, END_OTHER = 1.0, -1.5
 LEAF_SAME, LEAF_NEAR, LEAF_OTHER = 1.5, 0.0, -1.2
 AUTHOR_SAME, AUTHOR_OTHER = 2.0, -3.0
 PART_SAME, PART_OTHER, PART_ONE = 1.0, -5.0, -2.0
-LONG_TITLE = 6  # words from which neighbours alone are enough as keys
+SHORT_TITLE = 2  # words up to which one shared word is enough
 LEAST_ODDS = -2.0  # pairs below are never accepted and hardly weigh on others
 _ACCENTS = ("äöüáéíóúàèìòùâêîôûñçåøőű", "aouaeiouaeiouaeiouncaoou")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
@@ -121,21 +121,24 @@ def request_units(anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return units.withColumn("title_words", _words(F.col("title"))).withColumn("part_a", _part("title")).drop("title"), rows
 
 
-def _keyed(df: DataFrame, node: str, words: str, page: str) -> DataFrame:
-    """(node, k, c): what candidates share, two neighbouring title words (in short titles also with one between; the only
-    one), or the first printed page; and what that is worth. Two are needed, but a short title's or the page is enough."""
+def _keyed(df: DataFrame, node: str, words: str, page: str, authors: str) -> DataFrame:
+    """(node, k, c): what candidates share, and what that is worth: two title words that are neighbours or have one between,
+    the first two title words by themselves (a short title's are all there are, and those of a title cut short), an
+    author's word, or the first printed page. Two are needed, but a short title's, the author or the page is enough."""
     w = F.col("w")
-    pair = lambda step: F.zip_with(F.slice(w, 1, F.size(w) - step), F.slice(w, step + 1, F.size(w) - step), lambda x, y: F.hash(x, y))
-    two = F.when(F.size(w) >= LONG_TITLE, pair(1)).when(F.size(w) > 2, F.concat(pair(1), pair(2))).when(F.size(w) == 2, pair(1)).otherwise(w)
-    keyed = df.select(node, "ge", F.col(words).alias("w"), page).withColumn("two", F.array_distinct(two)).withColumn("c", F.when(F.size("two") <= 3, 2).otherwise(1))
-    each = keyed.select(node, "ge", "c", F.explode("two").alias("x")).select(node, F.xxhash64("ge", "x").alias("k"), "c")
-    return each.unionByName(df.where(F.col(page) > 0).select(node, F.xxhash64("ge", page, F.lit("p")).alias("k"), F.lit(2).alias("c")))
+    pair = lambda step: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - step, F.lit(0))), F.slice(w, step + 1, F.greatest(F.size(w) - step, F.lit(0))), lambda x, y: F.hash(x, y))
+    mark = lambda c, kind, worth: F.transform(c, lambda x: F.struct(F.xxhash64("ge", x, F.lit(kind)).alias("k"), F.lit(worth).alias("c") if isinstance(worth, int) else worth.alias("c")))
+    few = F.when(F.size(w) <= SHORT_TITLE, 2).otherwise(1)
+    two = F.array_distinct(F.concat(pair(1), pair(2)))
+    page_key = F.when(F.col(page) > 0, F.array(F.col(page))).otherwise(F.array().cast("array<int>"))
+    keys = F.concat(mark(two, "w", F.when(F.size(two) <= 3, 2).otherwise(1)), mark(F.slice(w, 1, SHORT_TITLE), "s", few), mark(F.col(authors), "a", 2), mark(page_key, "p", 2))
+    return df.withColumn("w", F.col(words)).select(node, F.explode(keys).alias("x")).select(node, "x.k", "x.c")
 
 
 def candidate_pairs(units: DataFrame, entries: DataFrame) -> DataFrame:
     """Units and entries of aligned issues that share two keys, or one that is enough; see _keyed."""
-    a = _keyed(units, "unit", "title_words", "page")
-    e = _keyed(entries, "entry_id", "entry_words", "start_page").withColumnRenamed("c", "d")
+    a = _keyed(units, "unit", "title_words", "page", "authors")
+    e = _keyed(entries, "entry_id", "entry_words", "start_page", "entry_authors").withColumnRenamed("c", "d")
     found = a.join(e, "k").groupBy("unit", "entry_id").agg(F.sum(F.greatest("c", "d")).alias("shared")).where("shared >= 2").drop("shared")
     return found.join(entries, "entry_id").join(units, ["unit", "ge"]).drop("ge")
 

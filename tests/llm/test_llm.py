@@ -218,6 +218,25 @@ def test_matching(spark):
     assert matching.match_articles(anchors(spark, a).where("anchor_id > 99"), entries, authors).count() == 0
 
 
+def test_matching_by_rare_keys(spark):
+    """Without a page: misread words in titles of two words, titles cut to one, prefixes broken twice, and the author alone."""
+    base = {"identifier": "sim_j_1999_4_2", "issn": "1", "volume": "4", "issue": "2", "yr": "1999"}
+    pairs = [
+        ("On Infant Chorus", "On infant cborus", None),
+        ("On historical teacrer", "ON HISTORICAL TEACHER", None),
+        ("On bistorical brewing", "On historical brewing", None),
+        ("On the Teaching of...", "On the teaching of northern dialects", None),
+        ("Alpine mqsses under frqzen lakes beside qlaciers", "Alpine mosses under frozen lakes beside glaciers", None),
+        ("Tqriffs, hqrbors", "Tariffs, harbors", "Fox, Raymond"),
+    ]
+    a = [base | {"anchor_id": k, "article_title": x, "article_author": by} for k, (x, _, by) in enumerate(pairs)]
+    e = [(k, "m1", "1", "4", "2", 1999, y, 10 * k + 5, 10 * k + 9, None) for k, (_, y, _) in enumerate(pairs)]
+    entries = spark.createDataFrame(e, "entry_id long, item string, issn string, volume string, issue string, yr int, title string, start_page_number int, end_page_number int, start_page_index int")
+    authors = spark.createDataFrame([(k, by) for k, (_, _, by) in enumerate(pairs) if by], "entry_id long, name string")
+    rows = matching.match_articles(anchors(spark, a), entries, authors).collect()
+    assert {(r.anchor_id, r.entry_id) for r in rows} == {(k, k) for k in range(len(pairs))}
+
+
 def test_propagation_against_enumeration(spark):
     """On a tree, messages give the exact marginals over all matchings."""
     edges = [(1, 11, 0.5), (1, 12, 1.5), (2, 12, 1.0), (3, 12, -0.5), (3, 13, 0.2)]
