@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foliant.operators.multivalue import ORG_TYPES, split_authors
 from foliant.operators.skew import salted_join
@@ -77,24 +77,27 @@ def parse_name(text: str) -> tuple[str, str, list[str]] | None:
 
 
 def _spread(names: DataFrame) -> DataFrame:
-    """The spellings of (id, issn, name): (id, issn, kind, sur, given, words), parsed in Python batch-wise."""
+    """The spellings of (id, issn, field, many, t, p): (id, issn, t, p, kind, sur, given), parsed in Python batch-wise."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
+
+        def parsed(field: str, many: bool) -> list[tuple[str, str, str]]:
+            got = [parse_name(v) for v in (split_authors(field) if many else [field])]
+            return [(p[0], p[1], " ".join(p[2])) for p in got if p]
+
         for b in batches:
             rows = []
-            for i, issn, field, many in zip(b["id"], b["issn"], b["field"], b["many"]):
-                for v in split_authors(field) if many else [field]:
-                    if v not in cache:
-                        if len(cache) > 100_000:
-                            cache.clear()
-                        cache[v] = parse_name(v)
-                    p = cache[v]
-                    if p:
-                        rows.append((i, issn, p[0], p[1], " ".join(p[2])))
-            yield pd.DataFrame(rows, columns=["id", "issn", "kind", "sur", "given"])
+            for i, issn, t, p, field, many in zip(b["id"], b["issn"], b["t"], b["p"], b["field"], b["many"]):
+                if field not in cache:
+                    if len(cache) > 50_000:
+                        cache.clear()
+                    cache[field] = parsed(field, many)
+                for kind, sur, given in cache[field]:
+                    rows.append((i, issn, t, p, kind, sur, given))
+            yield pd.DataFrame(rows, columns=["id", "issn", "t", "p", "kind", "sur", "given"])
 
-    return names.where("id IS NOT NULL AND issn IS NOT NULL AND field IS NOT NULL").mapInPandas(run, "id long, issn string, kind string, sur string, given string")
+    return names.where("id IS NOT NULL AND issn IS NOT NULL AND field IS NOT NULL").mapInPandas(run, "id long, issn string, t long, p long, kind string, sur string, given string")
 
 
 ERROR_RATE = 0.05  # of typing a word with one error
@@ -144,10 +147,11 @@ def _nick(c: str):
 
 
 def resolve(parsed: DataFrame) -> DataFrame:
-    """Spellings (issn, kind, sur, given) with their canonical key: (…, who, initial, full, second).
+    """Spellings (issn, kind, sur, given) with their canonical key: (…, n, who, first, full, second).
 
-    ``who`` is the surname or the sorted words of the organisation after attribution, ``full`` the full given names it may
-    stand for (empty for an initial), ``second`` the next given name or initial.
+    ``who`` is the surname or the sorted words of the organisation after attribution, ``first`` the given name or initial
+    after attribution, ``full`` the full given names it may stand for (empty for an initial), ``second`` the next given
+    name or initial.
     """
     forms = parsed.groupBy("issn", "kind", "sur", "given").agg(F.count(F.lit(1)).alias("n"))
     forms = cut(forms, "forms")
@@ -167,35 +171,120 @@ def resolve(parsed: DataFrame) -> DataFrame:
     p = p.join(giv.toDF("g1", "c1"), "g1", "left").join(giv.toDF("g2", "c2"), "g2", "left")
     p = p.withColumn("first", F.coalesce("c1", "g1")).withColumn("second", F.coalesce("c2", "g2"))
     p = p.withColumn("full", F.when(F.length("first") > 1, _nick("first")).otherwise(F.array().cast("array<string>")))
-    initials = F.when(F.length("first") > 1, F.array_distinct(F.transform("full", lambda x: F.substring(x, 1, 1)))).otherwise(F.array("first"))
-    p = p.select("issn", "kind", "sur", "given", "n", "who", F.explode(initials).alias("initial"), "full", "second")
+    p = p.select("issn", "kind", "sur", "given", "n", "who", "first", "full", "second")
     o = org.select("issn", "kind", "sur", "given", "n", F.explode(g).alias("word"))
     ofix = fixed.where("scope LIKE 'O%'").select(F.substring("scope", 2, 100).alias("issn"), "word", "canon")
     o = o.join(ofix, ["issn", "word"], "left").groupBy("issn", "kind", "sur", "given", "n").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("canon", "word"))), " ").alias("who"))
-    o = o.select("issn", "kind", "sur", "given", "n", "who", F.lit("").alias("initial"), F.array().cast("array<string>").alias("full"), F.lit("").alias("second"))
+    o = o.select("issn", "kind", "sur", "given", "n", "who", F.lit("").alias("first"), F.array().cast("array<string>").alias("full"), F.lit("").alias("second"))
     return cut(p.unionByName(o), "resolved")
 
 
-def _spellings(anchors: DataFrame, entries: DataFrame, authors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    a = anchors.select(F.col("anchor_id").alias("id"), "issn", F.col("article_author").alias("field"), F.lit(True).alias("many"))
-    t = authors.where("name IS NOT NULL").join(entries.where("issn IS NOT NULL").select("entry_id", "issn"), "entry_id").select(F.col("author_id").alias("id"), "issn", F.col("name").alias("field"), F.lit(False).alias("many"))
-    return cut(_spread(a), "anchor-names"), cut(_spread(t), "toc-names")
+def _fits(full: Column, first: Column, second: Column, person: Column) -> Column:
+    """Whether a form may be short for a person (given, mid): nothing in it contradicts."""
+    given = F.when(F.size(full) > 0, F.array_contains(full, person["given"])).otherwise(F.substring(person["given"], 1, 1) == first)
+    mid = (second == "") | (person["mid"] == "") | (F.substring(second, 1, 1) == person["mid"])
+    return given & mid
+
+
+def open_forms(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Persons' forms in surnames where it can be doubtful who is meant: (settled, open).
+
+    Persons of a journal and surname are the pairs of a full given name and a middle initial ('' if none) that were typed
+    there. A form is open if it fits persons that contradict each other: an initial before two given names, a nickname of
+    two, a name without its middle initial. ``settled`` are the other forms of these surnames that say a full given name,
+    (issn, kind, sur, given, who, name, mid); ``open`` has the persons that fit as (name, mid) in ``persons``.
+    """
+    people = forms.where("kind = 'person' AND size(full) = 1").select("issn", "who", F.col("full")[0].alias("given"), F.substring("second", 1, 1).alias("mid"))
+    mid = F.when(F.col("mid") != "", F.col("mid"))
+    doubtful = (
+        people.groupBy("issn", "who")
+        .agg(F.collect_set(F.struct("given", "mid")).alias("all"), (F.min("given") != F.max("given")).alias("g"), (F.min(mid) != F.max(mid)).alias("m"))
+        .where("g OR coalesce(m, false)")
+        .select("issn", "who", "all")
+    )
+    there = forms.where("kind = 'person'").join(doubtful, ["issn", "who"])
+    there = there.withColumn("persons", F.filter("all", lambda x: _fits(F.col("full"), F.col("first"), F.col("second"), x)))
+    mids = F.array_distinct(F.filter(F.transform("persons", lambda x: x["mid"]), lambda x: x != ""))
+    names = F.array_distinct(F.transform("persons", lambda x: x["given"]))
+    there = cut(there.withColumn("open", (F.size(names) > 1) | (F.size(mids) > 1)).drop("all", "n"), "doubtful")
+    settled = there.where("NOT open AND size(full) = 1").select("issn", "kind", "sur", "given", "who", F.col("full")[0].alias("name"), F.substring("second", 1, 1).alias("mid"))
+    return settled, there.where("open").select("issn", "kind", "sur", "given", "who", "second", "persons")
+
+
+DROPPED = 0.4  # how often a middle name is left out
+UNSEEN = 0.05  # how likely a middle initial is of a person who was never written with one
+ARTICLE = 50.0  # what a form in the same article weighs beside one elsewhere in the journal
+
+
+def settle_forms(mentions: DataFrame, forms: DataFrame) -> DataFrame:
+    """(id, toc, issn, kind, sur, given, name, mid): for each mention of an open form the person of maximum posterior.
+
+    The prior is how often a person is written in the journal, in distinct articles, and ARTICLE times that for the same
+    article (its title ``t`` or its volume and first page ``p``): who is meant by an initial is told first by what else is
+    written of the same article. The likelihood is that of leaving out a middle name. Ties go to the alphabet. Evidence
+    and doubtful mentions are counted by form and article first, so a popular article is a row for each form.
+    """
+    settled, doubtful = open_forms(forms)
+    on = ["issn", "kind", "sur", "given"]
+    person = ["issn", "who", "name", "mid"]
+    said = cut(mentions.join(settled, on).groupBy(*person, "t", "p").agg(F.count(F.lit(1)).alias("n")), "evidence")
+    prior = said.groupBy(*person).agg(F.countDistinct("t", "p").alias("prior"))
+    near = lambda key: said.where(f"{key} <> 0").groupBy(*person, key).agg(F.sum("n").alias(f"by_{key}"))
+    asked = mentions.join(doubtful.select(*on), on).select("id", "toc", *on, "t", "p")
+    asked = cut(asked, "open-mentions")
+    cases = asked.select(*on, "t", "p").distinct().join(doubtful, on).select(*on, "t", "p", "who", "second", F.explode("persons").alias("x"))
+    cases = cases.select(*on, "t", "p", "who", "second", F.col("x.given").alias("name"), "x.mid")
+    scored = cases.join(prior, person, "left").join(near("t"), [*person, "t"], "left").join(near("p"), [*person, "p"], "left").na.fill(0, ["prior", "by_t", "by_p"])
+    told = F.when((F.col("second") == "") & (F.col("mid") != ""), DROPPED).when((F.col("second") != "") & (F.col("mid") == ""), UNSEEN).otherwise(1.0)
+    posterior = F.log(F.col("prior") + ARTICLE * (F.col("by_t") + F.col("by_p")) + 0.5) + F.log(told)
+    best = scored.groupBy(*on, "t", "p").agg(F.max_by(F.struct("name", "mid"), F.struct(posterior.alias("s"), F.col("name"), F.col("mid"))).alias("b"))
+    return salted_join(asked, best.select(*on, "t", "p", "b.name", "b.mid"), [*on, "t", "p"]).select("id", "toc", *on, "name", "mid")
+
+
+def _initials(first: str = "first", full: str = "full") -> Column:
+    return F.when(F.size(full) > 0, F.array_distinct(F.transform(full, lambda x: F.substring(x, 1, 1)))).otherwise(F.array(first))
+
+
+def _title(c: str) -> Column:
+    """A title's letters and digits as a number, 0 if it has none."""
+    bare = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    return F.when(F.length(bare) > 0, F.xxhash64(bare)).otherwise(F.lit(0))
+
+
+def _place(volume: str, page: Column) -> Column:
+    """Volume and first page as a number, 0 if either is unknown."""
+    v = F.regexp_extract(volume, r"([0-9]+)", 1)
+    return F.when((v != "") & (page != "") & (page != "0"), F.xxhash64(v, page)).otherwise(F.lit(0))
+
+
+def _spellings(anchors: DataFrame, entries: DataFrame, authors: DataFrame) -> DataFrame:
+    """All mentions of names, (id, toc, issn, t, p, kind, sur, given); ``toc`` tells the author rows from the anchors."""
+    first = F.regexp_extract("journal_pages", r"([0-9]{1,7})", 1)
+    a = anchors.select(F.col("anchor_id").alias("id"), "issn", _title("article_title").alias("t"), _place("volume", first).alias("p"), F.col("article_author").alias("field"), F.lit(True).alias("many"))
+    e = entries.where("issn IS NOT NULL").select("entry_id", "issn", _title("title").alias("t"), _place("volume", F.col("start_page_number").cast("string")).alias("p"))
+    t = authors.where("name IS NOT NULL").join(e, "entry_id").select(F.col("author_id").alias("id"), "issn", "t", "p", F.col("name").alias("field"), F.lit(False).alias("many"))
+    return cut(_spread(a).withColumn("toc", F.lit(False)), "anchor-names").unionByName(cut(_spread(t).withColumn("toc", F.lit(True)), "toc-names"))
 
 
 def same_names(anchors: DataFrame, entries: DataFrame, authors: DataFrame) -> DataFrame:
     """(anchor_id, author_id): the anchor's author field includes the person or organisation of the author row, in one journal.
 
     Spellings are counted per journal, attributed to canonical ones by ``attribute`` (surnames and organisations' words
-    within the journal, given names over all), and compared as classes of spellings: same surname, and given names or
-    initials that don't contradict each other, short forms included; an organisation by the set of its words, kinds
+    within the journal, given names over all); where initials, nicknames or a missing middle name leave open which of
+    several persons is meant, ``settle_forms`` takes the likeliest. Pairs are compared as classes of spellings: same
+    surname, and given names or initials that don't contradict each other; an organisation by the set of its words, kinds
     spelled out. Rows without issn, name or id take no part; placeholders have no names; the pairs are distinct.
     """
-    a, t = _spellings(anchors, entries, authors)
-    forms = resolve(a.unionByName(t)).drop("n")
+    mentions = _spellings(anchors, entries, authors)
+    forms = resolve(mentions)
     on = ["issn", "kind", "sur", "given"]
-    part = lambda df, key, x: df.join(forms, on).select(F.col("id").alias(key), "issn", "kind", "who", "initial", F.col("full").alias(f"full_{x}"), F.col("second").alias(f"second_{x}"))
-    left, right = part(a, "anchor_id", "a"), part(t, "author_id", "t")
-    pairs = salted_join(left, right, ["issn", "kind", "who", "initial"])
+    chosen = cut(settle_forms(mentions, forms), "settled")
+    doubtful = chosen.select(*on).distinct()
+    plain = forms.join(doubtful, on, "left_anti").select(*on, "who", F.explode(_initials()).alias("initial"), "full", "second")
+    picked = chosen.join(forms.select(*on, "who"), on).select("id", "toc", "issn", "kind", "who", F.substring("name", 1, 1).alias("initial"), F.array("name").alias("full"), F.col("mid").alias("second"))
+    named = mentions.join(plain, on).select("id", "toc", "issn", "kind", "who", "initial", "full", "second").unionByName(picked)
+    side = lambda toc, key, x: named.where(F.col("toc") == toc).select(F.col("id").alias(key), "issn", "kind", "who", "initial", F.col("full").alias(f"full_{x}"), F.col("second").alias(f"second_{x}"))
+    pairs = salted_join(side(False, "anchor_id", "a"), side(True, "author_id", "t"), ["issn", "kind", "who", "initial"])
     first = (F.size("full_a") == 0) | (F.size("full_t") == 0) | F.arrays_overlap("full_a", "full_t")
     s1, s2 = F.col("second_a"), F.col("second_t")
     second = (s1 == "") | (s2 == "") | ((F.substring(s1, 1, 1) == F.substring(s2, 1, 1)) & ((F.length(s1) == 1) | (F.length(s2) == 1) | (F.levenshtein(s1, s2) <= 1)))
@@ -205,5 +294,5 @@ def same_names(anchors: DataFrame, entries: DataFrame, authors: DataFrame) -> Da
 def name_variants(anchors: DataFrame, entries: DataFrame, authors: DataFrame) -> DataFrame:
     """One row per spelling and journal, (issn, kind, spelling, canonical, initial, n): the class it belongs to and how
     often it was typed. Spellings of one class share (issn, kind, canonical, initial)."""
-    a, t = _spellings(anchors, entries, authors)
-    return resolve(a.unionByName(t)).select("issn", "kind", F.trim(F.concat_ws(" ", "sur", "given")).alias("spelling"), F.col("who").alias("canonical"), "initial", "n")
+    forms = resolve(_spellings(anchors, entries, authors))
+    return forms.select("issn", "kind", F.trim(F.concat_ws(" ", "sur", "given")).alias("spelling"), F.col("who").alias("canonical"), F.explode(_initials()).alias("initial"), "n")
