@@ -186,29 +186,28 @@ def _fits(full: Column, first: Column, second: Column, person: Column) -> Column
     return given & mid
 
 
-def open_forms(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Persons' forms in surnames where it can be doubtful who is meant: (settled, open).
+def doubtful_forms(forms: DataFrame) -> DataFrame:
+    """(issn, kind, sur, given, who, second, persons, open): the forms of persons in surnames where it can be doubtful who
+    is meant.
 
     Persons of a journal and surname are the pairs of a full given name and a middle initial ('' if none) that were typed
-    there. A form is open if it fits persons that contradict each other: an initial before two given names, a nickname of
-    two, a name without its middle initial. ``settled`` are the other forms of these surnames that say a full given name,
-    (issn, kind, sur, given, who, name, mid); ``open`` has the persons that fit as (name, mid) in ``persons``.
+    there; ``persons`` are those (given, mid) that the form fits. It is ``open`` if these contradict each other: an initial
+    before two given names, a nickname of two, a name without its middle initial.
     """
     people = forms.where("kind = 'person' AND size(full) = 1").select("issn", "who", F.col("full")[0].alias("given"), F.substring("second", 1, 1).alias("mid"))
     mid = F.when(F.col("mid") != "", F.col("mid"))
-    doubtful = (
+    several = (
         people.groupBy("issn", "who")
         .agg(F.collect_set(F.struct("given", "mid")).alias("all"), (F.min("given") != F.max("given")).alias("g"), (F.min(mid) != F.max(mid)).alias("m"))
         .where("g OR coalesce(m, false)")
         .select("issn", "who", "all")
     )
-    there = forms.where("kind = 'person'").join(doubtful, ["issn", "who"])
+    there = forms.where("kind = 'person'").join(several, ["issn", "who"])
     there = there.withColumn("persons", F.filter("all", lambda x: _fits(F.col("full"), F.col("first"), F.col("second"), x)))
     mids = F.array_distinct(F.filter(F.transform("persons", lambda x: x["mid"]), lambda x: x != ""))
     names = F.array_distinct(F.transform("persons", lambda x: x["given"]))
-    there = cut(there.withColumn("open", (F.size(names) > 1) | (F.size(mids) > 1)).drop("all", "n"), "doubtful")
-    settled = there.where("NOT open AND size(full) = 1").select("issn", "kind", "sur", "given", "who", F.col("full")[0].alias("name"), F.substring("second", 1, 1).alias("mid"))
-    return settled, there.where("open").select("issn", "kind", "sur", "given", "who", "second", "persons")
+    there = there.withColumn("open", (F.size(names) > 1) | (F.size(mids) > 1))
+    return cut(there.where("open OR size(full) = 1").select("issn", "kind", "sur", "given", "who", "full", "second", "persons", "open"), "doubtful")
 
 
 DROPPED = 0.4  # how often a middle name is left out
@@ -216,29 +215,31 @@ UNSEEN = 0.05  # how likely a middle initial is of a person who was never writte
 ARTICLE = 50.0  # what a form in the same article weighs beside one elsewhere in the journal
 
 
-def settle_forms(mentions: DataFrame, forms: DataFrame) -> DataFrame:
-    """(id, toc, issn, kind, sur, given, name, mid): for each mention of an open form the person of maximum posterior.
+def settle_forms(mentions: DataFrame, doubtful: DataFrame) -> DataFrame:
+    """(id, toc, issn, kind, who, name, mid): for each mention of an open form the person of maximum posterior.
 
     The prior is how often a person is written in the journal, in distinct articles, and ARTICLE times that for the same
     article (its title ``t`` or its volume and first page ``p``): who is meant by an initial is told first by what else is
     written of the same article. The likelihood is that of leaving out a middle name. Ties go to the alphabet. Evidence
     and doubtful mentions are counted by form and article first, so a popular article is a row for each form.
     """
-    settled, doubtful = open_forms(forms)
     on = ["issn", "kind", "sur", "given"]
-    person = ["issn", "who", "name", "mid"]
-    said = cut(mentions.join(settled, on).groupBy(*person, "t", "p").agg(F.count(F.lit(1)).alias("n")), "evidence")
-    prior = said.groupBy(*person).agg(F.countDistinct("t", "p").alias("prior"))
-    near = lambda key: said.where(f"{key} <> 0").groupBy(*person, key).agg(F.sum("n").alias(f"by_{key}"))
-    asked = mentions.join(doubtful.select(*on), on).select("id", "toc", *on, "t", "p")
-    asked = cut(asked, "open-mentions")
-    cases = asked.select(*on, "t", "p").distinct().join(doubtful, on).select(*on, "t", "p", "who", "second", F.explode("persons").alias("x"))
-    cases = cases.select(*on, "t", "p", "who", "second", F.col("x.given").alias("name"), "x.mid")
-    scored = cases.join(prior, person, "left").join(near("t"), [*person, "t"], "left").join(near("p"), [*person, "p"], "left").na.fill(0, ["prior", "by_t", "by_p"])
+    person, case = ["issn", "who", "name", "mid"], [*on, "t", "p"]
+    near = cut(mentions.join(doubtful.select(*on, "who", "open"), on), "doubtful-mentions")
+    settled = doubtful.where("NOT open").select(*on, F.col("full")[0].alias("name"), F.substring("second", 1, 1).alias("mid"))
+    said = near.where("NOT open").groupBy(*case, "who").agg(F.count(F.lit(1)).alias("n")).join(settled, on).groupBy(*person, "t", "p").agg(F.sum("n").alias("n"))
+    said = cut(said, "evidence")
+    keys = lambda: F.explode(F.array(F.struct(F.lit("t").alias("by"), F.col("t").alias("key")), F.struct(F.lit("p").alias("by"), F.col("p").alias("key"))))
+    beside = said.select(*person, keys().alias("k"), "n").where("k.key <> 0").groupBy(*person, F.col("k.by").alias("by"), F.col("k.key").alias("key")).agg(F.sum("n").alias("near"))
+    asked = near.where("open").select("id", "toc", *case)
+    cases = asked.select(*case).distinct().join(doubtful.where("open"), on).select(*case, "who", "second", F.explode("persons").alias("x"))
+    cases = cases.select(*case, "who", "second", F.col("x.given").alias("name"), "x.mid", keys().alias("k")).select("*", "k.by", "k.key").drop("k")
+    scored = cases.join(beside, [*person, "by", "key"], "left").groupBy(*case, *person[1:], "second").agg(F.coalesce(F.sum("near"), F.lit(0)).alias("near"))
+    scored = scored.join(said.groupBy(*person).agg(F.count(F.lit(1)).alias("prior")), person, "left")
     told = F.when((F.col("second") == "") & (F.col("mid") != ""), DROPPED).when((F.col("second") != "") & (F.col("mid") == ""), UNSEEN).otherwise(1.0)
-    posterior = F.log(F.col("prior") + ARTICLE * (F.col("by_t") + F.col("by_p")) + 0.5) + F.log(told)
-    best = scored.groupBy(*on, "t", "p").agg(F.max_by(F.struct("name", "mid"), F.struct(posterior.alias("s"), F.col("name"), F.col("mid"))).alias("b"))
-    return salted_join(asked, best.select(*on, "t", "p", "b.name", "b.mid"), [*on, "t", "p"]).select("id", "toc", *on, "name", "mid")
+    posterior = F.log(F.coalesce("prior", F.lit(0)) + ARTICLE * F.col("near") + 0.5) + F.log(told)
+    best = scored.groupBy(*case, "who").agg(F.max_by(F.struct("name", "mid"), F.struct(posterior.alias("s"), F.col("name"), F.col("mid"))).alias("b"))
+    return salted_join(asked, best.select(*case, "who", "b.name", "b.mid"), case).select("id", "toc", "issn", "kind", "who", "name", "mid")
 
 
 def _initials(first: str = "first", full: str = "full") -> Column:
@@ -278,13 +279,14 @@ def same_names(anchors: DataFrame, entries: DataFrame, authors: DataFrame) -> Da
     mentions = _spellings(anchors, entries, authors)
     forms = resolve(mentions)
     on = ["issn", "kind", "sur", "given"]
-    chosen = cut(settle_forms(mentions, forms), "settled")
-    doubtful = chosen.select(*on).distinct()
-    plain = forms.join(doubtful, on, "left_anti").select(*on, "who", F.explode(_initials()).alias("initial"), "full", "second")
-    picked = chosen.join(forms.select(*on, "who"), on).select("id", "toc", "issn", "kind", "who", F.substring("name", 1, 1).alias("initial"), F.array("name").alias("full"), F.col("mid").alias("second"))
-    named = mentions.join(plain, on).select("id", "toc", "issn", "kind", "who", "initial", "full", "second").unionByName(picked)
+    doubtful = doubtful_forms(forms)
+    picked = cut(settle_forms(mentions, doubtful), "settled").select("id", "toc", "issn", "kind", "who", F.substring("name", 1, 1).alias("initial"), F.array("name").alias("full"), F.col("mid").alias("second"))
+    plain = forms.join(doubtful.where("open"), on, "left_anti").select(*on, "n", "who", F.explode(_initials()).alias("initial"), "full", "second")
+    named = mentions.join(plain.drop("n"), on).select("id", "toc", "issn", "kind", "who", "initial", "full", "second").unionByName(picked)
     side = lambda toc, key, x: named.where(F.col("toc") == toc).select(F.col("id").alias(key), "issn", "kind", "who", "initial", F.col("full").alias(f"full_{x}"), F.col("second").alias(f"second_{x}"))
-    pairs = salted_join(side(False, "anchor_id", "a"), side(True, "author_id", "t"), ["issn", "kind", "who", "initial"])
+    same = ["issn", "kind", "who", "initial"]
+    often = forms.select(*same[:3], F.explode(_initials()).alias("initial"), "n").groupBy(*same).agg(F.sum("n").alias("count"))  # no class has more mentions
+    pairs = salted_join(side(False, "anchor_id", "a"), side(True, "author_id", "t"), same, counts=often)
     first = (F.size("full_a") == 0) | (F.size("full_t") == 0) | F.arrays_overlap("full_a", "full_t")
     s1, s2 = F.col("second_a"), F.col("second_t")
     second = (s1 == "") | (s2 == "") | ((F.substring(s1, 1, 1) == F.substring(s2, 1, 1)) & ((F.length(s1) == 1) | (F.length(s2) == 1) | (F.levenshtein(s1, s2) <= 1)))

@@ -83,6 +83,27 @@ def test_parse_name(text, parsed):
     assert names.parse_name(text) == parsed
 
 
+def toc(spark, rows):
+    """Contents entries from (entry_id, issn[, title])."""
+    return spark.createDataFrame([(*r, None)[:3] + (None, None) for r in rows], "entry_id long, issn string, title string, volume string, start_page_number int")
+
+
+def test_several_persons_behind_an_initial(spark):
+    """Planted persons of one surname whose initials agree: a spelling goes to the one its article names, else to the most
+    usual; with ten and a hundred times the rows the answer is the same."""
+    said = [
+        ("On Moss", "Heirard, Bridget"), ("On Moss", "Heirard, B"), ("On Moss", "B Heirard"), ("On Peat", "Heirard, Bertha"), ("On Peat", "Heirard, B."), ("On Clay", "Heirard, Bertha"), ("On Marl", "Heirard, Bertha T"),
+        ("On Sand", "Heirard, B"), ("On Fens", "Heirard, Ted"), ("On Fens", "Heirard, Theodore"), ("On Dunes", "Heirard, Edward"),
+    ]
+    df = anchors(spark, [{"anchor_id": k, "issn": "1", "article_title": t, "article_author": a} for k, (t, a) in enumerate(said)])
+    entries = toc(spark, [(1, "1", "on moss."), (2, "1", "On Peat"), (3, "1", "On Fens"), (4, "1", "On Loess")])
+    authors = spark.createDataFrame([(11, 1, "Heirard, B."), (12, 2, "Heirard, Bertha"), (13, 3, "T. Heirard"), (14, 4, "E. Heirard")], "author_id long, entry_id long, name string")
+    want = {(0, 11), (1, 11), (2, 11), (3, 12), (4, 12), (5, 12), (6, 12), (7, 12), (8, 13), (9, 13), (10, 14)}
+    assert {tuple(r) for r in names.same_names(df, entries, authors).collect()} == want
+    often = df.crossJoin(spark.range(30)).drop("id")
+    assert {tuple(r) for r in names.same_names(often, entries, authors).collect()} == want
+
+
 def test_same_names(spark):
     a = [
         (1, "Heirard, Timothy; Brown, K"),
@@ -96,7 +117,7 @@ def test_same_names(spark):
         (9, "A" * 50_000),
     ]
     df = anchors(spark, [{"anchor_id": i, "issn": "1", "article_author": x} for i, x in a] + [{"anchor_id": 20, "issn": "2", "article_author": "Heirard, T"}, {"anchor_id": 21, "article_author": "Heirard, T"}, {"anchor_id": 1, "issn": "1", "article_author": "Heirard, Timothy; Brown, K"}])
-    entries = spark.createDataFrame([(1, "1"), (2, None)], "entry_id long, issn string")
+    entries = toc(spark, [(1, "1"), (2, None)])
     authors = spark.createDataFrame([(11, 1, "Heirard, T."), (12, 1, "INST. MOSS GROWTH, OSLO"), (13, 1, None), (14, 2, "Heirard, T."), (15, 1, "Brown, Karl"), (16, 9, "Brown, Karl")], "author_id long, entry_id long, name string")
     got = {tuple(r) for r in names.same_names(df, entries, authors).collect()}
     assert got == {(1, 11), (2, 11), (3, 11), (8, 11), (5, 12), (1, 15)}
@@ -129,7 +150,7 @@ def test_attribution_of_larger_tables(spark):
         assert {r.word: r.canon for r in names.attribute(df).collect()} == {"felxi": "felix", "greth": "gareth"}
     spelled = ["Sturhaeland, Felix", "Sturshaeland, Felix", "Sturshaeland, F", "Sturshaeland, Felix M", "Oland, Carl", "Oland, Karl", "Berg, Felix", "Dal, Felxi", "Dal, Felix"]
     df = anchors(spark, [{"anchor_id": k, "issn": "1", "article_author": x} for k, x in enumerate(spelled)])
-    entries = spark.createDataFrame([(1, "1")], "entry_id long, issn string")
+    entries = toc(spark, [(1, "1")])
     authors = spark.createDataFrame([(11, 1, "Sturshaeland, F."), (12, 1, "Dal, Felix")], "author_id long, entry_id long, name string")
     often = df.crossJoin(spark.range(10)).drop("id")
     once = {tuple(r) for r in names.name_variants(df, entries, authors).drop("n").collect()}
@@ -388,6 +409,26 @@ def test_leaks(spark):
     assert leaks.find_leaks(d.where("doc_id > 999"), t).count() == 0
 
 
+def test_leaks_in_parts_and_in_another_order(spark):
+    rnd = random.Random(19)
+    word = lambda: "".join(rnd.choice("bdgkmprsvz") + rnd.choice("aou") for _ in range(3))
+    say = lambda n: [word() for _ in range(n)]
+    items = [say(60), say(60), say(900), say(60)]
+    around = lambda w: " ".join(say(40) + w + say(40))
+    every = [w if k % 6 else word() for k, w in enumerate(items[2])]  # 150 tiles in one chain
+    docs = [
+        (1, around(items[0][20:26] + say(60) + items[0][26:44])),  # broken after the sixth word
+        (2, around([word() if k in (5, 10, 15) else w for k, w in enumerate(items[1][20:41])])),  # one run of five words
+        (3, around(every)),
+        (4, around(items[3][40:52] + items[3][20:32] + items[3][0:12])),  # no twenty words in order, but half of it
+    ]
+    t = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), t).collect()}
+    assert set(got) == {(1, 0), (2, 1), (3, 2), (4, 3)}
+    assert got[3, 2].words > 800 and got[1, 0].words == 24
+    assert got[4, 3].words < 20 and got[4, 3].coverage == 0.6
+
+
 def test_no_core_module_imports_the_subpackage():
     from pathlib import Path
 
