@@ -53,11 +53,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("words >= 20").select("doc_id", "item_id")
 
 
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).withColumn("coverage", F.round("coverage", 4))
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
