@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliant.operators.skew import salted_join
-from foliant.session import cut, release, settle
+from foliant.session import cut, release
 
 # Log odds of the evidence, set by how often it goes with true and with false pairs of one issue
 PRIOR = -2.5
@@ -240,8 +240,6 @@ def match_articles(anchors: DataFrame, entries: DataFrame, authors: DataFrame, l
     units = cut(units.join(aligned, "ga").drop("ga"), "units")
     members = cut(requests.select("anchor_id", "unit"), "members")
     release(requests)
-    del requests, sides, aligned
-    settle(units)
     # the usual shift between leaves and page indexes of an issue, from units and entries with the same first page
     beside = units.where("page > 0").join(e.where("start_page > 0"), (units["ge"] == e["ge"]) & (units["page"] == e["start_page"]))
     shift = beside.groupBy(units["ge"]).agg(F.percentile_approx(F.col("leaf") - F.col("start_index"), 0.5, 100).alias("shift"))
