@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 _own: str | None = None  # made once where no folder is named
 
 
-def get_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_memory: str = "12g") -> SparkSession:
-    """A session for tests and benches; on a cluster the caller brings its own."""
+def get_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_memory: str = "12g", checkpoint_dir: str | None = None) -> SparkSession:
+    """A session of this machine for tests and benches; on a cluster the caller brings its own."""
     return (
         SparkSession.builder.master(master)
         .appName("foliant")
@@ -23,6 +21,7 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_me
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", driver_memory)
+        .config("spark.checkpoint.dir", checkpoint_dir or tempfile.mkdtemp(prefix="foliant-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -31,41 +30,44 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_me
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset, a temporary one of this machine."""
+    """The folder of spark.checkpoint.dir. Where it is unset a local master, as in tests, gets a temporary folder of its own;
+    a cluster has to name one that all its machines share."""
     global _own
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         path = _own = _own or tempfile.mkdtemp(prefix="foliant-")
     return path.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The result has no lineage behind it, so losing executors costs no recomputation of what came before,
     and later plans get column pruning and size statistics. Files are removed by ``release``, or when the driver ends.
-    What was shuffled on the way is no longer needed: the driver's collector is called, as Spark removes shuffle files only
-    when it finds nothing that refers to them.
+    What was shuffled on the way is removed when the write has ended: nothing will read it again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._foliant_path = path
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
-def settle(df: DataFrame, seconds: float = 1.5) -> None:
-    """Wait for Spark's cleaner, which works beside the jobs, to remove the files of earlier shuffles before a large step."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    time.sleep(seconds)
-
-
 def release(*written: DataFrame) -> None:
     """Remove the files of results of ``cut`` that nothing will read again."""
     for df in written:
