@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 OPEN, CLOSE = "([{", ")]}"
 QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»"}
 
-# Words that may stand between values, words that only announce, remarks that more follow
-JOIN_WORDS = ("and", "with", "und", "y")
+# Remarks that more follow, words that only announce
 MORE = r"(?:et\s+al|et\s+alii|and\s+others|&\s*others|and\s+colleagues|u\.\s?a)\b\.?"
 ANNOUNCE = r"(?:pages?|pgs?|pp?)\b\.?\s*"
 PLACEHOLDERS = {"n/a", "na", "none", "unknown", "anon", "anonymous", "null", "no author", "not given", "-", "--", "?", "various", ""}
@@ -26,6 +25,8 @@ _MORE_END = re.compile(rf"[\s,;/|&]*(?<![\w]){MORE}[\s,;/|&.]*$", re.I)
 _AND = re.compile(r"\s+(?:and|with)\s+", re.I)
 _LEAD = re.compile(r"^(?:[\s,;/|&+]+|(?:and|with)\s+)+", re.I)
 _TITLE = re.compile(r"^(?:(?:dr|prof|mr|mrs|ms|sir|rev)\b\.?\s*)+", re.I)
+_JOINED = re.compile(r"\s*(and|with)\s", re.I)
+_PLAIN = re.compile(r"[^\\\"'“‘«(\[{)\]};|/\t\n\r&+,]+")
 _THOUSAND = re.compile(r"(?<![\d,])\d,\d{3}(?![\d,])")
 _ANNOUNCE = re.compile(rf"^\s*{ANNOUNCE}(?=[\divxlcSe(])", re.I)
 
@@ -39,7 +40,13 @@ def scan(text: str) -> Iterator[tuple[str, str]]:
     """
     run: list[str] = []
     i, n, depth = 0, len(text), 0
+    last = {c: text.rfind(c) for c in CLOSE}
     while i < n:
+        m = _PLAIN.match(text, i)
+        if m:  # nothing in it changes the state
+            run.append(m[0])
+            i = m.end()
+            continue
         c = text[i]
         if c == "\\" and i + 1 < n:
             run.append(text[i + 1])
@@ -68,7 +75,7 @@ def scan(text: str) -> Iterator[tuple[str, str]]:
                 yield "quoted", "".join(body)
                 i = j + 1
                 continue
-        if c in OPEN and text.find(CLOSE[OPEN.index(c)], i) > 0:
+        if c in OPEN and last[CLOSE[OPEN.index(c)]] > i:
             depth += 1
         elif c in CLOSE and depth:
             depth -= 1
@@ -160,7 +167,7 @@ def split_authors(text: str | None) -> list[str]:
         if not pieces:
             continue
         pieces[0] = _LEAD.sub("", pieces[0])
-        for v in _names([(_LEAD.sub("", p) if re.match(r"\s*(and|with)\s", p, re.I) else p) for p in pieces if p.strip()]):
+        for v in _names([(_LEAD.sub("", p) if _JOINED.match(p) else p) for p in pieces if p.strip()]):
             v = _enclosed(_MORE_END.sub("", v))
             if v and any(c.isalpha() for c in v):
                 out.append(v)
