@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliant.operators.multivalue import ORG_TYPES, split_authors
 from foliant.operators.skew import salted_join
@@ -30,26 +30,31 @@ NICKNAMES = {
 }
 # Short forms of the kinds of organisation
 ORG_SHORT = {"dept": "department", "inst": "institute", "assoc": "association", "comm": "commission", "bur": "bureau", "soc": "society", "univ": "university", "lab": "laboratory", "acad": "academy", "fed": "federation", "center": "centre", "co": "company", "found": "foundation"}
+_ORG_TYPES = frozenset(ORG_TYPES)
+_WORDS = re.compile(r"[A-Za-z]+(?:['-][A-Za-z]+)*")
+_SUR = re.compile(r"[A-Za-z'-]+")
 _ORG_STOP = {"the", "of", "for", "and", "on", "in", "at"}
 _TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "miss", "sir", "rev", "jr", "sr", "phd", "md"}
 
 
 def fold(text: str) -> str:
     """Without accents."""
+    if text.isascii():
+        return text
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
 def parse_name(text: str) -> tuple[str, str, list[str]] | None:
     """('person', surname, given names or initials) or ('org', '', content words), in lower case without accents."""
     t = fold(text)
-    words = re.findall(r"[A-Za-z]+(?:['-][A-Za-z]+)*", t)
+    words = _WORDS.findall(t)
     low = [w.lower() for w in words]
-    if any(w in ORG_TYPES for w in low) and len(words) > 2:
+    if len(words) > 2 and not _ORG_TYPES.isdisjoint(low):
         return "org", "", [ORG_SHORT.get(w, w) for w in low if w not in _ORG_STOP]
     if "," in t:
         left, right = t.split(",", 1)
-        sur = [w for w in re.findall(r"[A-Za-z'-]+", left) if w.lower().strip(".") not in _TITLES]
-        given = re.findall(r"[A-Za-z]+(?:['-][A-Za-z]+)*", right)
+        sur = [w for w in _SUR.findall(left) if w.lower().strip(".") not in _TITLES]
+        given = _WORDS.findall(right)
         surname = "".join(sur).lower()
     else:
         lead = 0
@@ -220,26 +225,27 @@ def settle_forms(mentions: DataFrame, doubtful: DataFrame) -> DataFrame:
 
     The prior is how often a person is written in the journal, in distinct articles, and ARTICLE times that for the same
     article (its title ``t`` or its volume and first page ``p``): who is meant by an initial is told first by what else is
-    written of the same article. The likelihood is that of leaving out a middle name. Ties go to the alphabet. Evidence
-    and doubtful mentions are counted by form and article first, so a popular article is a row for each form.
+    written of the same article. The likelihood is that of leaving out a middle name. Ties go to the alphabet. Mentions
+    are counted by form and article first, so a popular article is a row for each form, whoever asked for it.
     """
     on = ["issn", "kind", "sur", "given"]
-    person, case = ["issn", "who", "name", "mid"], [*on, "t", "p"]
-    near = cut(mentions.join(doubtful.select(*on, "who", "open"), on), "doubtful-mentions")
-    settled = doubtful.where("NOT open").select(*on, F.col("full")[0].alias("name"), F.substring("second", 1, 1).alias("mid"))
-    said = near.where("NOT open").groupBy(*case, "who").agg(F.count(F.lit(1)).alias("n")).join(settled, on).groupBy(*person, "t", "p").agg(F.sum("n").alias("n"))
-    said = cut(said, "evidence")
-    keys = lambda: F.explode(F.array(F.struct(F.lit("t").alias("by"), F.col("t").alias("key")), F.struct(F.lit("p").alias("by"), F.col("p").alias("key"))))
-    beside = said.select(*person, keys().alias("k"), "n").where("k.key <> 0").groupBy(*person, F.col("k.by").alias("by"), F.col("k.key").alias("key")).agg(F.sum("n").alias("near"))
-    asked = near.where("open").select("id", "toc", *case)
-    cases = asked.select(*case).distinct().join(doubtful.where("open"), on).select(*case, "who", "second", F.explode("persons").alias("x"))
-    cases = cases.select(*case, "who", "second", F.col("x.given").alias("name"), "x.mid", keys().alias("k")).select("*", "k.by", "k.key").drop("k")
-    scored = cases.join(beside, [*person, "by", "key"], "left").groupBy(*case, *person[1:], "second").agg(F.coalesce(F.sum("near"), F.lit(0)).alias("near"))
-    scored = scored.join(said.groupBy(*person).agg(F.count(F.lit(1)).alias("prior")), person, "left")
+    case = [*on, "t", "p"]
+    near = cut(mentions.join(doubtful.select(*on, "open"), on), "doubtful-mentions")
+    counts = near.groupBy(*case).agg(F.count(F.lit(1)).alias("n"))
+    own = F.array(F.struct(F.col("full")[0].alias("given"), F.substring("second", 1, 1).alias("mid")))
+    cases = counts.join(doubtful, on).select(*case, "n", "who", "second", "open", F.explode(F.when(F.col("open"), F.col("persons")).otherwise(own)).alias("x"))
+    cases = cases.select(*case, "n", "who", "second", "open", F.col("x.given").alias("name"), "x.mid")
+    person = W.partitionBy("issn", "who", "name", "mid")
+    said = F.when(F.col("open"), 0).otherwise(F.col("n"))
+    prior = F.sum(F.when(F.col("open"), 0).otherwise(1)).over(person)
+    beside = lambda key: F.when(F.col(key) == 0, 0).otherwise(F.sum(said).over(W.partitionBy("issn", "who", "name", "mid", key)))
+    scored = cases.withColumn("prior", prior).withColumn("near", beside("t")).withColumn("near", F.col("near") + beside("p")).where("open")
     told = F.when((F.col("second") == "") & (F.col("mid") != ""), DROPPED).when((F.col("second") != "") & (F.col("mid") == ""), UNSEEN).otherwise(1.0)
-    posterior = F.log(F.coalesce("prior", F.lit(0)) + ARTICLE * F.col("near") + 0.5) + F.log(told)
-    best = scored.groupBy(*case, "who").agg(F.max_by(F.struct("name", "mid"), F.struct(posterior.alias("s"), F.col("name"), F.col("mid"))).alias("b"))
-    return salted_join(asked, best.select(*case, "who", "b.name", "b.mid"), case).select("id", "toc", "issn", "kind", "who", "name", "mid")
+    posterior = F.log(F.col("prior") + ARTICLE * F.col("near") + 0.5) + F.log(told)
+    best = scored.groupBy(*case, "who", "n").agg(F.max_by(F.struct("name", "mid"), F.struct(posterior.alias("s"), F.col("name"), F.col("mid"))).alias("b"))
+    best = cut(best.select(*case, "who", "b.name", "b.mid", F.col("n").alias("count")), "chosen")
+    asked = near.where("open").select("id", "toc", *case)
+    return salted_join(asked, best.drop("count"), case, counts=best.select(*case, "count")).select("id", "toc", "issn", "kind", "who", "name", "mid")
 
 
 def _initials(first: str = "first", full: str = "full") -> Column:
