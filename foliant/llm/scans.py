@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliant.session import cut
 
-WINDOW, HALO = 512, 64  # blocks of an item that are labelled together, and blocks after them that are looked at
+WINDOW, HALO = 512, 64  # blocks of an item that are labelled together, and blocks before and after them that are looked at
 MISREAD_SHARE = 0.01  # how much of a word's occurrences one misreading of it may make up
+SHORT_WORD, SHORT_SHARE = 3, 0.002  # words up to so many letters: likewise, and the word must occur 1 / SHORT_SHARE times
+PAGE_HEIGHT = 792.0  # points; pages of another height are scaled to it
 HEADER, BODY, BREAK = 0, 1, 2
 STATES = ("header", "body", "break")
 
@@ -36,6 +38,11 @@ _TOKEN = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*")
 _END = re.compile(r"[.!?:;]['\")\]”’]*\s*$")
 _MIXED = re.compile(r"^(?=.*\d)(?=.*[lIOS])[\dlIOS]+$|[^\W\d_][015][^\W\d_]|^[015][^\W\d_]{2,}|[^\W\d_]{2,}[015]$|[äﬁﬂ]", re.I)
 
+_NOT_LETTER = re.compile(r"[^a-z]+")
+_ALIKE = str.maketrans({"1": "l", "i": "l", "f": "t", "0": "o", "5": "s", "c": "e", "ä": "a", "q": "g", "b": "h", "v": "y"})
+_DIGIT = re.compile(r"\d")
+_HYPHENS = ("-", "\u00ad", "¬", "\u2010")
+
 FEATURES = ("zone", "form", "label", "layer")
 
 
@@ -44,7 +51,7 @@ def _letters(line: str) -> str:
     s = _PAGE_MARKS.sub(" ", f" {line.strip()} ").lower()
     for a, b in (("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("in", "m")):
         s = s.replace(a, b)
-    return re.sub(r"[^a-z]+", "", s.translate(str.maketrans({"1": "l", "i": "l", "f": "t", "0": "o", "5": "s", "c": "e", "ä": "a", "q": "g", "b": "h", "v": "y"})))
+    return _NOT_LETTER.sub("", s.translate(_ALIKE))
 
 
 def _number(text: str) -> int | None:
@@ -52,9 +59,19 @@ def _number(text: str) -> int | None:
     return int(t) if t.isdigit() and any(c.isdigit() for c in text) else None
 
 
-def _zone(t: float | None) -> str:
+def page_scale(tops: list[float | None], pages: int = 4) -> float:
+    """What makes the heights of an item's pages PAGE_HEIGHT. Nearly all of a page is printed on, so the height that
+    ``pages`` blocks reach is a little less than the page's; between four fifths and all of PAGE_HEIGHT it is that."""
+    known = sorted((abs(t) for t in tops if t is not None and t == t), reverse=True)
+    reached = known[pages - 1] if len(known) >= 2 * pages else 0.0
+    return 1.0 if not reached or 0.8 * PAGE_HEIGHT <= reached <= PAGE_HEIGHT else 0.97 * PAGE_HEIGHT / reached
+
+
+def _zone(t: float | None, scale: float = 1.0) -> str:
+    """Where on the page a top edge is; negative ones count from the top of the page."""
     if t is None or t != t:
         return "unknown"
+    t = t * scale if t >= 0 else PAGE_HEIGHT + t * scale
     return "top" if t >= 745 else "bottom" if t <= 65 else "heading" if 710 <= t < 745 else "middle"
 
 
@@ -119,7 +136,8 @@ class Page:
             parts = text.split("\n") if text.strip() else [""]
             self.lines += [(b, p) for p in parts]
         size = Counter(b for b, _ in self.lines)
-        zone = [_zone(b[5]) for b in blocks]
+        scale = page_scale([b[5] for b in blocks])
+        zone = [_zone(b[5], scale) for b in blocks]
         shifts, heads = Counter(), {}
         for b, text in self.lines:
             if size[b] == 1:
@@ -141,7 +159,7 @@ class Page:
             self.features.append((zone[b], self.form(text, blocks[b][1]), kind, blocks[b][3] if blocks[b][3] in ("furniture", "body") else "none"))
 
     def numbers(self, text: str) -> list[int]:
-        if not any(c.isdigit() for c in text) and len(text) > 8:
+        if len(text) > 8 and not _DIGIT.search(text):
             return []
         m = _NUMBER.match(text.strip())
         found = [m[1]] if m else [x for g in _EDGE_NUMBER.findall(text.strip()) for x in g if x]
@@ -187,7 +205,7 @@ def fit(blocks: DataFrame, items: int = 200, rounds: int = 3, most_blocks: int =
     of their names) and at most ``most_blocks`` blocks of them; everything else is decoded with the result. An empty table
     keeps the starting values."""
     few = blocks.where("item IS NOT NULL").select("item").distinct().orderBy(F.xxhash64("item")).limit(items)
-    sample = blocks.join(F.broadcast(few), "item").orderBy("item", "idx").limit(most_blocks).withColumn("own", F.lit(True)).withColumn("top", F.col("bbox.t")).drop("bbox").toPandas()
+    sample = blocks.join(F.broadcast(few), "item").orderBy("item", "idx").limit(most_blocks).withColumn("own", F.lit(True)).withColumn("idx", F.coalesce(F.col("idx").cast("long"), F.col("block_id").cast("long"))).withColumn("top", top_edge(F.col("bbox"))).drop("bbox").toPandas()
     model = start_model()
     if not len(sample):
         return model
@@ -252,7 +270,7 @@ def _label(item: str, rows: list[tuple], own: list[bool], idx: list[int], logs:
         lines = body[b]
         for k, line in enumerate(lines):
             s = line.strip()
-            m = _HYPHEN.search(s)
+            m = _HYPHEN.search(s) if s.endswith(_HYPHENS) else None
             right = None
             if m:
                 target = lines[k + 1].strip() if k + 1 < len(lines) else follow if prose[b] else ""
@@ -280,7 +298,8 @@ def _label(item: str, rows: list[tuple], own: list[bool], idx: list[int], logs:
             words += w
         # a bracket inside a word, or one that opens before a word and never closes, is a misread letter
         flat = " ".join(x.strip() for x in lines)
-        words += re.findall(r"[^\W\d_]+\([^\W\d_]*", flat)
+        if "(" in flat:
+            words += re.findall(r"[^\W\d_]+\([^\W\d_]*", flat)
         if flat.count("(") > flat.count(")"):
             words += re.findall(r"(?<!\S)\([^\W\d_]+(?=[\s.,;])", flat)
         state = "header" if furniture[b] else "body" if prose[b] else "break"
@@ -288,21 +307,26 @@ def _label(item: str, rows: list[tuple], own: list[bool], idx: list[int], logs:
     return out
 
 
+def top_edge(bbox: Column) -> Column:
+    """The upper edge of a box, negative where heights count from the top of the page."""
+    return F.when(bbox["t"] < bbox["b"], -bbox["t"]).otherwise(bbox["t"])
+
+
 def label_lines(blocks: DataFrame, model: dict | None = None) -> DataFrame:
     """Each block with its lines labelled and taken apart; see LABELLED.
 
-    Items are decoded in windows of WINDOW blocks, each with the next HALO blocks in view, so no task holds more of an
-    item than that, however long it is.
+    Items are decoded in windows of WINDOW blocks, each with HALO blocks before and after it in view, so no task holds more
+    of an item than that, however long it is. Blocks without a place in their item stand where their id would. Tops of
+    pages whose origin is above are made negative; see ``_zone``.
     """
     logs = _logs(model or fit(blocks))
-    at = F.coalesce(F.col("idx"), F.lit(0)).cast("long")
-    win = F.floor(at / WINDOW).cast("long")
-    halo = (at % WINDOW < HALO) & (at >= WINDOW)
+    at = F.coalesce(F.col("idx").cast("long"), F.col("block_id").cast("long"))
+    seen_by = lambda by: F.floor((F.col("idx") + by) / WINDOW).cast("long")
     source = (
         blocks.where("block_id IS NOT NULL AND item IS NOT NULL")
-        .select("item", F.col("block_id").cast("long").alias("block_id"), at.alias("idx"), "page_no", "label", "content_layer", "text", F.col("bbox.t").alias("top"), win.alias("w"), halo.alias("h"))
-        .withColumn("v", F.explode(F.when(F.col("h"), F.array(F.struct(F.col("w").alias("win"), F.lit(True).alias("own")), F.struct((F.col("w") - 1).alias("win"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("w").alias("win"), F.lit(True).alias("own"))))))
-        .select("item", "v.win", "v.own", "block_id", "idx", "page_no", "label", "content_layer", "text", "top")
+        .select("item", F.col("block_id").cast("long").alias("block_id"), at.alias("idx"), "page_no", "label", "content_layer", "text", top_edge(F.col("bbox")).alias("top"))
+        .withColumn("win", F.explode(F.array_distinct(F.array(seen_by(0), seen_by(HALO), seen_by(-HALO)))))
+        .select("item", "win", (F.col("win") == seen_by(0)).alias("own"), "block_id", "idx", "page_no", "label", "content_layer", "text", "top")
     )
     placed = source.repartition("item", "win").sortWithinPartitions("item", "win", "idx", "block_id")
 
@@ -355,16 +379,17 @@ def repair(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What the corpus' word counts say: misread words as (word, printed), and broken words as (left, right, split).
 
     A word is misread if undoing a confusion gives a more frequent one, of which it is no more than MISREAD_SHARE, or one
-    occurrence; words that mix letters and digits are misread in any case (see _misread_blocks). A word broken at a line end is one word unless its hyphenated form is known better. Counts are
+    occurrence (short words no more than SHORT_SHARE); words that mix letters and digits are misread in any case (see _misread_blocks). A word broken at a line end is one word unless its hyphenated form is known better. Counts are
     over all blocks; very frequent words never leave the count.
     """
     words = labelled.select(F.explode("words").alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     vocabulary = cut(words.where("length(word) > 1"), "vocabulary")
     whole = _broken_words(labelled).groupBy(F.lower("raw").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     all_words = vocabulary.unionByName(whole).groupBy("word").agg(F.sum("n").alias("n"))
-    suspects = _undone(all_words.where(r"word rlike '\\p{L}'").where("length(word) > 3"))
+    suspects = _undone(all_words.where(r"word rlike '\\p{L}'").where("length(word) > 1"))
     known = vocabulary.select(F.col("word").alias("candidate"), F.col("n").alias("m"))
-    better = F.col("n") <= 1 + MISREAD_SHARE * F.col("m")
+    short = F.length("word") <= SHORT_WORD
+    better = F.when(short, (F.col("n") <= SHORT_SHARE * F.col("m")) & (F.length("candidate") > 1)).otherwise(F.col("n") <= 1 + MISREAD_SHARE * F.col("m"))
     misread = (
         suspects.join(known, "candidate")
         .where(better & (F.col("m") > F.col("n")))
@@ -416,6 +441,24 @@ def find_faults(blocks: DataFrame) -> DataFrame:
     return simple.unionByName(split).unionByName(wrong).distinct()
 
 
+def _numbered(prose: DataFrame) -> DataFrame:
+    """Adds ``n``, the paragraph's number in its item: a block starts one unless the block of prose before it continues.
+
+    Starts are counted in runs of WINDOW blocks first; then each run is told, by one row a run, how many came before it and
+    whether its first block goes on with what the run before left open.
+    """
+    prose = prose.withColumn("win", F.floor(F.col("idx") / WINDOW))
+    here = W.partitionBy("item", "win").orderBy("idx", "block_id")
+    prose = prose.withColumn("_open", F.lag("continued").over(here))
+    runs = prose.groupBy("item", "win").agg(F.max_by("continued", F.struct("idx", "block_id")).alias("_last"), F.sum(F.when(F.col("_open"), 0).when(F.col("_open").isNull(), 0).otherwise(1)).alias("_inner"))
+    along = W.partitionBy("item").orderBy("win")
+    runs = runs.withColumn("_first", F.when(F.lag("_last").over(along), 0).otherwise(1))
+    before = F.coalesce(F.sum(F.col("_inner") + F.col("_first")).over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    prose = prose.join(runs.select("item", "win", "_first", before.alias("_before")), ["item", "win"])
+    start = F.when(F.col("_open").isNull(), F.col("_first")).when(F.col("_open"), 0).otherwise(1)
+    return prose.withColumn("_start", start).withColumn("n", F.col("_before") + F.sum("_start").over(here.rowsBetween(W.unboundedPreceding, 0)))
+
+
 def paragraphs(blocks: DataFrame) -> DataFrame:
     """(item, first_block, blocks, text): continuous paragraphs, headings and captions in reading order.
 
@@ -431,10 +474,9 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     joined = F.expr("aggregate(sequence(0, size(pieces) - 1), '', (t, i) -> concat(t, pieces[i], coalesce(get(joints, i).j, '')))")
     case: Column = F.expr("aggregate(coalesce(fixes, array()), raw_text, (t, f) -> regexp_replace(t, concat('\\\\b', f.raw, '\\\\b'), if(substr(f.raw, 1, 1) = upper(substr(f.raw, 1, 1)), initcap(f.printed), f.printed)))")
     text = kept.join(joints, "block_id", "left").join(fixes, "block_id", "left").withColumn("raw_text", joined).withColumn("fixed", case)
-    order = W.partitionBy("item", F.floor(F.col("idx") / WINDOW)).orderBy("idx", "block_id")
-    prose = text.where("prose").withColumn("start", F.when(F.lag("continued").over(order), 0).otherwise(1)).withColumn("n", F.sum("start").over(order))
+    prose = _numbered(text.where("prose"))
     whole = (
-        prose.groupBy("item", F.floor(F.col("idx") / WINDOW).alias("win"), "n")
+        prose.groupBy("item", "n")
         .agg(F.array_sort(F.collect_list(F.struct("idx", "block_id", "fixed", F.when((F.element_at("pieces", -1) == "") & (F.size("lefts") > 0), F.get("joints", F.size("lefts") - 1).getField("j")).alias("last")))).alias("b"))
         .select("item", F.col("b")[0]["block_id"].alias("first_block"), F.size("b").alias("blocks"), F.expr("trim(aggregate(b, '', (t, x) -> concat(t, x.fixed, if(x.last is null, ' ', ''))))").alias("text"))
     )
