@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliant.operators.skew import salted_join
@@ -147,11 +149,15 @@ def _pair_scores(pairs: DataFrame) -> DataFrame:
     """Adds ``odds``: the log odds of a candidate pair from its own attributes."""
     n = F.least(F.length("title_key"), F.length("entry_key"))
     longest = F.greatest(F.length("title_key"), F.length("entry_key"))
-    edit = F.when(F.col("title_key") == F.col("entry_key"), 1.0).otherwise(1 - F.levenshtein("title_key", "entry_key") / longest)
-    cut_short = F.when((n >= 12) & (n < 0.9 * longest), 1 - F.levenshtein(F.expr("left(title_key, least(length(title_key), length(entry_key)))"), F.expr("left(entry_key, least(length(title_key), length(entry_key)))")) / n).otherwise(0.0)
     shared, few = F.size(F.array_intersect("title_words", "entry_words")), F.least(F.size("title_words"), F.size("entry_words"))
     contained = F.when(few >= 3, 0.95 * shared / few).otherwise(0.0)
-    pairs = pairs.withColumn("t", F.greatest(edit, cut_short, contained))  # a column of its own, to be computed once
+    far = F.levenshtein("title_key", "entry_key")
+    edit = 1 - far / longest
+    begins = F.levenshtein(F.expr("left(title_key, least(length(title_key), length(entry_key)))"), F.expr("left(entry_key, least(length(title_key), length(entry_key)))"))
+    cut_short = F.when((n >= 12) & (n < 0.9 * longest), 1 - begins / n).otherwise(0.0)
+    # spellings are compared only where the words don't settle it: from TITLE[0] on all similarities weigh alike
+    alike = F.when(F.col("title_key") == F.col("entry_key"), 1.0).when(contained >= TITLE[0][0], contained).otherwise(F.greatest(edit, cut_short, contained))
+    pairs = pairs.withColumn("t", alike)  # a column of its own, to be computed once
     t = F.col("t")
     title = F.when(n == 0, 0.0)
     for least, odds in TITLE:
@@ -169,46 +175,63 @@ def _pair_scores(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("odds", F.lit(PRIOR) + title + F.when(n > 0, part).otherwise(0.0) + page + leaf + author)
 
 
-def propagate(edges: DataFrame, least_change: float = 0.005, most_rounds: int = 12, rounds_a_step: int = 3) -> DataFrame:
-    """Marginals of a matching by sum-product messages: (unit, entry_id, p).
+DAMPED_FROM = 6  # rounds after which messages are mixed with those before them
+
+
+def propagate(edges: DataFrame, least_change: float = 0.005, most_rounds: int = 60, rounds_a_step: int = 3) -> DataFrame:
+    """Marginals of a matching by messages in a graph with loops: (unit, entry_id, p).
 
     Edges are (unit, entry_id, slot_a, slot_e, odds). A unit belongs to at most one article of the contents, and an
     article to at most one article asked for: edges exclude each other at a unit if their entries begin on different known
-    pages (slot_e), and at an entry if their units do (slot_a); variants of one article and those without a page (slot 0)
-    don't. A message from a unit to an entry is 1 / (1 + the strongest other claims on the unit, one per slot), and the
-    other way round; an edge that nothing excludes has no messages to wait for. Rounds go on until no marginal changes by more than ``least_change``, in written steps; a node's edges
-    are the distinct candidates of one issue.
+    pages (slot_e), and at an entry if their units do (slot_a); variants of one article, which share a slot, and those
+    without a page (slot 0) don't. A message from a unit to an entry is 1 / (1 + the other claims on the unit), where the
+    claims of one slot count once, as the strongest of them, and those of different slots are summed; and the other way
+    round. An edge that nothing excludes has no messages to wait for.
+
+    Rounds go on in written steps until no marginal changes by more than ``least_change`` in a round; from DAMPED_FROM on
+    messages are mixed half and half with those before, so that loops can't swing for ever. Should ``most_rounds`` not be
+    enough, a warning says how many edges still move. A node's edges are the distinct candidates of one issue.
     """
     mixed = lambda node, slot: F.max(slot).over(W.partitionBy(node)) != F.min(slot).over(W.partitionBy(node))
-    edges = edges.repartition("unit").withColumn("_c", mixed("unit", "slot_e")).repartition("entry_id").withColumn("_c", F.col("_c") | mixed("entry_id", "slot_a"))
+    edges = edges.withColumn("_c", mixed("unit", "slot_e")).withColumn("_c", F.col("_c") | mixed("entry_id", "slot_a"))
     edges = cut(edges, "contested")
     free = edges.where("NOT _c").select("unit", "entry_id", (1 / (1 + F.exp(-F.col("odds")))).alias("p"))
-    state = edges.where("_c").select("unit", "entry_id", "slot_a", "slot_e", F.exp(F.least(F.col("odds"), F.lit(30.0))).alias("w"), F.lit(1.0).alias("to_e"), F.lit(1.0).alias("to_a"), F.lit(-1.0).alias("p"))
+    state = edges.where("_c").select("unit", "entry_id", "slot_a", "slot_e", F.exp(F.least(F.col("odds"), F.lit(30.0))).alias("w"), F.lit(1.0).alias("to_a"))
 
     def half(s: DataFrame, node: str, slot: str, sent: str, out: str) -> DataFrame:
-        claim = F.col("w") * F.col(sent)
-        s = s.repartition(node)
-        own = F.max(claim).over(W.partitionBy(node, slot))
-        s = s.withColumn("_own", own).withColumn("_n", F.row_number().over(W.partitionBy(node, slot).orderBy(F.lit(1))))
-        total = F.sum(F.when((F.col("_n") == 1) & (F.col(slot) > 0), F.col("_own")).otherwise(0.0)).over(W.partitionBy(node))
-        others = total - F.when(F.col(slot) > 0, F.col("_own")).otherwise(0.0)
-        return s.withColumn("_t", others).withColumn(out, 1 / (1 + F.greatest(F.when(F.col(slot) > 0, F.col("_t")).otherwise(0.0), F.lit(0.0)))).drop("_own", "_n", "_t")
+        """Messages ``out`` of the nodes, from those they were ``sent``; one shuffle and one sort."""
+        mine = W.partitionBy(node, slot)
+        s = s.withColumn("_own", F.max(F.col("w") * F.col(sent)).over(mine)).withColumn("_n", F.row_number().over(mine.orderBy(F.lit(1))))
+        known = F.col(slot) > 0
+        total = F.sum(F.when((F.col("_n") == 1) & known, F.col("_own")).otherwise(0.0)).over(W.partitionBy(node))
+        others = F.when(known, F.greatest(total - F.col("_own"), F.lit(0.0))).otherwise(0.0)
+        return s.withColumn(out, 1 / (1 + others)).drop("_own", "_n")
 
     rounds, last = 0, None
     while True:
-        for _ in range(rounds_a_step):
-            state = half(state, "unit", "slot_e", "to_a", "to_e")
-            state = half(state, "entry_id", "slot_a", "to_e", "to_a")
+        for k in range(rounds_a_step):
             rounds += 1
-        both = F.col("w") * F.col("to_e") * F.col("to_a")
-        state = cut(state.withColumn("_before", F.col("p")).withColumn("p", both / (1 + both)), "messages")
+            ends = k + 1 == rounds_a_step
+            damped = rounds > DAMPED_FROM
+            state = state.withColumnRenamed("to_a", "_a")
+            state = half(state.repartition("unit"), "unit", "slot_e", "_a", "to_e")
+            state = half((state if damped or ends else state.drop("_a")).repartition("entry_id"), "entry_id", "slot_a", "to_e", "to_a")
+            if damped:
+                state = state.withColumn("to_a", (F.col("to_a") + F.col("_a")) / 2)
+            if ends:  # with to_e the same, a marginal moves by as much as its claim on the entry
+                now, before = F.col("w") * F.col("to_e") * F.col("to_a"), F.col("w") * F.col("to_e") * F.col("_a")
+                state = state.withColumn("p", now / (1 + now)).withColumn("moved", F.abs(now / (1 + now) - before / (1 + before)))
+            state = state.drop("to_e", "_a")
+        state = cut(state, "messages")
         if last is not None:
             release(last)
         last = state
-        change = state.agg(F.max(F.abs(F.col("p") - F.col("_before")))).first()[0] or 0.0
-        state = state.drop("_before")
-        if change <= least_change or rounds >= most_rounds:
+        moving = state.where(F.col("moved") > least_change).count()
+        if not moving or rounds >= most_rounds:
+            if moving:
+                warnings.warn(f"{moving} pairs still move after {rounds} rounds")
             return state.select("unit", "entry_id", "p").unionByName(free)
+        state = state.drop("p", "moved")
 
 
 def match_articles(anchors: DataFrame, entries: DataFrame, authors: DataFrame, least: float = 0.5) -> DataFrame:
