@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from foliant.llm.splitting import split_oversized
+from foliant.llm.splitting import cut_points
 from foliant.llm.tokens import tokenizer
+from foliant.session import cut
 
 
 def best_fill(sizes: list[int], counts: dict[int, int], capacity: int) -> tuple[dict[int, int], int]:
@@ -62,37 +63,60 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return out
 
 
-def pack(df: DataFrame, key: str, text: str, capacity: int = 4096, tokens: str = "bytes", salts: int = 64) -> DataFrame:
+MOST_CELLS = 65_536  # counts of (size, salt) beyond one a size that the driver holds
+
+
+def sized_items(df: DataFrame, key: str, text: str, capacity: int, tokens: str = "bytes") -> DataFrame:
+    """(k, piece, size): each text with its tokens, or the parts of one that has more than ``capacity``. One scan; with a
+    token per byte only texts that have to be divided go to Python."""
+    key_type = df.schema[key].dataType.simpleString()
+    n = F.coalesce(F.octet_length(text), F.lit(0))
+    seen = n > capacity if tokens == "bytes" else n > 0
+    source = df.select(F.col(key).alias("k"), n.alias("n"), F.when(seen, F.col(text)).alias("t"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tok = tokenizer(tokens)
+        for b in batches:
+            texts = b["t"].to_numpy(dtype=object)
+            rows, pieces, sizes = [], [], []
+            for i, t in enumerate(texts):
+                if t is None:
+                    rows.append(i)
+                    pieces.append(0)
+                    sizes.append(int(b["n"].iat[i]) if tokens == "bytes" else 0)
+                    continue
+                starts = tok.starts(t)
+                parts = cut_points(t.encode("utf-8", "surrogatepass"), starts, capacity, 0)
+                rows += [i] * len(parts)
+                pieces += range(len(parts))
+                sizes += [hi - lo for lo, hi in parts]
+            yield pd.DataFrame({"k": b["k"].iloc[rows].reset_index(drop=True), "piece": pieces, "size": sizes})
+
+    return source.mapInPandas(run, f"k {key_type}, piece int, size int")
+
+
+def pack(df: DataFrame, key: str, text: str, capacity: int = 4096, tokens: str = "bytes", per_salt: int = 1_000_000) -> DataFrame:
     """(container_id, key, piece, size): every text in a container of ``capacity`` tokens.
 
     Only texts larger than a container are divided, at natural boundaries; ``piece`` counts their parts from 0. Sizes
-    are integers up to the capacity, so the driver sees a histogram of at most ``capacity`` counts per salt, whatever
-    the number of texts, and plans the fillings on it. Items are then numbered within their size (two levels, salted by
-    a hash of the key, so that one frequent size is no single task) and look up their container by that number.
+    are integers up to the capacity, so the driver sees a histogram of at most ``capacity`` counts, whatever the number
+    of texts, and plans the fillings on it. Items are then numbered within their size and look up their container by that
+    number. A size of more than ``per_salt`` items is numbered in as many salts (a hash of the key) as that makes; the
+    driver and the tasks see a count for each, and per_salt grows with the items so that these are at most MOST_CELLS more.
 
     Null and empty texts have no tokens and need no space: they come out once with container_id null and size 0.
-    Repeated rows are separate items. Other columns are dropped. ``capacity`` must be at least 8.
+    Repeated rows are separate items. Other columns are dropped. ``capacity`` must be at least 8. Texts are read once.
     """
-    src = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    if tokens == "bytes":
-        sized = src.select("k", F.lit(0).alias("piece"), F.coalesce(F.octet_length("t"), F.lit(0)).alias("size")).where(F.col("size") <= capacity)
-    else:
-        key_type = df.schema[key].dataType.simpleString()
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tok = tokenizer(tokens)
-            for b in batches:
-                n = [0 if t is None else len(tok.starts(t)) for t in b["t"]]
-                yield pd.DataFrame({"k": b["k"], "piece": 0, "size": n})[lambda x: x["size"] <= capacity]
-
-        sized = src.mapInPandas(count, f"k {key_type}, piece int, size int")
-    large = split_oversized(src, "k", "t", capacity, 0, tokens, keep_text=False)
-    items = sized.unionByName(large.select("k", F.col("pos").alias("piece"), F.col("tokens").alias("size")))
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("k", "piece"), F.lit(salts)).cast("int"))
-
-    cells = salted.where("size > 0").groupBy("size", "salt").count().toPandas().sort_values(["size", "salt"])  # at most capacity * salts rows
+    items = cut(sized_items(df, key, text, capacity, tokens), "items")
+    counts = {int(r["size"]): int(r["count"]) for r in items.groupBy("size").count().collect()}  # at most capacity + 1 rows
+    per_salt = max(per_salt, sum(counts.values()) // MOST_CELLS)
+    many = {s: c // per_salt + 1 for s, c in counts.items() if c > per_salt}
+    salts = F.coalesce(*[F.when(F.col("size") == s, k) for s, k in many.items()], F.lit(1))
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("k", "piece"), salts).cast("int"))
+
+    cells = salted.where("size > 0").groupBy("size", "salt").count().toPandas().sort_values(["size", "salt"])
     cells["base"] = cells.groupby("size")["count"].cumsum() - cells["count"]
-    fillings = plan({int(s): int(c) for s, c in cells.groupby("size")["count"].sum().items()}, capacity)
+    fillings = plan({s: c for s, c in counts.items() if s > 0}, capacity)
     # for each size, ranks [from, ...) belong to a filling; a container takes n of them
     ranges: dict[int, list[tuple[int, int, int]]] = {}
     taken: dict[int, int] = {}

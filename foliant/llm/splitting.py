@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,14 +35,15 @@ def boundary_strengths(raw: bytes) -> np.ndarray:
 
 
 class RangeMax:
-    """Sparse table: the rightmost position of the largest value in any range, in constant time."""
+    """Sparse table: the rightmost position of the largest value in any range of at most ``widest`` positions, in constant
+    time. It has a level for each power of two up to ``widest``."""
 
-    def __init__(self, values: np.ndarray) -> None:
+    def __init__(self, values: np.ndarray, widest: int | None = None) -> None:
         n = len(values)
         key = values.astype(np.int64) * (n + 1) + np.arange(n)  # ties go right
         self.n, self.rows = n, [key]
         width = 1
-        while 2 * width <= n:
+        while 2 * width <= min(n, widest or n):
             low = self.rows[-1]
             self.rows.append(np.maximum(low[: len(low) - width], low[width:]))
             width *= 2
@@ -53,27 +54,46 @@ class RangeMax:
         return int(max(self.rows[k][lo], self.rows[k][hi - (1 << k) + 1]) % (self.n + 1))
 
 
-def cut_points(raw: bytes, starts: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
+STRETCH = 64  # lengths of the longest piece that are looked at together
+
+
+def cut_points(raw: bytes, starts: Sequence[int], limit: int, overlap: int) -> list[tuple[int, int]]:
     """Pieces of a text as token spans [a, b): each at most ``limit`` tokens, the next one begins ``overlap`` tokens
-    before the end of the last, or somewhat less where a boundary asks for it. Every token is in a piece."""
+    before the end of the last, or somewhat less where a boundary asks for it. Every token is in a piece.
+
+    The cut is the strongest boundary in the second half of the longest possible piece, the rightmost of equals; where
+    that half has no boundary but those between any two characters, the strongest of the whole piece. The table of
+    strengths covers a stretch of STRETCH * limit tokens at a time, so a long text needs no more memory than that.
+    """
     n = len(starts)
     if n <= limit:
         return [(0, n)]
     byte_strength = boundary_strengths(raw)
-    strength = np.append(byte_strength[starts], PARAGRAPH)
-    table = RangeMax(strength)
     pieces, a = [], 0
+    low = high = 0  # the stretch of tokens the table covers
+    strength = table = None
     while n - a > limit:
-        least = a + max(limit // 2, overlap + 1, 1)
-        b = table.argmax(min(least, a + limit), a + limit)
-        if strength[b] == INSIDE:  # no whole character ends in the window
-            b = a + limit
+        if table is None or a + limit >= high:
+            low, high = a, min(n, a + STRETCH * limit)
+            strength = byte_strength[low:high] if isinstance(starts, range) else byte_strength[starts[low:high]]
+            if high == n:
+                strength = np.append(strength, PARAGRAPH)
+            table = RangeMax(strength, limit + 1)
+            high = low + len(strength)
+        top = a + limit - low
+        b = table.argmax(min(a - low + max(limit // 2, overlap + 1, 1), top), top)
+        if strength[b] <= ANY:
+            wider = table.argmax(min(a - low + overlap + 1, top), top)
+            b = wider if strength[wider] > ANY else b
+        b = a + limit if strength[b] == INSIDE else b + low  # INSIDE: no whole character ends in the window
         pieces.append((a, b))
         if overlap:
-            low, high = max(a + 1, b - overlap), max(a + 1, b - overlap // 2)
-            window = strength[low : high + 1]
-            nxt = low + int(np.argmax(window))
-            a = nxt if strength[nxt] != INSIDE else low
+            first = max(a + 1, b - overlap)
+            last = max(first, b - overlap + overlap // 4)
+            nxt = table.argmax(first - low, last - low)
+            if strength[nxt] <= ANY:  # no boundary asks for less
+                nxt = first - low + int(np.argmax(strength[first - low : last - low + 1]))
+            a = nxt + low if strength[nxt] != INSIDE else first
         else:
             a = b
     pieces.append((a, n))
@@ -84,7 +104,8 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 4096, overl
     """(key, pos, start_token, end_token, tokens, piece): the ordered pieces of the texts of more than ``limit`` tokens.
 
     Of all cuts in the second half of the longest possible piece the strongest is taken (paragraph, sentence, clause,
-    line, word, any character), the rightmost of equals; then the window steps back by the overlap. A piece exceeds
+    line, word; failing these the strongest of the whole piece, then any character), the rightmost of equals; then the
+    window steps back by the overlap. A piece exceeds
     nothing and never ends inside a character, unless one character has more tokens than half the limit. Null and blank
     texts, and texts within the limit, give no rows; repeated rows are each cut; other columns are dropped. Rows are
     independent: there is no shuffle. ``overlap`` must be less than half of ``limit``.

@@ -10,8 +10,8 @@ class ByteTokens:
 
     name = "bytes"
 
-    def starts(self, text: str) -> np.ndarray:
-        return np.arange(len(text.encode("utf-8")))
+    def starts(self, text: str) -> range:
+        return range(len(text.encode("utf-8", "surrogatepass")))
 
 
 class FileTokens:

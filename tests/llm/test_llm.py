@@ -213,6 +213,27 @@ def test_scan_windows(spark, monkeypatch):
     assert {(r.block_id, "continued") for r in rows if r.continued} == {x for x in whole if x[1] == "continued"}
 
 
+def test_paragraphs_across_windows(spark, monkeypatch):
+    """A paragraph that runs over the edges of windows is one, also where a page header stands at the edge."""
+    monkeypatch.setattr(scans, "WINDOW", 4)
+    monkeypatch.setattr(scans, "HALO", 3)
+    df, _ = issue(spark)
+    long = [(100 + k, "long", k, k // 2, "text", "body", f"the early moss of the valley grew {'and' if k < 19 else 'or'} the oyster\nof the southern treaty was measured in the valley" + (" of" if k % 10 != 9 else "."), (50.0, 600.0, 500.0, 300.0)) for k in range(20)]
+    both = df.select(*df.columns[:8]).unionByName(spark.createDataFrame(long, BLOCK))
+    got = [(r.first_block, r.blocks) for r in scans.paragraphs(both).where("item = 'long'").collect()]
+    assert sorted(got) == [(100, 10), (110, 10)]
+    unplaced = both.where("item = 'long'").withColumn("idx", F.lit(None).cast("int"))
+    assert sorted((r.first_block, r.blocks) for r in scans.paragraphs(unplaced).collect()) == [(100, 10), (110, 10)]
+
+
+def test_zones_of_other_pages():
+    page = lambda tops: [scans._zone(t, scans.page_scale(tops)) for t in tops]
+    points = [760.0, 720.0, 400.0, 40.0] * 5
+    want = ["top", "heading", "middle", "bottom"] * 5
+    assert page(points) == want and page([t * 4 for t in points]) == want
+    assert page([t - 792.0 for t in points]) == want  # counted from the top of the page
+
+
 # ---------------------------------------------------------------- matching
 
 
@@ -298,7 +319,7 @@ def test_pack(spark, tokens):
     rnd = random.Random(6)
     texts = [(k, " ".join("moss" for _ in range(rnd.randint(1, 50)))) for k in range(300)] + [(k, "equal size!") for k in range(300, 500)] + [(500, None), (501, ""), (502, "é. " * 400), (502, "twice"), (503, "x")]
     df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS size", "2 AS k")
-    items = packing.pack(df, "doc_id", "text", 256, tokens, salts=4)
+    items = packing.pack(df, "doc_id", "text", 256, tokens, per_salt=40)
     rows = items.collect()
     used = {}
     for r in rows:
@@ -312,6 +333,14 @@ def test_pack(spark, tokens):
     assert packing.pack(df.where("doc_id > 999"), "doc_id", "text", 256).count() == 0
 
 
+def test_pack_of_one_size(spark):
+    """All items alike, in many salts: every container but the last is full."""
+    df = spark.range(1000).selectExpr("id AS doc_id", "repeat('x', 64) AS text")
+    items = packing.pack(df, "doc_id", "text", 256, per_salt=30)
+    used = sorted(r.used for r in packing.containers(items, "doc_id", 256).collect())
+    assert used == [256] * 250 and items.select("doc_id").distinct().count() == 1000
+
+
 def test_range_max():
     rnd = random.Random(7)
     v = np.array([rnd.randint(-1, 5) for _ in range(200)])
@@ -337,6 +366,16 @@ def test_split_round_trip(text):
     assert rebuilt == raw
 
 
+def test_split_of_long_and_unbroken_texts():
+    """Stretches don't show; a boundary early in the piece is taken if the rest has none."""
+    raw = ("One two three. Four five, six seven eight nine ten.\n" * 60_000).encode()
+    cuts = splitting.cut_points(raw, tokenizer("bytes").starts(raw.decode()), 256, 16)
+    assert all(raw[b - 1 : b] == b"\n" or raw[b - 1 : b] == b" " for _, b in cuts[:-1]) and cuts[-1][1] == len(raw)
+    assert all(c[0] <= p[1] and 1 <= p[1] - c[0] <= 16 for p, c in zip(cuts, cuts[1:]))
+    url = b"See here: " + b"x" * 400
+    assert splitting.cut_points(url, range(len(url)), 256, 0)[0] == (0, 10)
+
+
 def test_split_oversized(spark):
     long = "A sentence here. " * 600
     df = spark.createDataFrame([(1, long), (2, None), (3, ""), (4, "short"), (5, "é" * 2048), (6, "é" * 2049), (1, long), (None, long)], "doc_id long, text string").selectExpr("*", "1 AS pos", "2 AS t")
