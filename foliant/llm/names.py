@@ -199,14 +199,16 @@ def doubtful_forms(forms: DataFrame) -> DataFrame:
     there; ``persons`` are those (given, mid) that the form fits. It is ``open`` if these contradict each other: an initial
     before two given names, a nickname of two, a name without its middle initial.
     """
-    people = forms.where("kind = 'person' AND size(full) = 1").select("issn", "who", F.col("full")[0].alias("given"), F.substring("second", 1, 1).alias("mid"))
-    mid = F.when(F.col("mid") != "", F.col("mid"))
-    several = (
-        people.groupBy("issn", "who")
-        .agg(F.collect_set(F.struct("given", "mid")).alias("all"), (F.min("given") != F.max("given")).alias("g"), (F.min(mid) != F.max(mid)).alias("m"))
-        .where("g OR coalesce(m, false)")
-        .select("issn", "who", "all")
-    )
+    one = F.size("full") == 1
+    person = F.struct(F.col("full")[0].alias("given"), F.substring("second", 1, 1).alias("mid"))
+    several = forms.where("kind = 'person'").groupBy("issn", "who").agg(F.collect_set(F.when(one, person)).alias("all"), F.max(F.size("full") > 1).alias("nick"))
+    pick = lambda f: F.size(F.array_distinct(F.transform("all", f)))
+    middle = F.filter("all", lambda x: x["mid"] != "")
+    several = several.where(
+        (pick(lambda x: F.substring(x["given"], 1, 1)) < pick(lambda x: x["given"]))  # two names behind an initial,
+        | (F.size(middle) > F.size(F.array_distinct(F.transform(middle, lambda x: x["given"]))))  # two middle initials of a name,
+        | (F.col("nick") & (F.size("all") > 1))  # or of a nickname
+    ).drop("nick")
     there = forms.where("kind = 'person'").join(several, ["issn", "who"])
     there = there.withColumn("persons", F.filter("all", lambda x: _fits(F.col("full"), F.col("first"), F.col("second"), x)))
     mids = F.array_distinct(F.filter(F.transform("persons", lambda x: x["mid"]), lambda x: x != ""))
