@@ -95,5 +95,12 @@ def lookup_outcomes(results: DataFrame, tolerance: int = 2) -> DataFrame:
     return results.select("request_id", kind.alias("outcome"))
 
 
+def outcomes_by_band(outcomes: DataFrame, kinds: list[str]) -> DataFrame:
+    """(band, a column a kind): how many of (outcome, confidence) ended how, by confidence from 90, from 70 and below."""
+    c = F.col("confidence")
+    band = F.when(c >= 90, "sure").when(c >= 70, "likely").when(c.isNull(), "none").otherwise("weak")
+    return outcomes.groupBy(band.alias("band")).pivot("outcome", kinds).agg(F.count(F.lit(1))).na.fill(0)
+
+
 def first_per_group(df: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_n") <= most).drop("_n")

@@ -501,28 +501,6 @@ def lookup_candidates(s: Spark, d: str) -> DataFrame:
     return _candidates(s, d)
 
 
-_SEL = _CAND + """, a AS (SELECT *, 's' AS strategy, greatest(0, least(100, (50 + length(item) * 7 % 13 * 4 + rank * 9 - CASE tier WHEN 1 THEN 0 WHEN 2 THEN 5 ELSE 15 END)))::INT AS k FROM c), m AS (SELECT *, max(k) OVER (PARTITION BY request_id) AS mk FROM a),
-sel AS (SELECT request_id, item, strategy, k AS confidence FROM m QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN mk >= 90 AND k < 90 THEN 1 ELSE 0 END, CASE WHEN mk < 90 THEN -k ELSE 0 END, tier, rank, strategy, item) = 1) """
-
-
-def _selected(s: Spark, d: str) -> DataFrame:
-    c = _candidates(s, d)
-    return lookup.select_answer(c.withColumn("strategy", F.lit("s")).withColumn("confidence", (50 + F.length("item") * 7 % 13 * 4 + F.col("rank") * 9).cast("int")))
-
-
-@query(_SEL + "SELECT request_id, item, strategy, confidence FROM sel")
-def lookup_select(s: Spark, d: str) -> DataFrame:
-    return _selected(s, d)
-
-
-@query(_SEL + "SELECT CASE WHEN confidence >= 90 THEN 'sure' WHEN confidence >= 70 THEN 'likely' ELSE 'weak' END AS band, count(*) FILTER (t.item = sel.item) AS same, count(*) FILTER (t.item IS NULL OR t.item <> sel.item) AS other FROM sel LEFT JOIN (SELECT request_id, min(item) AS item FROM c GROUP BY 1) t USING (request_id) GROUP BY 1")
-def band_outcome_pivot(s: Spark, d: str) -> DataFrame:
-    truth = _candidates(s, d).groupBy("request_id").agg(F.min("item").alias("true_item"))
-    j = _selected(s, d).join(truth, "request_id", "left").withColumn("band", F.when(F.col("confidence") >= 90, "sure").when(F.col("confidence") >= 70, "likely").otherwise("weak"))
-    j = j.withColumn("o", F.when(F.col("item") == F.col("true_item"), "same").otherwise("other"))
-    return j.groupBy("band").pivot("o", ["same", "other"]).agg(F.count(F.lit(1))).na.fill(0)
-
-
 @query("SELECT journal_title AS title, identifier AS slug FROM (SELECT journal_title, identifier, count(*) AS n FROM ill_anchors WHERE journal_title IS NOT NULL AND identifier IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY journal_title ORDER BY n DESC, identifier) = 1")
 def title_slugs(s: Spark, d: str) -> DataFrame:
     return lookup.most_frequent_slug(table(s, d, "ill_anchors").select(F.col("journal_title").alias("title"), F.col("identifier").alias("slug")))
