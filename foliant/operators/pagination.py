@@ -64,18 +64,25 @@ def supported_offsets(anchors: DataFrame, key: str = "item") -> DataFrame:
     )
 
 
-def repaired_map(anchors: DataFrame) -> DataFrame:
-    """(item, printed, leaf) between the first and the last anchor of an item; the first claim on a page wins.
+def repaired_map(anchors: DataFrame, sizes: DataFrame | None = None, most: int = 9999) -> DataFrame:
+    """(item, printed, leaf): the leaf of each printed page, the first claim on a page wins.
 
     An anchor (item, leaf, first_page, last_page) covers its own pages at its own offset; pages between two anchors take the
-    later one's. Ranges are expanded by ``sequence``; no pairs of anchors are formed.
+    later one's. With ``sizes`` (item, n_leaves) pages after the last anchor go on at its offset to the item's end, and those
+    before the first one down to page 1 or the first leaf. Ranges are expanded by ``sequence``; no pairs of anchors are formed.
     """
     order = W.partitionBy("item").orderBy("first_page", "leaf")
-    a = anchors.withColumn("ord", F.row_number().over(order)).withColumn("_prev", F.lag("last_page").over(order))
-    offset = F.col("leaf") - F.col("first_page")
-    own = a.select("item", offset.alias("o"), "ord", F.lit(0).alias("pass"), F.explode(F.sequence("first_page", F.greatest("first_page", "last_page"))).alias("printed"))
-    gap = a.where(F.col("_prev") + 1 <= F.col("first_page") - 1).select("item", offset.alias("o"), "ord", F.lit(1).alias("pass"), F.explode(F.sequence(F.col("_prev") + 1, F.col("first_page") - 1)).alias("printed"))
-    claims = own.unionByName(gap)
+    a = anchors.withColumn("ord", F.row_number().over(order)).withColumn("_prev", F.lag("last_page").over(order)).withColumn("o", F.col("leaf") - F.col("first_page"))
+
+    def claim(rows: DataFrame, step: int, low, high) -> DataFrame:
+        r = rows.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+        return r.select("item", "o", "ord", F.lit(step).alias("pass"), F.explode(F.sequence("_low", "_high")).alias("printed"))
+
+    claims = claim(a, 0, F.col("first_page"), F.greatest("first_page", "last_page")).unionByName(claim(a, 1, F.col("_prev") + 1, F.col("first_page") - 1))
+    if sizes is not None:
+        last = a.join(sizes.select("item", "n_leaves"), "item").withColumn("_n", F.max("ord").over(W.partitionBy("item"))).where("ord = _n")
+        claims = claims.unionByName(claim(last, 2, F.col("last_page") + 1, F.least(F.col("n_leaves") - 1 - F.col("o"), F.lit(most))))
+        claims = claims.unionByName(claim(a.where("ord = 1"), 3, F.greatest(F.lit(1), -F.col("o")), F.col("first_page") - 1))
     return claims.groupBy("item", "printed").agg(F.min_by(F.col("printed") + F.col("o"), F.struct("pass", "ord")).alias("leaf"))
 
 

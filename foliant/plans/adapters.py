@@ -38,10 +38,18 @@ def views(d: dict) -> dict[str, str]:
         "items": """SELECT DISTINCT issn, regexp_extract(volume, '([0-9]+)', 1) AS vol, regexp_extract(issue, '([0-9]+)', 1) AS iss, CAST(yr AS VARCHAR(9)) AS yr, item FROM toc_entries WHERE issn IS NOT NULL AND volume IS NOT NULL AND issue IS NOT NULL AND yr IS NOT NULL""",
         # model entries with 1-based pages
         "model": """SELECT item, entry_id, title, start_page_index AS start, end_page_index AS stop, start_page_number AS first_page, end_page_number AS last_page FROM toc_entries WHERE start_page_index IS NOT NULL AND end_page_index IS NOT NULL""",
+        # cells of printed contents pages: a title on the left, its page number on the right
+        "cells": """SELECT item, CAST(1 + floor(ord / 20) AS INT) AS page_no, entry_id * 2 AS block_id, CAST(60 AS DOUBLE) AS l, CAST(700 - ord % 20 * 30 AS DOUBLE) AS t, CAST(690 - ord % 20 * 30 AS DOUBLE) AS b, title AS text,
+            CASE WHEN entry_id % 17 = 0 THEN 'furniture' END AS content_layer FROM toc_entries WHERE item IS NOT NULL AND ord IS NOT NULL
+            UNION ALL SELECT item, CAST(1 + floor(ord / 20) AS INT), entry_id * 2 + 1, CAST(500 AS DOUBLE), CAST(700 - ord % 20 * 30 + entry_id % 5 AS DOUBLE), CAST(690 - ord % 20 * 30 AS DOUBLE), CAST(start_page_number AS VARCHAR(9)), 'body'
+            FROM toc_entries WHERE item IS NOT NULL AND ord IS NOT NULL AND start_page_number > 0 AND entry_id % 4 <> 0""",
+        # cells of tables that a text recogniser found
+        "grid": """SELECT item, CASE CAST(length(item) % 4 AS INT) WHEN 0 THEN 'tesseract 5.3' WHEN 1 THEN 'ABBYY FineReader 11' WHEN 2 THEN '' ELSE 'ocropus' END AS engine, CAST(floor(ord / 10) AS INT) AS table_pos, ord AS row, title AS text FROM toc_entries
+            UNION ALL SELECT item, CASE CAST(length(item) % 4 AS INT) WHEN 0 THEN 'tesseract 5.3' WHEN 1 THEN 'ABBYY FineReader 11' WHEN 2 THEN '' ELSE 'ocropus' END, CAST(floor(ord / 10) AS INT), ord, CAST(start_page_number AS VARCHAR(9)) FROM toc_entries""",
     }
 
 
-USES = {"leaves": ["lineitem"], "heads": ["lineitem"], "known": ["ill_anchors"], "listed": ["toc_entries", "toc_authors"], "issues": ["ill_anchors"], "catalogue": ["pubs"], "items": ["toc_entries"], "model": ["toc_entries"]}
+USES = {"cells": ["toc_entries"], "grid": ["toc_entries"], "leaves": ["lineitem"], "heads": ["lineitem"], "known": ["ill_anchors"], "listed": ["toc_entries", "toc_authors"], "issues": ["ill_anchors"], "catalogue": ["pubs"], "items": ["toc_entries"], "model": ["toc_entries"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
