@@ -124,17 +124,12 @@ def request_units(anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _keyed(df: DataFrame, node: str, words: str, page: str, authors: str) -> DataFrame:
-    """(node, k, c): what candidates share, and what that is worth: two title words that are neighbours or have one between,
-    the first two title words by themselves (a short title's are all there are, and those of a title cut short), an
-    author's word, or the first printed page. Two are needed, but a short title's, the author or the page is enough."""
-    w = F.col("w")
-    pair = lambda step: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - step, F.lit(0))), F.slice(w, step + 1, F.greatest(F.size(w) - step, F.lit(0))), lambda x, y: F.hash(x, y))
-    mark = lambda c, kind, worth: F.transform(c, lambda x: F.struct(F.xxhash64("ge", x, F.lit(kind)).alias("k"), F.lit(worth).alias("c") if isinstance(worth, int) else worth.alias("c")))
-    few = F.when(F.size(w) <= SHORT_TITLE, 2).otherwise(1)
-    two = F.array_distinct(F.concat(pair(1), pair(2)))
+    """(node, k, c): what candidates share, and what that is worth: a title's word, an author's word, or the first printed page.
+    Two are needed, but a word of a short title, the author or the page is enough."""
+    of = lambda c, kind, worth: F.transform(c, lambda x: F.struct(F.xxhash64("_g", x, F.lit(kind)).alias("k"), worth.alias("c")))
     page_key = F.when(F.col(page) > 0, F.array(F.col(page))).otherwise(F.array().cast("array<int>"))
-    keys = F.concat(mark(two, "w", F.when(F.size(two) <= 3, 2).otherwise(1)), mark(F.slice(w, 1, SHORT_TITLE), "s", few), mark(F.col(authors), "a", 2), mark(page_key, "p", 2))
-    return df.withColumn("w", F.col(words)).select(node, F.explode(keys).alias("x")).select(node, "x.k", "x.c")
+    keys = F.concat(of(F.col(words), 0, F.when(F.size(words) <= SHORT_TITLE, 2).otherwise(1)), of(F.col(authors), 1, F.lit(2)), of(page_key, 2, F.lit(2)))
+    return df.withColumn("_g", F.xxhash64("ge")).select(node, F.explode(keys).alias("x")).select(node, "x.k", "x.c")
 
 
 def candidate_pairs(units: DataFrame, entries: DataFrame) -> DataFrame:
@@ -147,21 +142,6 @@ def candidate_pairs(units: DataFrame, entries: DataFrame) -> DataFrame:
 
 def _pair_scores(pairs: DataFrame) -> DataFrame:
     """Adds ``odds``: the log odds of a candidate pair from its own attributes."""
-    n = F.least(F.length("title_key"), F.length("entry_key"))
-    longest = F.greatest(F.length("title_key"), F.length("entry_key"))
-    shared, few = F.size(F.array_intersect("title_words", "entry_words")), F.least(F.size("title_words"), F.size("entry_words"))
-    contained = F.when(few >= 3, 0.95 * shared / few).otherwise(0.0)
-    far = F.levenshtein("title_key", "entry_key")
-    edit = 1 - far / longest
-    begins = F.levenshtein(F.expr("left(title_key, least(length(title_key), length(entry_key)))"), F.expr("left(entry_key, least(length(title_key), length(entry_key)))"))
-    cut_short = F.when((n >= 12) & (n < 0.9 * longest), 1 - begins / n).otherwise(0.0)
-    # spellings are compared only where the words don't settle it: from TITLE[0] on all similarities weigh alike
-    alike = F.when(F.col("title_key") == F.col("entry_key"), 1.0).when(contained >= TITLE[0][0], contained).otherwise(F.greatest(edit, cut_short, contained))
-    pairs = pairs.withColumn("t", alike)  # a column of its own, to be computed once
-    t = F.col("t")
-    title = F.when(n == 0, 0.0)
-    for least, odds in TITLE:
-        title = title.when(t >= least, odds)
     part = F.when((F.col("part_a") != "") & (F.col("part_e") != ""), F.when(F.col("part_a") == F.col("part_e"), PART_SAME).otherwise(PART_OTHER)).when((F.col("part_a") != "") | (F.col("part_e") != ""), PART_ONE).otherwise(0.0)
     known = (F.col("page") > 0) & (F.col("start_page") > 0)
     gap = F.abs(F.col("page") - F.col("start_page"))
@@ -172,7 +152,29 @@ def _pair_scores(pairs: DataFrame) -> DataFrame:
     leaf = F.when(off.isNull(), 0.0).when(off <= 2, LEAF_SAME).when(off <= 4, LEAF_NEAR).otherwise(LEAF_OTHER)
     both = (F.size("authors") > 0) & (F.size("entry_authors") > 0)
     author = F.when(both, F.when(F.arrays_overlap("authors", "entry_authors"), AUTHOR_SAME).otherwise(AUTHOR_OTHER)).otherwise(0.0)
-    return pairs.withColumn("odds", F.lit(PRIOR) + title + F.when(n > 0, part).otherwise(0.0) + page + leaf + author)
+    n = F.least(F.length("title_key"), F.length("entry_key"))
+    pairs = pairs.withColumn("rest", F.lit(PRIOR) + F.when(n > 0, part).otherwise(0.0) + page + leaf + author)
+    pairs = pairs.where(F.col("rest") + TITLE[0][1] > LEAST_ODDS)  # the same title couldn't save the others
+
+    longest = F.greatest(F.length("title_key"), F.length("entry_key"))
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("title_words", "entry_words"))).withColumn("few", F.least(F.size("title_words"), F.size("entry_words")))
+    contained = F.when(F.col("few") >= 3, 0.95 * F.col("shared") / F.col("few")).otherwise(0.0)
+    edit = 1 - F.levenshtein("title_key", "entry_key") / longest
+    begins = F.levenshtein(F.expr("left(title_key, least(length(title_key), length(entry_key)))"), F.expr("left(entry_key, least(length(title_key), length(entry_key)))"))
+    cut_short = F.when((n >= 12) & (n < 0.9 * longest), 1 - begins / n).otherwise(0.0)
+    # spellings are compared only where the words don't settle it: from TITLE[0] on all similarities weigh alike, and titles
+    # of three words and more without one in common are other titles, unless all else speaks for the pair
+    alike = (
+        F.when(F.col("title_key") == F.col("entry_key"), 1.0)
+        .when(contained >= TITLE[0][0], contained)
+        .when((F.col("shared") == 0) & (F.col("few") >= 3) & (F.col("rest") <= 0), 0.0)
+        .otherwise(F.greatest(edit, cut_short, contained))
+    )
+    pairs = pairs.withColumn("t", alike)  # a column of its own, to be computed once
+    title = F.when(n == 0, 0.0)
+    for least, odds in TITLE:
+        title = title.when(F.col("t") >= least, odds)
+    return pairs.withColumn("odds", F.col("rest") + title)
 
 
 DAMPED_FROM = 6  # rounds after which messages are mixed with those before them
