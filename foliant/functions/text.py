@@ -138,24 +138,10 @@ def first_string(c: Column) -> Column:
 
 
 # Degrees and roles after names, section labels before titles
-CREDENTIALS = r"(?i)[,\s]+(M\.?D|Ph\.?D|M\.?A|M\.?S|B\.?A|B\.?S|R\.?N|D\.?O|Ed\.?D|J\.?D|M\.?P\.?H|F\.?A\.?C\.?P|Jr|Sr|Esq)\.?(?=$|[,;\s])"
+CREDENTIALS = r"(?i)\b(M\.?\s*D\.?|Ph\.?\s*D\.?|MA|MS|MPH|MSc|R\.?\s*N\.?|D\.?\s*O\.?|RD|PhD|Sc\.?\s*D\.?|Jr\.?|Sr\.?|II|III|FRCP|FRCS|FACP|MHA|EdD|DSc)\.?\b"
 SECTION_LABELS = ("original articles?", "original research", "short notes?", "brief communications?", "case reports?", "letters? to the editor", "book reviews?", "review articles?", "research notes?", "editorial", "commentary", "correspondence")
 
 
-def byline_like(c: Column) -> Column:
-    """A text that may be a line of authors: 3 to 300 characters and 'by', a degree, or names of two to five capitalised words."""
-    t = F.trim(c)
-    name = r"[A-Z][A-Za-z'.-]*(\s+[A-Z][A-Za-z'.-]*){1,4}"
-    return F.coalesce(F.length(t).between(3, 300) & (t.rlike(r"^(?i)by\s+[A-Z]") | t.rlike(CREDENTIALS) | t.rlike(rf"^{name}(\s*(,|;|&|and)\s*{name})*$")), F.lit(False))
-
-
-def parse_authors(c: Column) -> Column:
-    """Names of a byline: without 'by' and degrees, parts at ';', '&', 'and' and commas, those with one to five words."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(c), r"^(?i)by\s+", ""), CREDENTIALS, "")
-    parts = F.transform(F.split(t, r"\s*[;&,]\s*(?:and\s+)?|\s+and\s+"), lambda p: F.trim(p))
-    return F.filter(parts, lambda p: (p != "") & p.rlike(r"^[A-Z][^\s]*(\s+[^\s]+){0,4}$"))
-
-
 def strip_section_label(c: Column) -> Column:
     """A title without a section label before it, if three words or more remain."""
     m = F.regexp_extract(c, rf"(?i)^\s*(?:{'|'.join(SECTION_LABELS)})\s*[:.-]?\s+(.*)$", 1)

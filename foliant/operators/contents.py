@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliant.functions.pages import format_leaf, zero_based
 from foliant.functions.text import STOP_FILTER, overlap, tokens
 
 # Words of advertisements, drug advertisements and editorial bylines; titles before and after the articles
-ADVERT = r"\b(ASKING|BUY|ORDER|CALL|FREE|MAIL|SAVE|WRITE TO|PLEASE SEND|SUBSCRIBE|YOUR PATIENT|LOOK FOR|WE ACCEPT)\b"
-DRUG_AD = r"\b(ADVERSE\s+REACTIONS?|INDICATIONS?|DOSAGE\s+AND\s+ADMIN|PRECAUTIONS?|CONTRAINDICATIONS?|HOW\s+SUPPLIED|PRESCRIBING\s+INFORMATION|COMPOSITION|WARNINGS?|TABLETS|CAPSULES)\b"
+ADVERT = r"\b(ASKING|BUY|ORDER|CALL|FREE|MAIL|SAVE|WRITE TO|PLEASE SEND|SUBSCRIBE|\$[0-9]|YOUR PATIENT|LOOK FOR|WE ACCEPT)\b"
+DRUG_AD = r"\b(ADVERSE\s+REACTIONS?|INDICATIONS?|DOSAGE\s+AND\s+ADMIN|PRECAUTIONS?|CONTRAINDICATIONS?|HOW\s+SUPPLIED|PRESCRIBING\s+INFORMATION|COMPOSITION|WARNINGS?|N\.?F\.?\s+Units|MG\.?\s*PER|TABLETS|CAPSULES)\b|[®™©]"
 EDITOR = r"(?i)\b(editor|editorial|editor-in-chief|managing|publisher|chairman|board|administration)\b"
 FRONT_TITLE = r"^(preface|foreword|introduction|editorial board|contents|table of contents|editor'?s notes?|from the editor|editorial|publication information|masthead|in this issue|forthcoming|recent issues|notices?|open forum|announcements?|call for papers)\b"
 BACK_TITLE = r"^(index|subject index|author index|bibliography|references|errata|colophon|advertisements?|back matter|publications? received|in memoriam|memorials?)\b"
@@ -27,25 +26,50 @@ def short_label(title: Column) -> Column:
     """A section label rather than a title: no lower-case letter, under 50 characters, four content words at most, no '?!.' at
     the end."""
     t = F.trim(F.regexp_replace(title, r"\s+", " "))
-    return (t != "") & (F.length(t) < 50) & ~t.rlike("[a-z]") & (F.size(tokens(t, STOP_FILTER)) <= 4) & ~t.rlike("[?!.]$")
+    words = F.filter(F.regexp_extract_all(t, F.lit(r"([A-Za-z][A-Za-z'-]*)"), F.lit(1)), lambda w: ~F.lower(w).isin(STOP_FILTER))
+    return F.coalesce((t != "") & (F.length(t) < 50) & ~t.rlike(r"\p{Ll}") & (F.size(words) <= 4) & ~t.rlike("[?!.]$"), F.lit(False))
+
+
+def real_author(names: Column) -> Column:
+    """Whether a list has a name of at most 60 characters and a strict shape that is no editor's."""
+    from foliant.operators.layout import STRICT_NAMES, any_shape
+
+    return F.coalesce(F.exists(names, lambda x: (F.length(F.trim(x)) <= 60) & ~x.rlike(EDITOR) & any_shape(F.trim(x), STRICT_NAMES)), F.lit(False))
 
 
 def filter_reasons(entries: DataFrame, leaves: str = "page_count") -> DataFrame:
     """Adds ``reason``: why an entry (title, names, start, page_count) is no article, null if it may be one; the first of
-    label, advert, editorial, pharma_ad, front_matter (first 5 %), back_matter_index (last 10 %)."""
+    label (but not over a real author's name), advert, editorial, pharma_ad, fake_byline (names, but none of at most 60
+    characters with the shape of one), front_matter (first 5 %), back_matter_index (a label in the last 10 %)."""
+    from foliant.operators.layout import LOOSE_NAMES, STRICT_NAMES, any_shape
+
     t, n, total = F.col("title"), F.col("names"), F.col(leaves)
     says = lambda pattern: F.coalesce(F.exists(n, lambda x: x.rlike(pattern)), F.lit(False))
+    shaped = F.exists(n, lambda x: (F.length(F.trim(x)) <= 60) & any_shape(F.trim(x), (*STRICT_NAMES, *LOOSE_NAMES)))
+    label = short_label(t) & ~real_author(n)
     reason = (
-        F.when(short_label(t), "label")
+        F.when(label, "label")
         .when(F.upper(t).rlike(ADVERT), "advert")
         .when(says(EDITOR), "editorial")
         .when(says(DRUG_AD), "pharma_ad")
-        .when(F.col("start") * 100 < total * 5, "front_matter")
-        .when((F.col("start") * 100 >= total * 90) & F.lower(t).rlike(r"\bindex\b"), "back_matter_index")
+        .when(F.coalesce((F.size(n) > 0) & ~shaped, F.lit(False)), "fake_byline")
+        .when(F.col("start") < F.floor(total * 5 / 100), "front_matter")
+        .when((F.col("start") >= F.floor(total * 90 / 100)) & label, "back_matter_index")
     )
     return entries.withColumn("reason", reason)
 
 
+def merge_weak(entries: DataFrame, gap: int = 3) -> DataFrame:
+    """(item, entry_id, start): entries (item, entry_id, start, strong) that stay when one closer than ``gap`` to the last that
+    stayed is taken for a part of it, unless it is ``strong`` (has a real author). What stays depends on what did before, so it
+    is a fold over the item's entries in order; an item's contents are a few hundred. Unknown starts count as 0."""
+    e = entries.where("item IS NOT NULL").select("item", F.struct(F.coalesce("start", F.lit(0)).alias("start"), "entry_id", "strong").alias("e"))
+    rows = e.groupBy("item").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    kind = "struct<start:int,entry_id:bigint,strong:boolean>"
+    kept = F.aggregate("es", F.array().cast(f"array<{kind}>"), lambda acc, x: F.when((F.size(acc) > 0) & ~x["strong"] & (x["start"] - F.element_at(acc, -1)["start"] < gap), acc).otherwise(F.concat(acc, F.array(x.cast(kind)))))
+    return rows.select("item", F.explode(kept).alias("x")).select("item", "x.entry_id", "x.start")
+
+
 def spans(entries: DataFrame, last: str) -> DataFrame:
     """(item, entry_id, start, stop): an entry ends before the next start of its item, the last at ``last``; never before it
     starts. Null starts are left out."""
@@ -117,37 +141,18 @@ def title_in_contents(entries: DataFrame, blocks: DataFrame, on: str = "item", l
     return good.groupBy("entry_id").agg(F.min("block_id").alias("first_block"), F.count(F.lit(1)).alias("n_blocks"))
 
 
-BYLINE = r"^(?i:by\s+)?[A-Z][A-Za-z'.-]*(\s+[A-Z][A-Za-z'.-]*){1,4}(\s*(,|&|and)\s*[A-Z][A-Za-z'.-]*(\s+[A-Z][A-Za-z'.-]*){1,4})*$"
-
-
-def segment_blocks(blocks: DataFrame, window: int = 4096) -> DataFrame:
-    """(item, page_no, title, byline): articles found by going down each page: the last heading, then the first byline-like
-    block under it. Runs per (item, run of ``window`` pages) in Python, as state is carried from block to block; titles seen
-    before in that run are left out."""
-    import re
-
-    byline = re.compile(BYLINE)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, seen = [], set()
-        for page, g in pdf.sort_values(["page_no", "idx"]).groupby("page_no", sort=True):
-            head = None
-            for label, text in zip(g["label"], g["text"]):
-                if not isinstance(text, str) or not text.strip():
-                    continue
-                t = re.sub(r"\s+", " ", text).strip()
-                if label in ("section_header", "title"):
-                    head = t
-                elif head and len(t) <= 300:
-                    found = byline.match(t)
-                    if head.lower() not in seen and len(head) >= 5:
-                        seen.add(head.lower())
-                        out.append((g["item"].iloc[0], int(page), head, t if found else None))
-                    head = None
-        return pd.DataFrame(out, columns=["item", "page_no", "title", "byline"])
-
-    src = blocks.where("item IS NOT NULL AND page_no IS NOT NULL").select("item", "page_no", "idx", "label", "text", F.floor(F.col("page_no") / window).alias("win"))
-    return src.groupBy("item", "win").applyInPandas(run, "item string, page_no int, title string, byline string")
+def segment_blocks(blocks: DataFrame) -> DataFrame:
+    """(item, page_no, title, byline): articles found by going down each page: a heading, and the first short block after it,
+    which is its byline if it looks like one. Blank blocks and texts of over 300 characters are passed over; a title counts
+    where it stands first in the item, and from five characters on."""
+    from foliant.operators.layout import byline
+
+    b = blocks.where("item IS NOT NULL AND page_no IS NOT NULL").withColumn("t", F.trim(F.regexp_replace("text", r"\s+", " "))).withColumn("head", F.col("label").isin("section_header", "title"))
+    b = b.where((F.col("t") != "") & (F.col("head") | (F.length("t") <= 300)))
+    down = W.partitionBy("item", "page_no").orderBy("idx", "block_id")
+    b = b.withColumn("title", F.when(F.lag("head").over(down), F.lag("t").over(down))).where("NOT head AND length(title) >= 5")
+    first = F.row_number().over(W.partitionBy("item", F.lower("title")).orderBy("page_no", "idx", "block_id"))
+    return b.withColumn("_n", first).where("_n = 1").select("item", "page_no", "title", F.when(byline(F.col("t")), F.col("t")).alias("byline"))
 
 
 def model_pages(pages: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:

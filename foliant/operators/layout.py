@@ -63,6 +63,20 @@ def author_part(c: Column) -> Column:
     return F.coalesce(F.length(c).between(2, 60) & (F.size(words) <= 5) & first.rlike(r"^\p{Lu}") & ~first.isin(NOT_NAMES) & (F.size(low) <= 1), F.lit(False))
 
 
+def parse_names(c: Column) -> Column:
+    """The names of a byline, in order: without 'by' and degrees, parts at commas, ';', '&' and 'and'; capitals throughout become
+    names, and what doesn't look like a name is left out."""
+    from foliant.functions.text import CREDENTIALS
+
+    body = F.trim(F.regexp_replace(c, r"(?i)^by\s+", ""))
+    chars = lambda x: F.split(x, "")
+    titled = lambda x: F.array_join(F.transform(chars(x), lambda ch, i: F.when((i > 0) & F.get(chars(x), i - 1).rlike(r"\p{L}"), F.lower(ch)).otherwise(ch)), "")
+    clean = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"(?i)^(and|or|&)\s+", ""), CREDENTIALS, ""), r"^[ ,.;-]+|[ ,.;-]+$", "")
+    names = F.transform(F.split(body, r"\s*,\s*|\s+and\s+|\s*&\s*|\s*;\s*"), clean)
+    names = F.transform(F.filter(names, lambda n: (F.length(n) > 1) & n.rlike(r"\p{L}")), lambda n: F.when((n == F.upper(n)) & (n != F.lower(n)), titled(n)).otherwise(n))
+    return F.filter(names, author_part)
+
+
 def titleish(c: Column) -> Column:
     """Whether a text reads like a title: 10 to 200 characters, three words, no full stop at the end but of an abbreviation."""
     t = F.trim(c)

@@ -32,12 +32,13 @@ def text_labels(s: Spark, d: str) -> DataFrame:
     return b.select(F.col("label").alias("written"), lo.text_label(F.concat(F.lit("DocItemLabel."), F.upper("label"), F.lit("'>"))).alias("label"))
 
 
-_DEGREE = text.CREDENTIALS.replace("(?=$|[,;\\s])", "($|[,;\\s])")
 _BODY = "trim(regexp_replace(text, '(?i)^by\\s+', ''))"
+_WORDS = lambda c: f"regexp_replace({c}, '[^\\P{{L}}a-zA-Z]', '_', 'g')"  # noqa: E731  the checking engine's word boundaries know ASCII letters only
+_ASCII = _WORDS(_BODY)
 
 
 @query(
-    f"SELECT block_id FROM layout_blocks WHERE length(text) BETWEEN 3 AND 300 AND ({_BODY} <> trim(text) OR regexp_matches({_BODY}, '{_DEGREE}') OR {_any(_BODY, lo.STRICT_NAMES)} OR ((regexp_matches({_BODY}, ',|\\s+and\\s+|\\s*&\\s*|;') OR length({_BODY}) <= 30) AND {_any(_BODY, lo.LOOSE_NAMES)}))"
+    f"SELECT block_id FROM layout_blocks WHERE length(text) BETWEEN 3 AND 300 AND ({_BODY} <> trim(text) OR regexp_matches({_ASCII}, '{text.CREDENTIALS}') OR {_any(_ASCII, lo.STRICT_NAMES)} OR ((regexp_matches({_BODY}, ',|\\s+and\\s+|\\s*&\\s*|;') OR length({_BODY}) <= 30) AND {_any(_ASCII, lo.LOOSE_NAMES)}))"
 )
 def bylines(s: Spark, d: str) -> DataFrame:
     return table(s, d, "layout_blocks").where(lo.byline(F.col("text"))).select("block_id")
@@ -52,6 +53,62 @@ def author_parts(s: Spark, d: str) -> DataFrame:
     return table(s, d, "toc_authors").where(lo.author_part(F.col("name"))).select("author_id")
 
 
+_PART = lambda x, w: f"length({x}) BETWEEN 2 AND 60 AND len({w}) <= 5 AND regexp_matches({w}[1], '^\\p{{Lu}}') AND {w}[1] NOT IN ({_list(lo.NOT_NAMES)}) AND len(list_filter({w}[2:6], lambda y: y = lower(y) AND y <> upper(y) AND y NOT IN ({_list(lo.PARTICLES)}))) <= 1"
+
+
+@query(
+    f"""WITH p AS (SELECT author_id, unnest(regexp_split_to_array(trim(regexp_replace(name, '(?i)^by\\s+', '')), '\\s*,\\s*|\\s+and\\s+|\\s*&\\s*|\\s*;\\s*')) AS x FROM toc_authors WHERE name IS NOT NULL),
+c AS (SELECT author_id, regexp_replace(regexp_replace(regexp_replace(x, '(?i)^(and|or|&)\\s+', ''), '(?i)(^|[^\\p{{L}}\\p{{N}}_])(M\\.?\\s*D|Ph\\.?\\s*D|MA|MS|MPH|MSc|R\\.?\\s*N|D\\.?\\s*O|RD|Sc\\.?\\s*D|Jr|Sr|II|III|FRCP|FRCS|FACP|MHA|EdD|DSc)($|[^\\p{{L}}\\p{{N}}_])', '\\1\\3', 'g'), '^[ ,.;-]+|[ ,.;-]+$', '', 'g') AS n FROM p),
+t AS (SELECT author_id, CASE WHEN n = upper(n) AND n <> lower(n) THEN array_to_string(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(substr(n, i - 1, 1), '\\p{{L}}') THEN lower(substr(n, i, 1)) ELSE substr(n, i, 1) END), '') ELSE n END AS n FROM c WHERE length(n) > 1 AND regexp_matches(n, '\\p{{L}}')),
+w AS (SELECT *, regexp_split_to_array(trim(n), '\\s+') AS w FROM t) SELECT author_id, n AS name FROM w WHERE {_PART("n", "w")}"""
+)
+def byline_names(s: Spark, d: str) -> DataFrame:
+    return table(s, d, "toc_authors").select("author_id", F.explode(lo.parse_names(F.col("name"))).alias("name"))
+
+
+@query(
+    f"""WITH b AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x, label IN ('section_header', 'title') AS head FROM layout_blocks WHERE item IS NOT NULL AND page_no IS NOT NULL),
+s AS (SELECT * EXCLUDE (text), CASE WHEN lag(head) OVER w THEN lag(x) OVER w END AS title, x AS text FROM b WHERE x <> '' AND (coalesce(head, false) OR length(x) <= 300) AND head IS NOT NULL WINDOW w AS (PARTITION BY item, page_no ORDER BY idx, block_id)),
+f AS (SELECT * FROM s WHERE NOT head AND length(title) >= 5 QUALIFY row_number() OVER (PARTITION BY item, lower(title) ORDER BY page_no, idx, block_id) = 1)
+SELECT item, page_no, title, CASE WHEN length(text) BETWEEN 3 AND 300 AND ({_BODY} <> trim(text) OR regexp_matches({_ASCII}, '{text.CREDENTIALS}') OR {_any(_ASCII, lo.STRICT_NAMES)} OR ((regexp_matches({_BODY}, ',|\\s+and\\s+|\\s*&\\s*|;') OR length({_BODY}) <= 30) AND {_any(_ASCII, lo.LOOSE_NAMES)})) THEN text END AS byline FROM f"""
+)
+def segment_blocks(s: Spark, d: str) -> DataFrame:
+    return contents.segment_blocks(table(s, d, "layout_blocks").where("label IS NOT NULL"))
+
+
+_REAL = f"len(list_filter(names, lambda x: length(trim(x)) <= 60 AND NOT regexp_matches(x, '{contents.EDITOR}') AND {_any(_WORDS('trim(x)'), lo.STRICT_NAMES)})) > 0"
+_SHORT = f"(t <> '' AND length(t) < 50 AND NOT regexp_matches(t, '\\p{{Ll}}') AND len(list_filter(regexp_extract_all(t, '([A-Za-z][A-Za-z''-]*)', 1), lambda w: lower(w) NOT IN ({_list(text.STOP_FILTER)}))) <= 4 AND NOT regexp_matches(t, '[?!.]$'))"
+# names as they stand and, for a third of the entries, as a scan might have spoilt them
+_FILTER = f"""n AS (SELECT entry_id, list(CASE WHEN entry_id % 3 = 0 THEN lower(name) WHEN entry_id % 11 = 0 THEN concat(name, ', M.D.') ELSE name END) AS names FROM toc_authors WHERE name IS NOT NULL GROUP BY entry_id), x AS (SELECT item, max(end_page_index) + 1 AS page_count FROM toc_entries GROUP BY item),
+e AS (SELECT entry_id, item, title, start_page_index AS start, page_count, names, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS t FROM toc_entries LEFT JOIN n USING (entry_id) LEFT JOIN x USING (item)),
+r AS (SELECT *, coalesce({_REAL}, false) AS strong, CASE WHEN {_SHORT} AND NOT coalesce({_REAL}, false) THEN 'label' WHEN regexp_matches(upper(title), '{contents.ADVERT}') THEN 'advert' WHEN len(list_filter(names, lambda x: regexp_matches(x, '{contents.EDITOR}'))) > 0 THEN 'editorial'
+ WHEN len(list_filter(names, lambda x: regexp_matches(x, '{contents.DRUG_AD}'))) > 0 THEN 'pharma_ad' WHEN len(names) > 0 AND len(list_filter(names, lambda x: length(trim(x)) <= 60 AND {_any(_WORDS('trim(x)'), (*lo.STRICT_NAMES, *lo.LOOSE_NAMES))})) = 0 THEN 'fake_byline'
+ WHEN start < floor(page_count * 5 / 100) THEN 'front_matter' END AS reason FROM e)"""
+
+
+def _filtered(s: Spark, d: str) -> DataFrame:
+    e = table(s, d, "toc_entries")
+    spoilt = F.when(F.col("entry_id") % 3 == 0, F.lower("name")).when(F.col("entry_id") % 11 == 0, F.concat("name", F.lit(", M.D."))).otherwise(F.col("name"))
+    n = table(s, d, "toc_authors").where("name IS NOT NULL").groupBy("entry_id").agg(F.collect_list(spoilt).alias("names"))
+    x = e.groupBy("item").agg((F.max("end_page_index") + 1).alias("page_count"))
+    return contents.filter_reasons(e.join(n, "entry_id", "left").join(x, "item", "left").withColumn("start", F.col("start_page_index")))
+
+
+@query(f"WITH {_FILTER} SELECT entry_id, reason FROM r")
+def filter_reasons(s: Spark, d: str) -> DataFrame:
+    return _filtered(s, d).select("entry_id", "reason")
+
+
+@query(
+    f"""WITH RECURSIVE {_FILTER}, o AS (SELECT item, entry_id, coalesce(start, 0) AS start, strong, row_number() OVER (PARTITION BY item ORDER BY coalesce(start, 0), entry_id) AS k FROM r WHERE reason IS NULL AND item IS NOT NULL),
+f AS (SELECT item, k, entry_id, start AS kept, true AS stays FROM o WHERE k = 1 UNION ALL SELECT o.item, o.k, o.entry_id, CASE WHEN o.start - f.kept < 3 AND NOT o.strong THEN f.kept ELSE o.start END, NOT (o.start - f.kept < 3 AND NOT o.strong) FROM f JOIN o ON o.item = f.item AND o.k = f.k + 1)
+SELECT item, entry_id, kept AS start FROM f WHERE stays"""
+)
+def merge_splits(s: Spark, d: str) -> DataFrame:
+    kept = _filtered(s, d).where("reason IS NULL").withColumn("strong", contents.real_author(F.col("names")))
+    return contents.merge_weak(kept)
+
+
 @query("SELECT block_id, false AS promoted FROM layout_blocks WHERE length(trim(text)) BETWEEN 10 AND 200 AND (NOT regexp_matches(trim(text), '\\.$') OR regexp_matches(trim(text), '(Inc|Co|Jr|Sr|Ltd|ed)\\.$')) AND length(trim(text)) - length(replace(trim(text), ' ', '')) >= 2")
 def titleish_blocks(s: Spark, d: str) -> DataFrame:
     return table(s, d, "layout_blocks").where(lo.titleish(F.col("text"))).select("block_id", lo.promoted(F.col("text")).alias("promoted"))

@@ -292,30 +292,6 @@ def toc_spans(s: Spark, d: str) -> DataFrame:
     return contents.spans(e.where("start_page_index IS NOT NULL").select("item", "entry_id", F.col("start_page_index").alias("start")).join(last, "item"), "m")
 
 
-@query(
-    """WITH RECURSIVE s AS (SELECT DISTINCT item, start_page_index AS x FROM toc_entries WHERE item IS NOT NULL AND start_page_index IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY x) AS n FROM s),
-f AS (SELECT item, n, x AS kept, true AS new FROM o WHERE n = 1 UNION ALL SELECT o.item, o.n, CASE WHEN o.x - f.kept >= 3 THEN o.x ELSE f.kept END, o.x - f.kept >= 3 FROM f JOIN o ON o.item = f.item AND o.n = f.n + 1)
-SELECT item, kept AS start FROM f WHERE new"""
-)
-def merge_splits(s: Spark, d: str) -> DataFrame:
-    return contents.merged_starts(table(s, d, "toc_entries").select("item", F.col("start_page_index").alias("start")))
-
-
-@query(
-    f"""WITH n AS (SELECT entry_id, list(name) AS names FROM toc_authors WHERE name IS NOT NULL GROUP BY entry_id), x AS (SELECT item, max(end_page_index) + 1 AS page_count FROM toc_entries GROUP BY item),
-e AS (SELECT entry_id, title, start_page_index AS start, page_count, names, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS t FROM toc_entries LEFT JOIN n USING (entry_id) LEFT JOIN x USING (item))
-SELECT entry_id, CASE WHEN t <> '' AND length(t) < 50 AND NOT regexp_matches(t, '[a-z]') AND len({_tokens('t', text.STOP_FILTER)}) <= 4 AND NOT regexp_matches(t, '[?!.]$') THEN 'label'
-WHEN regexp_matches(upper(title), '{contents.ADVERT}') THEN 'advert' WHEN len(list_filter(names, lambda x: regexp_matches(x, '{contents.EDITOR}'))) > 0 THEN 'editorial'
-WHEN len(list_filter(names, lambda x: regexp_matches(x, '{contents.DRUG_AD}'))) > 0 THEN 'pharma_ad' WHEN start * 100 < page_count * 5 THEN 'front_matter'
-WHEN start * 100 >= page_count * 90 AND regexp_matches(lower(title), '\\bindex\\b') THEN 'back_matter_index' END AS reason FROM e"""
-)
-def filter_reasons(s: Spark, d: str) -> DataFrame:
-    e = table(s, d, "toc_entries")
-    n = table(s, d, "toc_authors").where("name IS NOT NULL").groupBy("entry_id").agg(F.collect_list("name").alias("names"))
-    x = e.groupBy("item").agg((F.max("end_page_index") + 1).alias("page_count"))
-    return contents.filter_reasons(e.join(n, "entry_id", "left").join(x, "item", "left").withColumn("start", F.col("start_page_index"))).select("entry_id", "reason")
-
-
 @query(f"SELECT CASE WHEN regexp_matches(lower(trim(title)), '{contents.FRONT_TITLE.replace(chr(39), chr(39) * 2)}') THEN 'frontmatter' WHEN regexp_matches(lower(trim(title)), '{contents.BACK_TITLE}') THEN 'backmatter' ELSE 'article' END AS kind, entry_type, count(*) AS n FROM toc_entries GROUP BY 1, 2")
 def entry_kinds(s: Spark, d: str) -> DataFrame:
     return table(s, d, "toc_entries").groupBy(contents.entry_kind(F.col("title")).alias("kind"), "entry_type").agg(F.count(F.lit(1)).alias("n"))
@@ -358,11 +334,6 @@ def model_entries_to_pages(s: Spark, d: str) -> DataFrame:
     return contents.layout_to_legacy(view(s, d, "model"))
 
 
-@query()
-def segment_blocks(s: Spark, d: str) -> DataFrame:
-    return contents.segment_blocks(table(s, d, "layout_blocks"))
-
-
 @query(
     f"""WITH e AS (SELECT issn, entry_id, list_distinct({_tokens('title', text.STOP_FILTER, 3)}) AS et FROM toc_entries WHERE issn IS NOT NULL AND start_page_number > 0), h AS (SELECT issn, min(anchor_id) AS block_id, list_distinct({_tokens('article_title', text.STOP_FILTER, 3)}) AS bt, TRY_CAST(regexp_extract(journal_pages, '([0-9]+)', 1) AS INT) AS pg
 FROM ill_anchors WHERE issn IS NOT NULL AND article_title IS NOT NULL GROUP BY issn, article_title, journal_pages), p AS (SELECT e.*, x.start_page_number AS pg FROM e JOIN toc_entries x USING (entry_id)),
@@ -685,18 +656,6 @@ def first_titles(s: Spark, d: str) -> DataFrame:
     return requests.first_wins(e, ["item", "t"], ["start_page_index", "entry_id"]).select("item", "entry_id", "title")
 
 
-@query(
-    r"SELECT author_id, len(list_filter(string_split_regex(regexp_replace(trim(name), '^(?i)by\s+', ''), '\s*[;&,]\s*(?:and\s+)?|\s+and\s+'), lambda p: regexp_matches(trim(p), '^[A-Z][^\s]*(\s+[^\s]+){0,4}$')))::INT AS n FROM toc_authors WHERE name NOT LIKE '%.%' AND regexp_full_match(name, '[ -~]*')"
-)
-def byline_names(s: Spark, d: str) -> DataFrame:
-    return table(s, d, "toc_authors").where("name NOT LIKE '%.%' AND name RLIKE '^[ -~]*$'").select("author_id", F.size(text.parse_authors(F.col("name"))).alias("n"))
-
-
-@query()
-def byline_flags(s: Spark, d: str) -> DataFrame:
-    return table(s, d, "layout_blocks").groupBy("label", text.byline_like(F.col("text")).alias("byline")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _LT = lambda c: f"list_distinct({_tokens(c, text.STOP_LOOKUP, 4)})"
 _ANS = (
     _CAND

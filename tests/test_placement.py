@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from foliant.functions import text
-from foliant.operators import lookup, placement
+from foliant.operators import layout, lookup, placement
 from foliant.session import table
 from foliant.streaming import arrivals
 
@@ -54,8 +54,8 @@ def test_lines(spark):
 
 def test_names_and_answers(spark):
     df = spark.createDataFrame([("By Anna Lee, M.D., and Bo Fox",), ("the growth of moss",), (None,)], "x string")
-    assert [r[0] for r in df.select(text.byline_like(F.col("x"))).collect()] == [True, False, False]
-    assert df.select(text.parse_authors(F.col("x"))).first()[0] == ["Anna Lee", "Bo Fox"]
+    assert [r[0] for r in df.select(layout.byline(F.col("x"))).collect()] == [True, False, False]
+    assert df.select(layout.parse_names(F.col("x"))).first()[0] == ["Anna Lee", "Bo Fox"]
     assert spark.sql("SELECT 'Original Article: The growth of moss' AS x").select(text.strip_section_label(F.col("x"))).first()[0] == "The growth of moss"
     c = spark.createDataFrame([(1, "i", 1, 1)], "request_id long, item string, tier int, rank int")
     r = spark.createDataFrame([(1, "Growth of alpine moss", "12-15")], "request_id long, title string, pages string")
