@@ -114,12 +114,13 @@ def not_done(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def miss_diagnosis(misses: DataFrame, works: DataFrame) -> DataFrame:
     """(anchor_id, cause) of anchors (anchor_id, issn, volume, issue, t) without a hit, against works (w_issn, w_volume, w_issue, t):
-    A no work with the title, C only another journal's, D one of the same issue, B another issue's of the journal."""
-    j = misses.join(works, "t", "left")
-    same = F.col("issn") == F.col("w_issn")
-    g = j.groupBy("anchor_id").agg(
-        F.max(F.col("w_issn").isNotNull().cast("int")).alias("any"),
-        F.max(F.coalesce(same.cast("int"), F.lit(0))).alias("same"),
-        F.max(F.coalesce((same & (F.col("volume") == F.col("w_volume")) & (F.col("issue") == F.col("w_issue"))).cast("int"), F.lit(0))).alias("issue"),
-    )
-    return g.select("anchor_id", F.when(F.col("any") == 0, "A").when(F.col("same") == 0, "C").when(F.col("issue") == 1, "D").otherwise("B").alias("cause"))
+    A no work with the title, C only another journal's, D one of the same issue, B another issue's of the journal.
+
+    Anchors meet distinct keys of the works, most exact first, so a title that everything has ('editorial') makes no pairs.
+    """
+    w = works.select(F.col("w_issn").alias("issn"), F.col("w_volume").alias("volume"), F.col("w_issue").alias("issue"), "t")
+    keys = (["issn", "volume", "issue", "t"], ["issn", "t"], ["t"])
+    j = misses
+    for k, name in zip(keys, ("_issue", "_journal", "_any")):
+        j = j.join(w.select(*k).distinct().withColumn(name, F.lit(True)), k, "left")
+    return j.select("anchor_id", F.when(F.col("_issue"), "D").when(F.col("_journal"), "B").when(F.col("_any"), "C").otherwise("A").alias("cause"))
