@@ -94,8 +94,9 @@ class Index:
 
 
 def _unpack(raw: bytes) -> bytes | None:
-    """The record with JSON held in strings put in place of these strings; None if it can't be read."""
-    for _ in range(32):
+    """The record with JSON held in strings put in place of these strings; None if it can't be read. Each pass takes one level of
+    escaping away and makes the record shorter, so it ends however deep the strings are."""
+    while True:
         try:
             text = raw.strip()
             if text[:1] == b'"':
@@ -125,7 +126,6 @@ def _unpack(raw: bytes) -> bytes | None:
         if not changed:
             return text
         raw = b"".join([*changed, text[at:]])
-    return raw
 
 
 def extract(payloads: list[bytes]) -> Iterator[tuple[int, str, int, int, int, int, bytes]]:
