@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliant.session import cut
 
 EDGE = 12  # characters on an edge of a trie
-MAX_DRIVER_ROWS = 4096
+ROWS_A_TASK = 1_000_000
+MAX_HOT = 4096  # groups that are told apart as hot
 _PARTIAL = "key string, first_id bigint, copies bigint"
 
 
@@ -83,15 +84,37 @@ def _out(trie: Trie, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     yield _batch(rows)
 
 
+def _common(a: Column, b: Column) -> Column:
+    """How many characters two strings begin with in common, by halving: their beginnings agree up to there and not beyond."""
+    start = F.struct(F.lit(0).alias("low"), F.least(F.length(a), F.length(b)).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+        alike = F.left(a, mid) == F.left(b, mid)
+        return F.struct(F.when(alike, mid).otherwise(s["low"]).alias("low"), F.when(alike, s["high"]).otherwise(F.greatest(mid - 1, s["low"])).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve, lambda s: s["low"])
+
+
+def _bucketed(rows: DataFrame, levels: list[DataFrame], first_prefix: int) -> DataFrame:
+    """Adds ``bucket``, the prefix that ``levels`` of split buckets (prefix, width) leave a key in, and ``split``, whether the
+    last level split it. The tables are joined: Spark broadcasts them while they are small and shuffles them beyond."""
+    rows = rows.withColumn("bucket", F.substring("key", 1, first_prefix)).withColumn("split", F.lit(True))
+    for level in levels:
+        rows = rows.join(level.select(F.col("prefix").alias("bucket"), "width"), "bucket", "left")
+        rows = rows.withColumn("bucket", F.coalesce(F.left("key", F.col("width")), F.col("bucket"))).withColumn("split", F.col("width").isNotNull()).drop("width")
+    return rows
+
+
 def count_keys(keyed: DataFrame, bucket_keys: int = 50_000, first_prefix: int = 2) -> DataFrame:
     """(key, first_id, copies) of each distinct key of (id, key), smallest id first.
 
     1. Each task counts its own rows in a trie and hands on one row per key it saw, so a key that holds a third of all
        rows becomes a row per task before anything is shuffled.
-    2. Radix partitioning: buckets are prefixes of the key. A bucket of more than ``bucket_keys`` rows is split by
-       further characters, again and again until each fits; a bucket whose key ends can't be split and doesn't need to be,
-       as its rows are one per task. The oversized prefixes of a level are at most rows / bucket_keys, and bucket_keys
-       grows with the rows so that the driver never holds more than MAX_DRIVER_ROWS of them.
+    2. Radix partitioning: buckets are prefixes of the key. A bucket of more than ``bucket_keys`` rows is split by the
+       character after the longest beginning that all its keys share, again and again until each fits; a bucket of one key
+       can't be split and doesn't need to be, as its rows are one per task. The split buckets of a level are a table; the
+       driver only learns whether there are any.
     3. Each bucket is counted in a trie of its own; a task holds one bucket's trie at a time.
     """
 
@@ -107,26 +130,15 @@ def count_keys(keyed: DataFrame, bucket_keys: int = 50_000, first_prefix: int =
         yield from _out(trie)
 
     partials = cut(keyed.select("id", "key").where("id IS NOT NULL AND key IS NOT NULL").mapInArrow(partial, _PARTIAL), "partials")
-    total = partials.count()
-    capacity = max(bucket_keys, total // MAX_DRIVER_ROWS)
-
-    width, over, levels = first_prefix, None, []
-    while total > capacity:
-        at = partials.where(F.length("key") >= width)
-        if over is not None:
-            at = at.where(F.substring("key", 1, levels[-1][0]).isin(over))
-        counts = at.groupBy(F.substring("key", 1, width).alias("p")).count().where(F.col("count") > capacity)
-        over = [r["p"] for r in counts.collect()]
-        levels.append((width, over))
-        if not over:
+    levels: list[DataFrame] = []
+    while True:
+        rows = _bucketed(partials, levels, first_prefix).where("split")
+        big = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        big = big.where((F.col("n") > bucket_keys) & (F.col("low") != F.col("high")))
+        level = cut(big.select(F.col("bucket").alias("prefix"), (_common(F.col("low"), F.col("high")) + 1).alias("width")), "split")
+        if level.isEmpty():
             break
-        width += 1
-    bucket = F.substring("key", 1, levels[-1][0] if levels else first_prefix)
-    for w, prefixes in reversed(levels):
-        if prefixes:
-            bucket = F.when(F.substring("key", 1, w).isin(prefixes), bucket).otherwise(F.substring("key", 1, w))
-        else:
-            bucket = F.substring("key", 1, w)
+        levels.append(level)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, now = Trie(), None
@@ -139,8 +151,8 @@ def count_keys(keyed: DataFrame, bucket_keys: int = 50_000, first_prefix: int =
                 trie.add(k, i, c)
         yield from _out(trie)
 
-    n = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // capacity + 1)
-    placed = partials.select(bucket.alias("bucket"), "key", "first_id", "copies")
+    n = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), partials.count() // ROWS_A_TASK + 1)
+    placed = _bucketed(partials, levels, first_prefix).select("bucket", "key", "first_id", "copies")
     return placed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(final, _PARTIAL)
 
 
@@ -159,13 +171,13 @@ def copy_groups(keyed: DataFrame, hot_rows: int = 100_000) -> tuple[DataFrame, D
     """Groups of (id, key), and each row that isn't its group's smallest id as (first_id, copy_id).
 
     Rows find their group by joining on the key. A group of more than ``hot_rows`` rows is spread over salts; hot groups
-    are at most rows / hot_rows, and hot_rows grows so that they are never more than MAX_DRIVER_ROWS: that many are
+    are at most rows / hot_rows, and hot_rows grows so that they are never more than MAX_HOT: that many are
     broadcast, to tell rows whether they need a salt. Null ids and keys take no part; a repeated id counts as a copy
     of itself in ``copies`` but gives no pair.
     """
     groups = cut(count_keys(keyed).where("copies > 1"), "groups")
     rows = groups.agg(F.sum("copies")).first()[0] or 0
-    hot_rows = max(hot_rows, rows // MAX_DRIVER_ROWS)
+    hot_rows = max(hot_rows, rows // MAX_HOT)
     salted = groups.withColumn("salts", (F.col("copies") / hot_rows).cast("int") + 1)
     if rows > hot_rows and salted.where("salts > 1").limit(1).count():
         hot = salted.where("salts > 1").select("key", "salts")
