@@ -133,11 +133,11 @@ def _keyed(df: DataFrame, node: str, words: str, page: str, authors: str) -> Dat
 
 
 def candidate_pairs(units: DataFrame, entries: DataFrame) -> DataFrame:
-    """Units and entries of aligned issues that share two keys, or one that is enough; see _keyed."""
+    """(unit, entry_id) of aligned issues that share two keys, or one that is enough; see _keyed. Only identifiers are shuffled
+    here; what pairs are scored on is looked up afterwards."""
     a = _keyed(units, "unit", "title_words", "page", "authors")
     e = _keyed(entries, "entry_id", "entry_words", "start_page", "entry_authors").withColumnRenamed("c", "d")
-    found = a.join(e, "k").groupBy("unit", "entry_id").agg(F.sum(F.greatest("c", "d")).alias("shared")).where("shared >= 2").drop("shared")
-    return found.join(entries, "entry_id").join(units, ["unit", "ge"]).drop("ge")
+    return cut(a.join(e, "k").groupBy("unit", "entry_id").agg(F.sum(F.greatest("c", "d")).alias("shared")).where("shared >= 2").drop("shared"), "candidates")
 
 
 def _pair_scores(pairs: DataFrame) -> DataFrame:
@@ -268,8 +268,9 @@ def match_articles(anchors: DataFrame, entries: DataFrame, authors: DataFrame, l
     # the usual shift between leaves and page indexes of an issue, from units and entries with the same first page
     beside = units.where("page > 0").join(e.where("start_page > 0"), (units["ge"] == e["ge"]) & (units["page"] == e["start_page"]))
     shift = beside.groupBy(units["ge"]).agg(F.percentile_approx(F.col("leaf") - F.col("start_index"), 0.5, 100).alias("shift"))
-    pairs = candidate_pairs(units.join(shift, "ge", "left"), e)
+    found = candidate_pairs(units, e)
+    pairs = found.join(e.join(shift, "ge", "left"), "entry_id").join(units, ["unit", "ge"]).drop("ge")
     edges = cut(_pair_scores(pairs).where(F.col("odds") > LEAST_ODDS).select("unit", "entry_id", F.col("page").alias("slot_a"), F.col("start_page").alias("slot_e"), "odds"), "edges")
-    release(units, e)
+    release(units, e, found)
     sure = propagate(edges).where(F.col("p") >= least)
     return salted_join(members.select("anchor_id", "unit"), sure, ["unit"]).select("anchor_id", "entry_id", F.col("p").alias("confidence"))
