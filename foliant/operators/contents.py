@@ -119,11 +119,17 @@ def content_above_title(blocks: DataFrame) -> DataFrame:
 
 
 def contents_pages(blocks: DataFrame) -> DataFrame:
-    """(item, page_no) of pages with a short block that says 'contents'."""
-    short = F.length("text") <= 60
+    """(item, page_no) of pages with a short block, of the page itself and not its frame, that says 'contents'."""
+    short = (F.length("text") <= 60) & (F.coalesce("content_layer", F.lit("")) != "furniture")
     return blocks.where(short & F.col("text").rlike(CONTENTS_HEADING)).select("item", "page_no").distinct()
 
 
+def toc_pages(blocks: DataFrame) -> DataFrame:
+    """(item, page_no) of pages with a heading that says nothing but '(table of) contents'."""
+    said = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
+    return blocks.where(F.col("label").isin("section_header", "title", "paragraph_header") & said.isin("contents", "table of contents")).select("item", "page_no").distinct()
+
+
 def layout_to_legacy(entries: DataFrame) -> DataFrame:
     """1-based model entries as page-index entries: identifiers, printed pair or null for 0, fixed confidence."""
     s, e = zero_based(F.col("start"), F.col("stop"))

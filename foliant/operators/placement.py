@@ -21,20 +21,22 @@ def title_places(articles: DataFrame, blocks: DataFrame, least: float = 0.5, ski
     """(item, article_id, page, score): the block that best shows each article's title.
 
     Recall of the title's words must reach ``least``; blocks that aren't headings need as much precision; headings count half as
-    much again, each page away from the hinted one a thousandth less; the first block of equals. Candidates meet on (item, word).
+    much again, a block that is nothing but the title twice one that is hardly so, each page away from the hinted one a
+    thousandth less; the first block of equals. Candidates meet on (item, word).
     ``articles``: item, article_id, title, hint; ``blocks``: item, block_id, page_no, label, text.
     """
     words = lambda c: F.array_distinct(tokens(c, STOP_PLACE, 3))
     a = articles.select("item", "article_id", "hint", words(F.col("title")).alias("tw")).where(F.size("tw") > 0)
-    b = blocks.where("text IS NOT NULL AND page_no IS NOT NULL").select("item", "block_id", "page_no", F.col("label").isin("section_header", "title").alias("head"), words(F.col("text")).alias("bw"))
+    b = blocks.where("text IS NOT NULL AND page_no IS NOT NULL").select("item", "block_id", "page_no", F.col("label").isin("section_header", "title", "paragraph_header").alias("head"), words(F.col("text")).alias("bw"))
     if skip_pages is not None:
         b = b.join(skip_pages.select("item", "page_no").distinct(), ["item", "page_no"], "left_anti")
     met = a.withColumn("w", F.explode("tw")).join(b.withColumn("w", F.explode("bw")), ["item", "w"])
     n = met.groupBy("item", "article_id", "block_id").agg(F.count(F.lit(1)).alias("shared"), *[F.first(c).alias(c) for c in ("hint", "page_no", "head")], F.first(F.size("tw")).alias("nt"), F.first(F.size("bw")).alias("nb"))
     recall = F.col("shared") / F.col("nt")
-    good = n.where((recall >= least) & (F.col("head") | (F.col("shared") / F.col("nb") >= least)))
+    precision = F.col("shared") / F.col("nb")
+    good = n.where((recall >= least) & (F.col("head") | (precision >= least)))
     away = F.coalesce(F.abs(F.col("page_no") - F.col("hint")), F.lit(0))
-    score = F.round(recall * F.when(F.col("head"), 1.5).otherwise(1.0) - away * 0.001, 6)
+    score = F.round(recall * F.when(F.col("head"), 1.5).otherwise(1.0) * (0.5 + 0.5 * precision) - away * 0.001, 6)
     best = good.groupBy("item", "article_id").agg(F.min(F.struct((-score).alias("s"), "block_id", "page_no")).alias("b"))
     return best.select("item", "article_id", F.col("b.page_no").alias("page"), (-F.col("b.s")).alias("score"))
 
@@ -94,38 +96,32 @@ def map_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def text_lines(words: DataFrame, tolerance: int = 25) -> DataFrame:
-    """(item, page, line, y, height, text): words (item, page, x1, y1, x2, y2, text) as lines; a word starts a new line if it is
-    more than ``tolerance`` below the one before it, from top to bottom."""
+    """(item, page, line, y, height, text): words (item, page, x1, y1, x2, y2, text) as lines from top to bottom, with the
+    average of their words' tops and heights; a word starts a new line if it is more than ``tolerance`` below the one before."""
     down = W.partitionBy("item", "page").orderBy("y1", "x1", "text")
     w = words.withColumn("_b", F.when(F.col("y1") - F.lag("y1").over(down) > tolerance, 1).otherwise(0)).withColumn("line", F.sum("_b").over(down.rowsBetween(W.unboundedPreceding, 0)))
-    g = w.groupBy("item", "page", "line").agg(F.min("y1").alias("y"), F.max(F.col("y2") - F.col("y1")).alias("height"), F.array_sort(F.collect_list(F.struct("x1", "y1", "text"))).alias("t"))
-    return g.select("item", "page", "line", "y", "height", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
+    g = w.groupBy("item", "page", "line").agg(F.avg("y1").alias("y"), F.avg(F.col("y2") - F.col("y1")).alias("height"), F.array_sort(F.collect_list(F.struct("x1", "y1", "text"))).alias("t"))
+    return g.select("item", "page", "line", F.round("y", 6).alias("y"), F.round("height", 6).alias("height"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
 
 
-def title_lines(lines: DataFrame, page_height: int, times: float = 1.6, most_gap: int = 150) -> DataFrame:
-    """(item, page, y, height, text): the block of large lines in the upper half of a page with the greatest average height;
-    lines are large at ``times`` the page's median, and a block ends at a gap of more than ``most_gap``."""
+def title_lines(words: DataFrame, times: float = 1.6, most_gap: int = 150) -> DataFrame:
+    """(item, page, y, height, text): the block of large lines in the upper half of a page whose lines are highest on average.
+
+    Lines are of words that begin in the upper half of what is printed; large are those of ``times`` the median height of the
+    page's words; a smaller line, or a gap of more than ``most_gap``, ends a block. The higher of equals wins."""
     page = W.partitionBy("item", "page")
-    big = lines.withColumn("_m", F.median("height").over(page)).where((F.col("height") >= times * F.col("_m")) & (F.col("y") < page_height / 2))
+    w = words.withColumn("_m", F.median(F.when(F.col("y2") > F.col("y1"), F.col("y2") - F.col("y1"))).over(page)).withColumn("_h", F.floor(F.max("y2").over(page) / 2))
+    sizes = w.groupBy("item", "page").agg(F.first("_m").alias("_m"))
+    lines = text_lines(w.where("y1 <= _h").drop("_m", "_h")).join(sizes, ["item", "page"])
     down = page.orderBy("y", "line")
-    runs = big.withColumn("_b", F.when(F.col("y") - F.lag("y").over(down) > most_gap, 1).otherwise(0)).withColumn("_r", F.sum("_b").over(down.rowsBetween(W.unboundedPreceding, 0)))
-    g = runs.groupBy("item", "page", "_r").agg(F.min("y").alias("y"), F.avg("height").alias("height"), F.array_sort(F.collect_list(F.struct("y", "line", "text"))).alias("t"))
+    lines = lines.withColumn("_big", F.col("height") >= times * F.col("_m"))
+    new = F.when(F.col("_big") & ~(F.coalesce(F.lag("_big").over(down), F.lit(False)) & (F.col("y") - F.lag("y").over(down) <= most_gap)), 1).otherwise(0)
+    runs = lines.withColumn("_b", new).withColumn("_r", F.sum("_b").over(down.rowsBetween(W.unboundedPreceding, 0))).where("_big")
+    g = runs.groupBy("item", "page", "_r").agg(F.min("y").alias("y"), F.round(F.avg("height"), 6).alias("height"), F.array_sort(F.collect_list(F.struct("y", "line", "text"))).alias("t"))
     best = g.groupBy("item", "page").agg(F.max(F.struct("height", (-F.col("y")).alias("n"), "t")).alias("b"))
     return best.select("item", "page", (-F.col("b.n")).alias("y"), F.col("b.height").alias("height"), F.array_join(F.transform("b.t", lambda x: x["text"]), " ").alias("text"))
 
 
-def title_in_window(pages: DataFrame, titles: DataFrame, width: int = 300) -> DataFrame:
-    """(item, leaf, best): the most distinct words of the item's title within any ``width`` characters of a leaf's text. Word
-    positions are rows; a range frame looks back, so no window of text is copied. ``pages``: item, leaf, text."""
-    spans = F.split("text", r"(?<=\s)")
-    at = F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<p:int,w:string>>").alias("o")), lambda a, w: F.struct((a["n"] + F.length(w)).alias("n"), F.array_append(a["o"], F.struct(a["n"].alias("p"), F.regexp_replace(F.lower(w), "[^a-z0-9]", "").alias("w"))).alias("o")), lambda a: a["o"])
-    w = pages.select("item", "leaf", F.inline(at))
-    t = titles.select("item", F.explode(F.array_distinct(tokens(F.col("title"), STOP_PLACE, 3))).alias("w")).distinct()
-    hit = w.join(t, ["item", "w"])
-    seen = F.size(F.collect_set("w").over(W.partitionBy("item", "leaf").orderBy("p").rangeBetween(-width, 0)))
-    return hit.withColumn("n", seen).groupBy("item", "leaf").agg(F.max("n").alias("best"))
-
-
 def table_rows(cells: DataFrame, key: str) -> DataFrame:
     """(key, table_pos, row, text): cells (key, table_pos, row, col, text) as rows of text with bars between; empty cells count."""
     g = cells.where("row IS NOT NULL").groupBy(key, "table_pos", "row").agg(F.array_sort(F.collect_list(F.struct("col", "pos", F.coalesce("text", F.lit("")).alias("text")))).alias("c"))

@@ -9,6 +9,7 @@ from foliant.operators import catalogue, contents, lookup, nested, pagination, p
 from foliant.plans.adapters import duck, view
 from foliant.session import table
 from foliant.sources import sinks
+from foliant.streaming import arrivals
 from foliant.sources.providers import TableProvider, enrich_all
 
 Spark = SparkSession
@@ -312,11 +313,14 @@ def delimited_groups(s: Spark, d: str) -> DataFrame:
 
 
 _LETTERS = "length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g'))"
+# every third page's texts cut to twelve characters, as on a page that is all but blank
+_THIN = "(SELECT * REPLACE (CASE WHEN page_no % 3 = 0 THEN substr(text, 1, 12) ELSE text END AS text) FROM layout_blocks)"
 
 
-@query(f"SELECT item, page_no, sum(CASE WHEN {_LETTERS} >= 5 THEN {_LETTERS} ELSE 0 END)::BIGINT AS n_chars FROM layout_blocks GROUP BY item, page_no HAVING n_chars < 50")
+@query(f"SELECT item, page_no, sum(CASE WHEN {_LETTERS} >= 5 THEN {_LETTERS} ELSE 0 END)::BIGINT AS n_chars FROM {_THIN} GROUP BY item, page_no HAVING n_chars < 50")
 def blank_pages(s: Spark, d: str) -> DataFrame:
-    return contents.blank_pages(table(s, d, "layout_blocks"))
+    b = table(s, d, "layout_blocks")
+    return contents.blank_pages(b.withColumn("text", F.when(F.col("page_no") % 3 == 0, F.substring("text", 1, 12)).otherwise(F.col("text"))))
 
 
 @query(f"WITH p AS (SELECT item, page_no, max(CASE WHEN label IN ('section_header', 'title') THEN bbox.t END) AS top, max(CASE WHEN label = 'text' AND {_LETTERS} >= 5 THEN bbox.b END) AS tb FROM layout_blocks GROUP BY item, page_no) SELECT item, page_no, coalesce(tb > top + 5, false) AS above FROM p WHERE top IS NOT NULL")
@@ -324,9 +328,23 @@ def content_above_title(s: Spark, d: str) -> DataFrame:
     return contents.content_above_title(table(s, d, "layout_blocks"))
 
 
-@query(r"SELECT DISTINCT item, page_no FROM layout_blocks WHERE length(text) <= 60 AND regexp_matches(text, '(?i)\b(contents|table\s+of\s+contents)\b')")
+# some blocks say that they head a list of contents
+_LISTED = "(SELECT * REPLACE (CASE WHEN block_id % 9 = 0 THEN 'TABLE OF\nCONTENTS.' WHEN block_id % 10 = 0 THEN 'Contents of this and other numbers' ELSE text END AS text) FROM layout_blocks)"
+
+
+def _listed(s: Spark, d: str) -> DataFrame:
+    k = F.col("block_id")
+    return table(s, d, "layout_blocks").withColumn("text", F.when(k % 9 == 0, "TABLE OF\nCONTENTS.").when(k % 10 == 0, "Contents of this and other numbers").otherwise(F.col("text")))
+
+
+@query(rf"SELECT DISTINCT item, page_no FROM {_LISTED} WHERE length(text) <= 60 AND coalesce(content_layer, '') <> 'furniture' AND regexp_matches(text, '(?i)\b(contents|table\s+of\s+contents)\b')")
 def contents_pages(s: Spark, d: str) -> DataFrame:
-    return contents.contents_pages(table(s, d, "layout_blocks"))
+    return contents.contents_pages(_listed(s, d))
+
+
+@query(rf"SELECT DISTINCT item, page_no FROM {_LISTED} WHERE label IN ('section_header', 'title', 'paragraph_header') AND trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) IN ('contents', 'table of contents')")
+def toc_pages(s: Spark, d: str) -> DataFrame:
+    return contents.toc_pages(_listed(s, d))
 
 
 @query(duck("model") + "SELECT item, entry_id, title, concat('n', greatest(0, start - 1)) AS first_leaf, concat('n', greatest(greatest(0, start - 1), stop - 1)) AS last_leaf, CASE WHEN first_page > 0 THEN concat(first_page, '-', CASE WHEN last_page > 0 THEN last_page ELSE first_page END) END AS printed, 0.9::DOUBLE AS confidence FROM model")
@@ -494,22 +512,21 @@ def toc_documents(s: Spark, d: str) -> DataFrame:
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def arrival_stream(s: Spark, d: str) -> DataFrame:
-    """All of the events through a file stream that ends when it has read them; written to the shared folder."""
-    import uuid
-
-    from foliant.session import shared_dir
+    """All of the events through a stream of files that ends when it has read them, each batch counted before it is written to
+    the shared folder; what the stream wrote is read back into a table of its own and removed."""
+    stream = arrivals.arrived(s, f"{d}/events.parquet*", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table(s, d, "events").schema), _day_counts, "arrivals")
+    return stream.groupBy("start", "event_type").agg(F.sum("n").alias("n"))
 
-    base = f"{shared_dir(s)}/foliant/stream-{uuid.uuid4().hex}"
-    schema = table(s, d, "events").schema
-    stream = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").parquet(f"{base}/out")
+def _day_counts(batch: DataFrame) -> DataFrame:
+    return batch.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
-    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    e = s.read.schema(schema).parquet(f"{base}/out")
-    return e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
+@query("SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY ALL")
+def windowed_requests(s: Spark, d: str) -> DataFrame:
+    """Requests by day and kind, counted by the streaming operator over a bounded table."""
+    e = table(s, d, "events")
+    return arrivals.request_counts(e, late="36500 days").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 # ---------------------------------------------------------------- placement
@@ -520,9 +537,9 @@ _WORDS3 = lambda c: _tokens(c, text.STOP_PLACE, 3)
 
 @query(
     f"""WITH a AS (SELECT item, block_id AS article_id, page_no AS hint, list_distinct({_WORDS3('text')}) AS tw FROM layout_blocks WHERE label = 'title' AND text IS NOT NULL AND item IS NOT NULL),
-b AS (SELECT item, block_id, page_no, label IN ('section_header', 'title') AS head, list_distinct({_WORDS3('text')}) AS bw FROM layout_blocks WHERE text IS NOT NULL AND page_no IS NOT NULL),
+b AS (SELECT item, block_id, page_no, label IN ('section_header', 'title', 'paragraph_header') AS head, list_distinct({_WORDS3('text')}) AS bw FROM layout_blocks WHERE text IS NOT NULL AND page_no IS NOT NULL),
 m AS (SELECT a.item, article_id, block_id, hint, page_no, coalesce(head, false) AS head, len(list_intersect(tw, bw)) AS sh, len(tw) AS nt, len(bw) AS nb FROM a JOIN b USING (item) WHERE list_has_any(tw, bw)),
-g AS (SELECT *, round(sh::DOUBLE / nt * CASE WHEN head THEN 1.5 ELSE 1.0 END - coalesce(abs(page_no - hint), 0) * 0.001, 6) AS score FROM m WHERE sh::DOUBLE / nt >= 0.5 AND (head OR sh::DOUBLE / nb >= 0.5))
+g AS (SELECT *, round(sh::DOUBLE / nt * CASE WHEN head THEN 1.5 ELSE 1.0 END * (0.5 + 0.5 * (sh::DOUBLE / nb)) - coalesce(abs(page_no - hint), 0) * 0.001, 6) AS score FROM m WHERE sh::DOUBLE / nt >= 0.5 AND (head OR sh::DOUBLE / nb >= 0.5))
 SELECT item, article_id, page_no AS page, score FROM g QUALIFY row_number() OVER (PARTITION BY item, article_id ORDER BY score DESC, block_id) = 1"""
 )
 def title_places(s: Spark, d: str) -> DataFrame:
@@ -595,37 +612,32 @@ def map_agreement(s: Spark, d: str) -> DataFrame:
 
 
 _WORDS = "(SELECT l_orderkey AS item, CAST(l_suppkey % 2 AS INT) AS page, CAST(l_partkey % 500 AS INT) AS x1, CAST(l_suppkey * 37 % 1000 AS INT) AS y1, CAST(l_suppkey * 37 % 1000 + 10 + l_linenumber % 4 * 8 AS INT) AS y2, concat(l_linestatus, l_linenumber) AS text FROM lineitem)"
-_LINES = f"""WITH w AS (SELECT *, CASE WHEN y1 - lag(y1) OVER z > 25 THEN 1 ELSE 0 END AS b FROM {_WORDS} WINDOW z AS (PARTITION BY item, page ORDER BY y1, x1, text)),
-r AS (SELECT *, sum(b) OVER (PARTITION BY item, page ORDER BY y1, x1, text ROWS UNBOUNDED PRECEDING) AS line FROM w),
-l AS (SELECT item, page, line::BIGINT AS line, min(y1) AS y, max(y2 - y1) AS height, string_agg(text, ' ' ORDER BY x1, y1, text) AS text FROM r GROUP BY item, page, line) """
+def _lines_sql(words: str) -> str:
+    return f"""lw AS (SELECT *, CASE WHEN y1 - lag(y1) OVER z > 25 THEN 1 ELSE 0 END AS b FROM {words} WINDOW z AS (PARTITION BY item, page ORDER BY y1, x1, text)),
+lr AS (SELECT *, sum(b) OVER (PARTITION BY item, page ORDER BY y1, x1, text ROWS UNBOUNDED PRECEDING) AS line FROM lw),
+l AS (SELECT item, page, line::BIGINT AS line, round(avg(y1), 6) AS y, round(avg(y2 - y1), 6) AS height, string_agg(text, ' ' ORDER BY x1, y1, text) AS text FROM lr GROUP BY item, page, line)"""
 
 
-def _lines(s: Spark, d: str) -> DataFrame:
+def _words(s: Spark, d: str) -> DataFrame:
     y = F.col("l_suppkey") * 37 % 1000
-    w = table(s, d, "lineitem").select(F.col("l_orderkey").alias("item"), (F.col("l_suppkey") % 2).cast("int").alias("page"), (F.col("l_partkey") % 500).cast("int").alias("x1"), y.cast("int").alias("y1"), (y + 10 + F.col("l_linenumber") % 4 * 8).cast("int").alias("y2"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("text"))
-    return placement.text_lines(w)
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("item"), (F.col("l_suppkey") % 2).cast("int").alias("page"), (F.col("l_partkey") % 500).cast("int").alias("x1"), y.cast("int").alias("y1"), (y + 10 + F.col("l_linenumber") % 4 * 8).cast("int").alias("y2"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("text"))
 
 
-@query(_LINES + "SELECT item, page, line, y, height, text FROM l")
+@query("WITH " + _lines_sql(_WORDS) + " SELECT item, page, line, y, height, text FROM l")
 def text_lines(s: Spark, d: str) -> DataFrame:
-    return _lines(s, d)
+    return placement.text_lines(_words(s, d))
 
 
 @query(
-    _LINES
-    + """, g AS (SELECT *, median(height) OVER (PARTITION BY item, page) AS m FROM l), k AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY item, page ORDER BY y, line) > 150 THEN 1 ELSE 0 END AS b FROM g WHERE height >= 1.6 * m AND y < 500),
-q AS (SELECT *, sum(b) OVER (PARTITION BY item, page ORDER BY y, line ROWS UNBOUNDED PRECEDING) AS r FROM k), t AS (SELECT item, page, r, min(y) AS y, avg(height) AS height, string_agg(text, ' ' ORDER BY y, line) AS text FROM q GROUP BY item, page, r)
+    f"""WITH v AS (SELECT *, median(CASE WHEN y2 > y1 THEN y2 - y1 END) OVER (PARTITION BY item, page) AS m, floor(max(y2) OVER (PARTITION BY item, page) / 2) AS h FROM {_WORDS}), up AS (SELECT * FROM v WHERE y1 <= h), {_lines_sql("up")},
+g AS (SELECT l.*, height >= 1.6 * m AS big FROM l JOIN (SELECT DISTINCT item, page, m FROM v) USING (item, page)),
+k AS (SELECT *, CASE WHEN big AND NOT (coalesce(lag(big) OVER w, false) AND y - lag(y) OVER w <= 150) THEN 1 ELSE 0 END AS b FROM g WINDOW w AS (PARTITION BY item, page ORDER BY y, line)),
+q AS (SELECT *, sum(b) OVER (PARTITION BY item, page ORDER BY y, line ROWS UNBOUNDED PRECEDING) AS r FROM k),
+t AS (SELECT item, page, r, min(y) AS y, round(avg(height), 6) AS height, string_agg(text, ' ' ORDER BY y, line) AS text FROM q WHERE big GROUP BY item, page, r)
 SELECT item, page, y, height, text FROM t QUALIFY row_number() OVER (PARTITION BY item, page ORDER BY height DESC, y) = 1"""
 )
 def title_lines(s: Spark, d: str) -> DataFrame:
-    return placement.title_lines(_lines(s, d), 1000)
-
-
-@query()
-def title_in_window(s: Spark, d: str) -> DataFrame:
-    b = table(s, d, "layout_blocks")
-    t = b.where("label IN ('title', 'section_header') AND text IS NOT NULL").select("item", F.col("text").alias("title"))
-    return placement.title_in_window(b.where("label = 'text' AND text IS NOT NULL").select("item", F.col("block_id").alias("leaf"), "text"), t)
+    return placement.title_lines(_words(s, d))
 
 
 @query()

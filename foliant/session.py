@@ -62,7 +62,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._foliant_path = path
     return out
@@ -71,10 +71,11 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
 def release(*written: DataFrame) -> None:
     """Remove the files of results of ``cut`` that nothing will read again."""
     for df in written:
-        _remove(df.sparkSession, df._foliant_path)
+        remove(df.sparkSession, df._foliant_path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is; not being able to is no error."""
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
