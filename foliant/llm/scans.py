@@ -321,12 +321,15 @@ def label_lines(blocks: DataFrame, model: dict | None = None) -> DataFrame:
     """
     logs = _logs(model or fit(blocks))
     at = F.coalesce(F.col("idx").cast("long"), F.col("block_id").cast("long"))
-    seen_by = lambda by: F.floor((F.col("idx") + by) / WINDOW).cast("long")
+    win = lambda i: F.floor(i / WINDOW).cast("long")
+    here = win(F.col("idx"))
+    # no block of an item has a number under 0, so there is no window before that of 0
+    before = F.when(F.col("idx") >= 0, F.greatest(win(F.col("idx") - HALO), F.lit(0))).otherwise(win(F.col("idx") - HALO))
     source = (
         blocks.where("block_id IS NOT NULL AND item IS NOT NULL")
         .select("item", F.col("block_id").cast("long").alias("block_id"), at.alias("idx"), "page_no", "label", "content_layer", "text", top_edge(F.col("bbox")).alias("top"))
-        .withColumn("win", F.explode(F.array_distinct(F.array(seen_by(0), seen_by(HALO), seen_by(-HALO)))))
-        .select("item", "win", (F.col("win") == seen_by(0)).alias("own"), "block_id", "idx", "page_no", "label", "content_layer", "text", "top")
+        .withColumn("win", F.explode(F.array_distinct(F.array(here, win(F.col("idx") + HALO), before))))
+        .select("item", "win", (F.col("win") == here).alias("own"), "block_id", "idx", "page_no", "label", "content_layer", "text", "top")
     )
     placed = source.repartition("item", "win").sortWithinPartitions("item", "win", "idx", "block_id")
 
@@ -335,7 +338,7 @@ def label_lines(blocks: DataFrame, model: dict | None = None) -> DataFrame:
         for b in batches:
             for item, win, o, block, i, *rest in zip(*(b.column(k).to_pylist() for k in range(b.num_columns))):
                 if (item, win) != now:
-                    if rows:
+                    if any(own):  # a window that only others look into is none
                         out += _label(now[0], rows, own, idx, logs)
                     now, rows, own, idx = (item, win), [], [], []
                     if len(out) > 2000:
@@ -344,7 +347,7 @@ def label_lines(blocks: DataFrame, model: dict | None = None) -> DataFrame:
                 rows.append((block, *rest))
                 own.append(o)
                 idx.append(i)
-        if rows:
+        if any(own):
             out += _label(now[0], rows, own, idx, logs)
         yield _batch(out)
 
