@@ -124,3 +124,25 @@ def miss_diagnosis(misses: DataFrame, works: DataFrame) -> DataFrame:
     for k, name in zip(keys, ("_issue", "_journal", "_any")):
         j = j.join(w.select(*k).distinct().withColumn(name, F.lit(True)), k, "left")
     return j.select("anchor_id", F.when(F.col("_issue"), "D").when(F.col("_journal"), "B").when(F.col("_any"), "C").otherwise("A").alias("cause"))
+
+
+def not_in_contents(anchors: DataFrame, works: DataFrame) -> DataFrame:
+    """Anchors (anchor_id, issn, t) whose journal's works (issn, t) have no such title; null titles and journals are left out."""
+    return anchors.where("issn IS NOT NULL AND t IS NOT NULL").join(works.select("issn", "t").distinct(), ["issn", "t"], "left_anti").select("anchor_id")
+
+
+def issue_sizes(anchors: DataFrame, top: int = 10) -> DataFrame:
+    """(what, value) of the journals' distinct issues (issn, volume, issue): issues, journals, most, median and mean of a journal,
+    and what the ``top`` largest have together."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    n = anchors.where("issn IS NOT NULL").select("issn", blank("volume").alias("v"), blank("issue").alias("i")).distinct().groupBy("issn").agg(F.count(F.lit(1)).alias("n"))
+    all_of = n.agg(F.sum("n").cast("double").alias("issues"), F.count(F.lit(1)).cast("double").alias("journals"), F.max("n").cast("double").alias("most"), F.median("n").alias("median"), F.round(F.avg("n"), 6).alias("mean"))
+    largest = n.orderBy(F.desc("n"), "issn").limit(top).agg(F.sum("n").cast("double").alias("value")).select(F.lit("top").alias("what"), "value")
+    return all_of.unpivot([], ["issues", "journals", "most", "median", "mean"], "what", "value").unionByName(largest)
+
+
+def decade_coverage(entries: DataFrame) -> DataFrame:
+    """(decade, entries, with_doi, pct): how many entries (yr, doi) of each decade have an identifier; pct rounded down."""
+    e = entries.where("yr IS NOT NULL")
+    n = F.count(F.lit(1))
+    return e.groupBy((F.col("yr") - F.col("yr") % 10).cast("int").alias("decade")).agg(n.alias("entries"), F.count("doi").alias("with_doi"), F.floor(F.count("doi") * 100 / n).cast("bigint").alias("pct"))

@@ -100,3 +100,27 @@ def page_runs(pages: DataFrame, key: str, page: str, gap: int = 1) -> DataFrame:
     p = pages.select(key, page).where(F.col(key).isNotNull() & F.col(page).isNotNull()).distinct()
     p = p.withColumn("_d", F.when(F.col(page) - F.lag(page).over(w) > gap, 1).otherwise(0)).withColumn("_r", F.sum("_d").over(w))
     return p.groupBy(key, "_r").agg(F.min(page).alias("first_page"), F.max(page).alias("last_page"), F.count(F.lit(1)).alias("n")).drop("_r")
+
+
+def top_mismatches(outcomes: DataFrame, most: int = 40) -> DataFrame:
+    """(asserted, observed, n): the ``most`` frequent pairs of differing labels; the limit is the feature."""
+    return outcomes.where("outcome = 'mismatch'").groupBy("asserted", "observed").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "asserted", "observed").limit(most)
+
+
+def assertion_flags(outcomes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(item, asserted, matches, mismatches, no_ocr, no_assertions, single_assertion, missing_start, missing_end): per item of
+    ``sizes`` (item, n_leaves) how its assertions fare; they are missing at the start if the first is beyond a tenth of the
+    leaves, and at the end if the last is before nine tenths."""
+    n = lambda k: F.count_if(F.col("outcome") == k)
+    g = outcomes.groupBy("item").agg(F.count(F.lit(1)).alias("asserted"), n("match").alias("matches"), n("mismatch").alias("mismatches"), n("no_ocr").alias("no_ocr"), F.min("leaf").alias("_lo"), F.max("leaf").alias("_hi"))
+    j = sizes.join(g, "item", "left").na.fill(0, ["asserted", "matches", "mismatches", "no_ocr"])
+    late = F.coalesce(F.col("_lo") * 10 > F.col("n_leaves"), F.lit(False))
+    early = F.coalesce(F.col("_hi") * 10 < F.col("n_leaves") * 9, F.lit(False))
+    return j.select("item", "asserted", "matches", "mismatches", "no_ocr", (F.col("asserted") == 0).alias("no_assertions"), (F.col("asserted") == 1).alias("single_assertion"), late.alias("missing_start"), early.alias("missing_end"))
+
+
+def counters(flags: DataFrame, by: list[str]) -> DataFrame:
+    """The flags and outcomes added up, by each of the columns ``by`` (the others null): one pass over grouping sets."""
+    flagged = [F.count_if(c).alias(f"n_{c}") for c in ("no_assertions", "single_assertion", "missing_start", "missing_end")]
+    added = [F.sum(c).alias(f"n_{c}") for c in ("asserted", "matches", "mismatches", "no_ocr")]
+    return flags.groupingSets([[c] for c in by], *by).agg(F.count(F.lit(1)).alias("n_items"), *flagged, *added)

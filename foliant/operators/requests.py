@@ -142,3 +142,14 @@ def retry_rows(df: DataFrame, keys: list[str], order: list[str], seconds: int) -
     w = W.partitionBy(*keys).orderBy(*order)
     gap = F.unix_timestamp(F.col(order[0]).cast("timestamp")) - F.unix_timestamp(F.lag(order[0]).over(w).cast("timestamp"))
     return df.withColumn("gap_s", gap).where(F.col("gap_s") <= seconds)
+
+
+def since(rows: DataFrame, time: str, cutoff: str) -> DataFrame:
+    """Rows from ``cutoff`` on. The comparison is with a literal of the column's own type, so it reaches the scan and skips files
+    and row groups that end before it."""
+    return rows.where(F.col(time) >= F.lit(cutoff).cast(rows.schema[time].dataType))
+
+
+def requests_of_items(rows: DataFrame, item: str) -> DataFrame:
+    """(item, n): how often each item was asked for."""
+    return rows.groupBy(item).agg(F.count(F.lit(1)).alias("n"))

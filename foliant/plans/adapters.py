@@ -44,8 +44,8 @@ def views(d: dict) -> dict[str, str]:
             UNION ALL SELECT item, CAST(1 + floor(ord / 20) AS INT), entry_id * 2 + 1, CAST(500 AS DOUBLE), CAST(700 - ord % 20 * 30 + entry_id % 5 AS DOUBLE), CAST(690 - ord % 20 * 30 AS DOUBLE), CAST(start_page_number AS VARCHAR(9)), 'body'
             FROM toc_entries WHERE item IS NOT NULL AND ord IS NOT NULL AND start_page_number > 0 AND entry_id % 4 <> 0""",
         # cells of tables that a text recogniser found
-        "grid": """SELECT item, CASE CAST(length(item) % 4 AS INT) WHEN 0 THEN 'tesseract 5.3' WHEN 1 THEN 'ABBYY FineReader 11' WHEN 2 THEN '' ELSE 'ocropus' END AS engine, CAST(floor(ord / 10) AS INT) AS table_pos, ord AS row, title AS text FROM toc_entries
-            UNION ALL SELECT item, CASE CAST(length(item) % 4 AS INT) WHEN 0 THEN 'tesseract 5.3' WHEN 1 THEN 'ABBYY FineReader 11' WHEN 2 THEN '' ELSE 'ocropus' END, CAST(floor(ord / 10) AS INT), ord, CAST(start_page_number AS VARCHAR(9)) FROM toc_entries""",
+        "grid": """SELECT item, CASE CAST(length(item) % 4 AS INT) WHEN 0 THEN 'tesseract 5.3' WHEN 1 THEN 'ABBYY FineReader 11' WHEN 2 THEN '' ELSE 'ocropus' END AS engine, CAST(floor(ord / 10) AS INT) AS table_pos, ord AS row, 0 AS col, entry_id AS pos, title AS text FROM toc_entries
+            UNION ALL SELECT item, CASE CAST(length(item) % 4 AS INT) WHEN 0 THEN 'tesseract 5.3' WHEN 1 THEN 'ABBYY FineReader 11' WHEN 2 THEN '' ELSE 'ocropus' END, CAST(floor(ord / 10) AS INT), ord, 1, entry_id, CAST(start_page_number AS VARCHAR(9)) FROM toc_entries""",
     }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession as Spark, functions as F
 
 from foliant.functions import text
-from foliant.operators import contents, layout as lo, pagination
+from foliant.operators import contents, layout as lo, pagination, placement
 from foliant.plans.adapters import duck, view
 from foliant.plans.reference import _tokens
 from foliant.plans.registry import registry
@@ -280,3 +280,8 @@ def stale_layouts(s: Spark, d: str) -> DataFrame:
     """Captions stand for tables and list items for their cells."""
     b = table(s, d, "layout_blocks").where("item IS NOT NULL")
     return lo.stale_layouts(b.groupBy("item").agg(F.count_if(F.col("label") == "caption").alias("tables")), b.where("label = 'list_item'").select("item", "text"))
+
+
+@query(duck("grid") + " SELECT item, table_pos, row, string_agg(coalesce(text, ''), ' | ' ORDER BY col, pos, coalesce(text, '')) AS text FROM grid WHERE row IS NOT NULL GROUP BY item, table_pos, row")
+def grid_rows(s: Spark, d: str) -> DataFrame:
+    return placement.table_rows(view(s, d, "grid"), "item")

@@ -104,7 +104,7 @@ def scanner_assertions(s: Spark, d: str) -> DataFrame:
 
 @query(duck("leaves") + _ASSERT + "SELECT asserted, observed, count(*) AS n FROM c WHERE outcome = 'mismatch' GROUP BY 1, 2 ORDER BY n DESC, asserted, observed LIMIT 40")
 def top_mismatch_pairs(s: Spark, d: str) -> DataFrame:
-    return _assertions(s, d).where("outcome = 'mismatch'").groupBy("asserted", "observed").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "asserted", "observed").limit(40)
+    return pagination.top_mismatches(_assertions(s, d))
 
 
 @query("SELECT item, min(p) AS first_page, max(p) AS last_page, count(*) AS n FROM (SELECT item, p, sum(b) OVER (PARTITION BY item ORDER BY p) AS r FROM (SELECT item, p, CASE WHEN p - lag(p) OVER (PARTITION BY item ORDER BY p) > 1 THEN 1 ELSE 0 END AS b FROM (SELECT DISTINCT item, start_page_index AS p FROM toc_entries WHERE item IS NOT NULL AND start_page_index IS NOT NULL))) GROUP BY item, r")
@@ -143,7 +143,7 @@ def log_dedup_first(s: Spark, d: str) -> DataFrame:
 
 @query("SELECT identifier, count(*) AS n FROM ill_anchors WHERE request_time >= TIMESTAMP '2024-04-01' GROUP BY identifier")
 def log_cutoff_items(s: Spark, d: str) -> DataFrame:
-    return table(s, d, "ill_anchors").where("request_time >= TIMESTAMP_NTZ '2024-04-01'").groupBy("identifier").agg(F.count(F.lit(1)).alias("n"))
+    return requests.requests_of_items(requests.since(table(s, d, "ill_anchors"), "request_time", "2024-04-01"), "identifier")
 
 
 @query("SELECT anchor_id, len(leaf_ranges) > 0 AND len(list_filter(leaf_ranges, lambda r: regexp_full_match(r[1], 'n[0-9]+') AND regexp_full_match(r[2], 'n[0-9]+'))) = len(leaf_ranges) AS leaf_shaped FROM ill_anchors WHERE leaf_ranges IS NOT NULL")
@@ -177,8 +177,10 @@ def operator_retries(s: Spark, d: str) -> DataFrame:
 
 @query()
 def cover_text_fields(s: Spark, d: str) -> DataFrame:
-    a = table(s, d, "ill_anchors").where("issn IS NOT NULL AND article_title IS NOT NULL")
-    t = F.concat_ws("\n", F.lit("Request on Friday, July 1st, 2022"), F.coalesce("journal_title", F.lit("?")), "issn", F.regexp_replace("article_title", r"\s+", " "), F.coalesce("article_author", F.lit("Anon.")), F.concat(F.lit("volume "), F.coalesce(F.trim("volume"), F.lit("0")), F.lit(" issue 1 year "), F.coalesce("yr", F.lit("0"))), F.lit(""), F.lit("Response from the library"))
+    a = table(s, d, "ill_anchors")
+    line = lambda c, other="": F.coalesce(F.regexp_replace(c, r"\s+", " "), F.lit(other))
+    numbers = F.concat(F.lit("volume "), line("volume", "0"), F.lit(" issue "), line("issue", "0"), F.lit(" year "), line("yr", "0"))
+    t = F.concat_ws("\n", F.lit("Request on Friday, July 1st, 2022"), line("journal_title", "?"), "issn", line("article_title"), line("article_author", "Anon."), numbers, F.concat(F.lit("pages "), F.col("journal_pages")), F.lit(""), F.lit("Response from the library"))
     return requests.parse_cover_text(a.select("anchor_id", t.alias("t")), "anchor_id", "t")
 
 
@@ -240,7 +242,9 @@ def title_normalize(s: Spark, d: str) -> DataFrame:
 
 @query()
 def title_ratio_join(s: Spark, d: str) -> DataFrame:
-    j = view(s, d, "known").join(view(s, d, "listed"), "item").where("a_start = e_start")
+    """Anchors and entries of an issue whose titles share a word, with the agreement and likeness of their titles."""
+    words = lambda df, c: df.withColumn("_w", F.explode(F.array_distinct(text.tokens(F.col(c)))))
+    j = words(view(s, d, "known").select("anchor_id", "item", "title"), "title").join(words(view(s, d, "listed").select("entry_id", "item", "e_title"), "e_title"), ["item", "_w"]).drop("_w").distinct()
     return j.select("anchor_id", "entry_id", text.title_match(F.col("title"), F.col("e_title")).alias("agree"), F.round(text.seq_ratio(text.normalize_title(F.col("title")), text.normalize_title(F.col("e_title"))), 6).alias("ratio"))
 
 
@@ -447,9 +451,8 @@ def miss_diagnosis(s: Spark, d: str) -> DataFrame:
 
 @query("WITH " + _MISS + " SELECT anchor_id FROM m WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.w_issn = m.issn AND w.t = m.t)")
 def miss_anti_join(s: Spark, d: str) -> DataFrame:
-    m = table(s, d, "ill_anchors").where("issn IS NOT NULL AND article_title IS NOT NULL").select("anchor_id", "issn", text.normalize_title(F.col("article_title")).alias("t"))
-    w = table(s, d, "toc_entries").select("issn", text.normalize_title(F.col("title")).alias("t"))
-    return m.join(w, ["issn", "t"], "left_anti").select("anchor_id")
+    m = table(s, d, "ill_anchors").select("anchor_id", "issn", text.normalize_title(F.col("article_title")).alias("t"))
+    return catalogue.not_in_contents(m, table(s, d, "toc_entries").select("issn", text.normalize_title(F.col("title")).alias("t")))
 
 
 @query("SELECT o_orderkey, o_custkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
@@ -462,16 +465,14 @@ def enrich_sources(s: Spark, d: str) -> DataFrame:
     return c.select("o_orderkey", "o_custkey", F.col("a_c_name").alias("c_name"), F.col("b_n_name").alias("n_name"), F.col("c_r_name").alias("r_name"))
 
 
-@query("SELECT count(DISTINCT concat(issn, '|', coalesce(volume, ''), '|', coalesce(issue, ''))) AS issues, count(DISTINCT issn) AS journals, (SELECT max(n) FROM (SELECT count(DISTINCT concat(coalesce(volume, ''), '|', coalesce(issue, ''))) AS n FROM ill_anchors WHERE issn IS NOT NULL GROUP BY issn)) AS most FROM ill_anchors WHERE issn IS NOT NULL")
+@query("WITH n AS (SELECT issn, count(DISTINCT concat(coalesce(volume, ''), chr(1), coalesce(issue, ''))) AS n FROM ill_anchors WHERE issn IS NOT NULL GROUP BY issn) SELECT 'issues' AS what, sum(n)::DOUBLE AS value FROM n UNION ALL SELECT 'journals', count(*) FROM n UNION ALL SELECT 'most', max(n) FROM n UNION ALL SELECT 'median', median(n) FROM n UNION ALL SELECT 'mean', round(avg(n), 6) FROM n UNION ALL SELECT 'top', (SELECT sum(n) FROM (SELECT n FROM n ORDER BY n DESC, issn LIMIT 10))")
 def distinct_issue_sizes(s: Spark, d: str) -> DataFrame:
-    a = table(s, d, "ill_anchors").where("issn IS NOT NULL").select("issn", F.concat_ws("|", F.coalesce("volume", F.lit("")), F.coalesce("issue", F.lit(""))).alias("i")).distinct()
-    return a.groupBy("issn").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("issues"), F.count(F.lit(1)).alias("journals"), F.max("n").alias("most"))
+    return catalogue.issue_sizes(table(s, d, "ill_anchors"))
 
 
 @query("SELECT (yr // 10 * 10)::INT AS decade, count(*) AS entries, count(doi) AS with_doi, (count(doi) * 100 // count(*))::BIGINT AS pct FROM toc_entries WHERE yr IS NOT NULL GROUP BY 1")
 def decade_coverage(s: Spark, d: str) -> DataFrame:
-    e = table(s, d, "toc_entries").where("yr IS NOT NULL")
-    return e.groupBy((F.col("yr") - F.col("yr") % 10).cast("int").alias("decade")).agg(F.count(F.lit(1)).alias("entries"), F.count("doi").alias("with_doi"), F.floor(F.count("doi") * 100 / F.count(F.lit(1))).cast("bigint").alias("pct"))
+    return catalogue.decade_coverage(table(s, d, "toc_entries"))
 
 
 # ---------------------------------------------------------------- lookup
@@ -690,13 +691,40 @@ def open_records(s: Spark, d: str) -> DataFrame:
     return table(s, d, "events").groupBy(k.alias("k"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT l_shipmode_kind AS centre, operator, sum(n)::BIGINT AS n FROM (SELECT CAST(l_suppkey % 5 AS INT) AS l_shipmode_kind, CAST(l_partkey % 7 AS INT) AS operator, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY GROUPING SETS ((l_shipmode_kind), (operator))")
+_FLAGS = duck("leaves") + _ASSERT + """, sz AS (SELECT item, max(leaf) + 3 AS n_leaves FROM leaves GROUP BY item), said AS (SELECT * FROM c WHERE leaf % 3 <> item % 3),
+g AS (SELECT item, count(*) AS asserted, count(*) FILTER (outcome = 'match') AS matches, count(*) FILTER (outcome = 'mismatch') AS mismatches, count(*) FILTER (outcome = 'no_ocr') AS no_ocr, min(leaf) AS lo, max(leaf) AS hi FROM said GROUP BY item),
+fl AS (SELECT item, coalesce(asserted, 0) AS asserted, coalesce(matches, 0) AS matches, coalesce(mismatches, 0) AS mismatches, coalesce(no_ocr, 0) AS no_ocr, coalesce(asserted, 0) = 0 AS no_assertions, coalesce(asserted, 0) = 1 AS single_assertion, coalesce(lo * 10 > n_leaves, false) AS missing_start, coalesce(hi * 10 < n_leaves * 9, false) AS missing_end FROM sz LEFT JOIN g USING (item))"""
+
+
+def _flags(s: Spark, d: str) -> DataFrame:
+    sizes = view(s, d, "leaves").groupBy("item").agg((F.max("leaf") + 3).alias("n_leaves"))
+    return pagination.assertion_flags(_assertions(s, d).where("leaf % 3 <> item % 3"), sizes)
+
+
+@query(_FLAGS + " SELECT * FROM fl")
+def assertion_flags(s: Spark, d: str) -> DataFrame:
+    return _flags(s, d)
+
+
+@query(_FLAGS + " SELECT centre, operator, count(*) AS n_items, count(*) FILTER (no_assertions) AS n_no_assertions, count(*) FILTER (single_assertion) AS n_single_assertion, count(*) FILTER (missing_start) AS n_missing_start, count(*) FILTER (missing_end) AS n_missing_end, sum(asserted)::BIGINT AS n_asserted, sum(matches)::BIGINT AS n_matches, sum(mismatches)::BIGINT AS n_mismatches, sum(no_ocr)::BIGINT AS n_no_ocr FROM (SELECT *, (item % 5)::INT AS centre, (item % 7)::INT AS operator FROM fl) GROUP BY GROUPING SETS ((centre), (operator))")
 def counters_by_centre_and_operator(s: Spark, d: str) -> DataFrame:
-    li = table(s, d, "lineitem").select((F.col("l_suppkey") % 5).cast("int").alias("centre"), (F.col("l_partkey") % 7).cast("int").alias("operator"))
-    return li.groupingSets([["centre"], ["operator"]], "centre", "operator").agg(F.count(F.lit(1)).alias("n"))
+    f = _flags(s, d).withColumns({"centre": (F.col("item") % 5).cast("int"), "operator": (F.col("item") % 7).cast("int")})
+    return pagination.counters(f, ["centre", "operator"])
 
 
 @query()
 def qa_report_lines(s: Spark, d: str) -> DataFrame:
-    e = table(s, d, "toc_entries").where("start_page_index IS NULL OR end_page_index < start_page_index")
-    return sinks.markdown_rows(e.select("item", "entry_id", "title", F.when(F.col("start_page_index").isNull(), "no start").otherwise("ends before it starts").alias("reason")))
+    e = _flagged(s, d)
+    return sinks.markdown_rows(e.where("reason IS NOT NULL").select("item", "entry_id", "title", "reason"))
+
+
+_FAULT = "CASE WHEN start_page_index IS NULL THEN 'no start' WHEN end_page_index IS NULL THEN 'no end' WHEN end_page_index < start_page_index THEN 'ends before it starts' WHEN title IS NULL OR trim(title) = '' THEN 'no title' WHEN title_match_score < 0.5 THEN 'weak title' END"
+
+
+def _flagged(s: Spark, d: str) -> DataFrame:
+    return table(s, d, "toc_entries").withColumn("reason", F.expr(_FAULT))
+
+
+@query(f"SELECT reason, count(*) AS entries, count(DISTINCT item) AS items FROM (SELECT item, {_FAULT} AS reason FROM toc_entries) WHERE reason IS NOT NULL GROUP BY ROLLUP (reason)")
+def qa_reasons(s: Spark, d: str) -> DataFrame:
+    return sinks.reason_summary(_flagged(s, d))

@@ -59,3 +59,9 @@ class DryRun:
         if "schema_version" not in json.loads(document) or not review.strip():
             raise ValueError(f"{item}: no schema_version or an empty review")
         self.sent.append((item, document))
+
+
+def reason_summary(entries: DataFrame) -> DataFrame:
+    """(reason, entries, items): how many entries (item, reason) were flagged, by reason and for all (reason null), in how many
+    items; those without a reason don't count."""
+    return entries.where("reason IS NOT NULL").rollup("reason").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("item").alias("items"))
