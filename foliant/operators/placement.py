@@ -157,3 +157,44 @@ def claim_blocks(titles: DataFrame, blocks: DataFrame, least_head: float = 0.7,
         return pd.DataFrame(out, columns=["item", "title_id", "block_id", "page"])
 
     return good.groupBy("item").applyInPandas(choose, "item string, title_id long, block_id long, page int")
+
+
+def first_starts(entries: DataFrame) -> DataFrame:
+    """(item, first_entry, first_article): the least start of an item's entries, and the start of the first in order that is an
+    article by its title; entries without a start don't count."""
+    from foliant.operators.contents import entry_kind
+
+    e = entries.where("start IS NOT NULL")
+    article = entry_kind(F.coalesce("title", F.lit(""))) == "article"
+    return e.groupBy("item").agg(F.min("start").alias("first_entry"), F.min_by(F.when(article, F.col("start")), F.when(article, F.struct("ord", "entry_id"))).alias("first_article"))
+
+
+def place_unplaced(articles: DataFrame, page_map: DataFrame, blocks: DataFrame, texts: DataFrame, margin: int = 200) -> DataFrame:
+    """(item, article_id, leaf, method): articles (item, article_id, title, page) that no printed page led to, by the first that
+    answers: the map in any case of letters ('page_map'), a heading with half of the title's words ('heading'), the printed page
+    by itself within ``margin`` characters of either end of a leaf's text ('margin'), the title's words in the upper third of a
+    leaf's text ('text': 0.4 of them from four words on, else 0.5). The best, then the earliest, leaf of equals.
+
+    Candidates meet on (item, word) or (item, label). ``page_map``: item, label, leaf; ``blocks``: item, page_no, label, text;
+    ``texts``: item, leaf, text.
+    """
+    words = lambda c: F.array_distinct(tokens(c, STOP_PLACE, 3))
+    key = ["item", "article_id"]
+    a = articles.select(*key, F.lower(F.trim("page")).alias("p"), words(F.col("title")).alias("tw"))
+    tw = a.where(F.size("tw") > 0).select(*key, F.size("tw").alias("n"), F.explode("tw").alias("w"))
+    by_map = a.join(page_map.select("item", F.lower(F.trim("label")).alias("p"), "leaf"), ["item", "p"]).groupBy(*key).agg(F.min("leaf").alias("l1"))
+
+    def best(parts: DataFrame, least, name: str) -> DataFrame:
+        met = tw.join(parts, ["item", "w"]).groupBy(*key, "leaf", "part").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+        good = met.where(F.col("k") >= least * F.col("n"))
+        return good.groupBy(*key).agg(F.min_by("leaf", F.struct((-F.col("k") / F.col("n")).alias("s"), "leaf", "part")).alias(name))
+
+    heads = blocks.where("label IN ('title', 'section_header') AND page_no IS NOT NULL AND text IS NOT NULL").select("item", (F.col("page_no") - 1).cast("int").alias("leaf"), F.col("block_id").alias("part"), F.explode(words(F.col("text"))).alias("w"))
+    ends = F.concat_ws(" ", F.substring("text", 1, margin), F.substring(F.col("text"), F.greatest(F.length("text") - margin + 1, F.lit(1)), F.lit(margin)))
+    seen = texts.select("item", F.col("leaf").cast("int").alias("leaf"), F.explode(F.array_distinct(F.split(F.lower(ends), r"[^a-z0-9]+"))).alias("p")).where("p <> ''")
+    by_margin = a.join(seen, ["item", "p"]).groupBy(*key).agg(F.min("leaf").alias("l3"))
+    third = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 3).cast("int"))
+    upper = texts.select("item", F.col("leaf").cast("int").alias("leaf"), F.lit(0).cast("bigint").alias("part"), F.explode(words(third)).alias("w"))
+    j = a.select(*key).join(by_map, key, "left").join(best(heads, F.lit(0.5), "l2"), key, "left").join(by_margin, key, "left").join(best(upper, F.when(F.col("n") >= 4, 0.4).otherwise(0.5), "l4"), key, "left")
+    method = F.when(F.col("l1").isNotNull(), "page_map").when(F.col("l2").isNotNull(), "heading").when(F.col("l3").isNotNull(), "margin").when(F.col("l4").isNotNull(), "text").otherwise("failed")
+    return j.select(*key, F.coalesce("l1", "l2", "l3", "l4").cast("int").alias("leaf"), method.alias("method"))

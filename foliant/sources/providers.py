@@ -24,7 +24,10 @@ class TableProvider:
     def enrich(self, rows: DataFrame) -> DataFrame:
         values = [c for c in self.cache.columns if c not in (self.key, "error")]
         good = self.cache.where("error IS NULL") if "error" in self.cache.columns else self.cache
-        answers = good.select(F.lower(self.key).alias("_k"), *[F.col(c).alias(f"{self.prefix}_{c}") for c in values]).dropDuplicates(["_k"])
+        answers = good.select(F.lower(self.key).alias("_k"), *[F.col(c).alias(f"{self.prefix}_{c}") for c in values])
+        names = [c for c in answers.columns if c != "_k"]
+        row = F.struct(*names)  # of several answers to a key the least, so that every run takes the same
+        answers = answers.groupBy("_k").agg(F.min_by(row, F.to_json(row)).alias("_r")).select("_k", *[F.col("_r")[c].alias(c) for c in names])
         return rows.withColumn("_k", F.lower(self.key)).join(answers, "_k", "left").drop("_k")
 
     def missing(self, rows: DataFrame) -> DataFrame:

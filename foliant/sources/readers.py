@@ -1,4 +1,5 @@
-"""Readers of the native file formats, each with an explicit schema; nothing is inferred."""
+"""Readers of the native file formats, each with an explicit schema; nothing is inferred. Records may be a file each, as they
+are made, or with ``lines`` a line each, as many small ones should be kept."""
 
 from __future__ import annotations
 
@@ -21,12 +22,12 @@ WORK_FIELDS = "DOI:string,title:array<string>,page:string,volume:string,issue:st
 ILL_LOG = "time string, username string, source_identifier string, action string, full_form string"
 
 
-def ill_log(spark: SparkSession, path: str) -> DataFrame:
+def ill_log(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """Request-log CSV with a quoted JSON column; rows carry their file and their place in it.
 
     The place is exact within a file that isn't split, which multi-line CSV never is.
     """
-    raw = spark.read.schema(ILL_LOG).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.schema(ILL_LOG).option("header", header).option("multiLine", True).option("escape", '"').csv(path)
     return raw.select("*", F.col("_metadata.file_name").alias("src_file"), F.monotonically_increasing_id().alias("src_ord"))
 
 
@@ -35,16 +36,16 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"identifier string, anchors array<{ANCHOR}>").json(path).select(F.col("identifier").alias("item"), F.posexplode("anchors").alias("ord", "a")).select("item", "ord", "a.*")
 
 
-def toc(spark: SparkSession, path: str) -> DataFrame:
+def toc(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per entry of contents files of either version: ranges under the new or the old name, first range as integers."""
-    t = spark.read.schema(TOC).option("multiLine", True).json(path)
+    t = spark.read.schema(TOC).option("multiLine", not lines).json(path)
     e = t.select("item", "issn", "volume", "issue", "year", F.coalesce("page_index_count", "leaf_count").alias("page_count"), F.posexplode("entries").alias("ord", "e"))
     ranges = F.coalesce("e.page_index_ranges", "e.leaf_ranges")
     return e.select("item", "issn", "volume", "issue", "year", "page_count", "ord", "e.id", "e.type", "e.title", "e.authors", ranges.alias("ranges"), leaf_int(ranges[0][0]).alias("start"), leaf_int(F.element_at(ranges[0], -1)).alias("stop"), "e.doi", "e.confidence", "e.evidence", "e.needs_qa")
 
 
-def model_toc(spark: SparkSession, path: str) -> DataFrame:
-    t = spark.read.schema(MODEL_TOC).option("multiLine", True).json(path)
+def model_toc(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    t = spark.read.schema(MODEL_TOC).option("multiLine", not lines).json(path)
     return t.select("item", F.posexplode("entries").alias("ord", "e")).select("item", "ord", "e.*")
 
 
@@ -53,19 +54,19 @@ def layout(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
 
 
-def page_numbers(spark: SparkSession, path: str) -> DataFrame:
-    t = spark.read.schema(PAGE_NUMBERS).option("multiLine", True).json(path)
+def page_numbers(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    t = spark.read.schema(PAGE_NUMBERS).option("multiLine", not lines).json(path)
     return t.select(F.col("identifier").alias("item"), F.posexplode("pages").alias("ord", "p")).select("item", "ord", F.col("p.leafNum").alias("leaf"), F.col("p.pageNumber").alias("label"), F.col("p.confidence").alias("confidence"))
 
 
-def scan_leaves(spark: SparkSession, path: str) -> DataFrame:
+def scan_leaves(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(file, leaf, accessible): the pages of scan XML; only the text 'true' makes a page visible."""
-    raw = spark.read.format("xml").option("rowTag", "page").schema("_leafNum int, addToAccessFormats string, pageType string").load(path)
+    raw = spark.read.format("xml").option("rowTag", "page").option("multiLine", not lines).schema("_leafNum int, addToAccessFormats string, pageType string").load(path)
     return raw.select(F.col("_metadata.file_name").alias("file"), F.col("_leafNum").alias("leaf"), (F.coalesce("addToAccessFormats", F.lit("")) == "true").alias("accessible"))
 
 
-def scan_assertions(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.format("xml").option("rowTag", "assertion").schema("leafNum int, pageNum string").load(path)
+def scan_assertions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    raw = spark.read.format("xml").option("rowTag", "assertion").option("multiLine", not lines).schema("leafNum int, pageNum string").load(path)
     return raw.select(F.col("_metadata.file_name").alias("file"), F.col("leafNum").alias("leaf"), F.col("pageNum").alias("asserted"))
 
 
@@ -94,7 +95,7 @@ def publications(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[first_string(F.col(c)).alias(c) for c in raw.columns])
 
 
-def xref_year(spark: SparkSession, path: str) -> DataFrame:
+def xref_year(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per work of cached service answers (items, error)."""
-    t = spark.read.schema(f"issn string, year int, error string, items array<struct<{WORK_FIELDS}>>").option("multiLine", True).json(path)
+    t = spark.read.schema(f"issn string, year int, error string, items array<struct<{WORK_FIELDS}>>").option("multiLine", not lines).json(path)
     return t.where("error IS NULL").select("issn", "year", F.inline("items"))
