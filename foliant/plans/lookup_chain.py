@@ -9,7 +9,7 @@ from foliant.operators import lookup, lookup_pages as lp, scoring
 from foliant.plans.adapters import duck, view
 from foliant.plans.reference import _overlap, _tokens
 from foliant.plans.registry import registry
-from foliant.session import table
+from foliant.session import cut, table
 
 QUERIES, SQL, query = registry()
 
@@ -167,7 +167,7 @@ def _selected(s: Spark, d: str) -> DataFrame:
     e = table(s, d, "toc_entries")
     listed = lookup.answers_from_contents(lookup.candidates(asked, view(s, d, "items")), asked, e.select("item", "entry_id", "title", F.col("start_page_number").alias("first_page"), F.col("end_page_number").alias("last_page")))
     listed = listed.join(e.select("entry_id", F.col("start_page_index").alias("start"), F.col("end_page_index").alias("stop")), "entry_id").drop("entry_id")
-    answers = listed.unionByName(answers_from_headings(s, d)).unionByName(answers_from_page_map(s, d))
+    answers = cut(listed.unionByName(answers_from_headings(s, d)).unionByName(answers_from_page_map(s, d)), "answers")  # read twice
     best = lookup.select_answer(answers)
     return best.join(answers.select("request_id", "item", "strategy", "start", "stop"), ["request_id", "item", "strategy"])
 
@@ -179,7 +179,7 @@ def lookup_select(s: Spark, d: str) -> DataFrame:
 
 def _outcomes(s: Spark, d: str) -> DataFrame:
     truth = _asking(s, d).select("request_id", F.col("identifier").alias("true_item"))
-    j = truth.join(_selected(s, d), "request_id", "left").withColumns({"true_start": F.col("start"), "true_stop": F.col("stop")})
+    j = cut(truth.join(_selected(s, d), "request_id", "left"), "looked-up").withColumns({"true_start": F.col("start"), "true_stop": F.col("stop")})
     return scoring.lookup_outcomes(j).join(j.select("request_id", "confidence"), "request_id")
 
 
