@@ -24,6 +24,10 @@ SIDE_MATCHED = 0.95  # matches to this share
 BAND = 16  # width of a diagonal band in words
 INTERRUPTION = 80  # words of a document that may stand between two parts of a passage
 COVERING = 5  # words of a tile that counts for coverage
+TILE = 3  # words of a tile at least
+GAP = 3  # words of an item that may be missing between neighbouring tiles of a passage
+HITS = 4_000_000  # seeds found in texts that are worked on at a time
+BOUND_WORDS = 1_000_000  # and words of items
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MAX_TEST_BYTES = 64 << 20
 
@@ -67,7 +71,11 @@ def rolling(ids: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class TestIndex:
-    """Seeds of all test items: sorted hashes with item number and place; only seeds that aren't stock wording."""
+    """Seeds of all test items, however many items share them: sorted hashes with item number and place. For the words of
+    all items in a row, item j from ``first[j]``: the number of the run of TILE words that begins there (``run_at``; 0 for
+    none, from 1 by ``runs``, the sorted hashes), whether the word is no stock wording (``own``) and neither that nor common
+    (``content``). ``usual`` says by word number which words are common, ``shared`` how many words from one on (up to
+    STOCK_RUN - 1) STOCK_ITEMS items have alike: a set phrase, if no stock wording."""
 
     ids: list[int]
     vocabulary: dict[str, int]
@@ -77,6 +85,13 @@ class TestIndex:
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    first: np.ndarray
+    runs: np.ndarray
+    run_at: np.ndarray
+    own: np.ndarray
+    content: np.ndarray
+    usual: np.ndarray
+    shared: np.ndarray
 
 
 def build_index(rows: list[tuple[int, str]]) -> TestIndex:
@@ -95,27 +110,44 @@ def build_index(rows: list[tuple[int, str]]) -> TestIndex:
 
     def spread(h: np.ndarray, n: np.ndarray) -> np.ndarray:
         """In how many items each hash occurs."""
-        pairs = np.unique(np.stack([h, n.astype(np.uint64)]), axis=1)
-        u, c = np.unique(pairs[0], return_counts=True)
-        return c[np.searchsorted(u, h)] if len(h) else np.zeros(0, int)
+        if not len(h):
+            return np.zeros(0, int)
+        order = np.argsort(h, kind="stable")  # items stay in order
+        same = h[order][1:] == h[order][:-1]
+        other = np.concatenate(([True], ~same | (n[order][1:] != n[order][:-1])))
+        begin = np.flatnonzero(np.concatenate(([True], ~same)))
+        out = np.empty(len(h), int)
+        out[order] = np.repeat(np.add.reduceat(other, begin, dtype=int), np.diff(np.append(begin, len(h))))
+        return out
 
     seen = np.zeros(len(vocabulary) + 1, int)
     for x in items:
         seen[np.unique(x)] += 1
-    common = [seen[x] >= max(STOCK_ITEMS, COMMON_ITEMS * len(items)) for x in items]
+    usual = seen >= max(STOCK_ITEMS, COMMON_ITEMS * len(items))
+    common = [usual[x] for x in items]
     h, n, p = table(STOCK_RUN)
     many = spread(h, n) >= STOCK_ITEMS
     stock = [np.zeros(len(x), bool) for x in items]
     for j, at in zip(n[many], p[many]):
         stock[j][at : at + STOCK_RUN] = True
+    first = np.concatenate(([0], np.cumsum([len(x) for x in items]))).astype(int)
+    h, n, p = table(TILE)
+    runs, number = np.unique(h, return_inverse=True)
+    run_at = np.zeros(first[-1], int)
+    run_at[first[n] + p] = number.ravel() + 1
+    shared = np.zeros(first[-1], int)
+    for k in range(TILE, STOCK_RUN):
+        h, n, p = table(k)
+        many = spread(h, n) >= STOCK_ITEMS
+        shared[first[n[many]] + p[many]] = k
+    own = ~np.concatenate([*stock, np.zeros(0, bool)])
+    content = own & ~np.concatenate([*common, np.zeros(0, bool)])
     h, n, p = table(SEED)
-    rare = spread(h, n) < STOCK_ITEMS
-    h, n, p = h[rare], n[rare], p[rare]
     order = np.argsort(h, kind="stable")
-    return TestIndex(ids, vocabulary, items, stock, common, h[order], n[order], p[order])
+    return TestIndex(ids, vocabulary, items, stock, common, h[order], n[order], p[order], first, runs, run_at, own, content, usual, shared)
 
 
-def tiles(a: np.ndarray, b: np.ndarray, least: int = 3) -> list[tuple[int, int, int]]:
+def tiles(a: np.ndarray, b: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: the longest common run of unmarked words is marked, again and again, down to ``least``.
     (place in a, place in b, length), runs found by extending equal Karp-Rabin hashes of ``least`` words."""
     ha, hb = rolling(a, least), rolling(b, least)
@@ -172,14 +204,15 @@ def _worth_tiling(index: TestIndex, ids: np.ndarray, at: np.ndarray, item: np.nd
     return good
 
 
-def longest_passage(found: list[tuple[int, int, int]], stock: np.ndarray, common: np.ndarray, gap: int = 3, interruption: int = INTERRUPTION) -> int:
+def longest_passage(found: list[tuple[int, int, int]], stock: np.ndarray, common: np.ndarray, gap: int = GAP, interruption: int = INTERRUPTION, shared: np.ndarray | None = None) -> int:
     """Words of the item, stock wording left out, in the longest chain of tiles in order.
 
     Neighbouring tiles belong together if at most ``gap`` words of the item are missing between them and about as many
     words of the document; once in a chain the document may have up to ``interruption`` words in between, if at least
     SIDE_LONG words match on both sides, or SIDE where nearly all words of the chain match. Of a chain's words the share
-    MATCHED must be in tiles, and of its matched words the share CONTENT must not be common ones, so that strings of set
-    phrases with other words between aren't taken for it. All chains are followed but those that an earlier start is as
+    MATCHED must be in tiles, and of its matched words the share CONTENT must not be common ones or in tiles that are set
+    phrases as a whole (``shared`` says for each word how many from there on are one), so that strings of set phrases with
+    other words between aren't taken for it. All chains are followed but those that an earlier start is as
     good as in every respect: what comes after adds the same to both.
     """
     best = 0
@@ -190,6 +223,8 @@ def longest_passage(found: list[tuple[int, int, int]], stock: np.ndarray, common
     states: list[dict[tuple[int, int], tuple[int, int, int]]] = []
     for k, (x, y, n) in enumerate(found):
         own, rare = int(weight[x + n] - weight[x]), int(content[x + n] - content[x])
+        if shared is not None and n <= shared[x]:
+            rare = 0
         mine = {(x, 0): (own, rare, 0)}
         for j in range(k - 1, -1, -1):
             px, py, pn = found[j]
@@ -221,6 +256,106 @@ def longest_passage(found: list[tuple[int, int, int]], stock: np.ndarray, common
     return best
 
 
+def _hits(index: TestIndex, of: np.ndarray, h: np.ndarray, at: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in the texts, text, number in the index) of the seeds ``h`` that occur among the seeds ``of`` of the index. More
+    than HITS come in several parts: the texts are halved, for one text the items. No pair of a text and an item is divided."""
+    hashes = index.hashes[of]
+    lo = np.searchsorted(hashes, h, "left")
+    hit = hashes[np.minimum(lo, len(hashes) - 1)] == h if len(hashes) else np.zeros(len(h), bool)
+    h, at, text, lo = h[hit], at[hit], text[hit], lo[hit]
+    if not len(h):
+        return
+    n = np.searchsorted(hashes, h, "right") - lo
+    total = int(n.sum())
+    if total > HITS and text[0] != text[-1]:
+        half = text[np.searchsorted(np.cumsum(n), total // 2)]
+        cut = np.searchsorted(text, half, "left") or np.searchsorted(text, half, "right")
+        for part in (slice(0, cut), slice(cut, None)):
+            yield from _hits(index, of, h[part], at[part], text[part])
+        return
+    if total > HITS and (low := index.item[of].min()) != (high := index.item[of].max()):
+        upper = index.item[of] > (low + high) // 2
+        for part in (of[~upper], of[upper]):
+            yield from _hits(index, part, h, at, text)
+        return
+    yield np.repeat(at, n), np.repeat(text, n), of[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+
+
+def _spread(begin: np.ndarray, n: int) -> np.ndarray:
+    """The places within ``n`` words that begin at the given ones."""
+    out = begin.copy()
+    for k in range(1, n):
+        out[k:] |= begin[:-k]
+    return out
+
+
+def _possible(index: TestIndex, run_at: np.ndarray, start: np.ndarray, text: np.ndarray, item: np.ndarray, least_words: int, least_coverage: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of a text and an item, in the order of texts: whether the item's words in runs of TILE that the text has
+    too (numbers ``run_at``) are enough for a passage, and whether for the coverage. Tiling the others can't give a leak:
+    tiles are made of such runs, a passage never goes on over more than GAP words of the item outside them, and
+    ``longest_passage`` asks for the shares MATCHED and CONTENT."""
+    passage, coverage = np.zeros(len(text), bool), np.zeros(len(text), bool)
+    seen = np.zeros(len(index.runs) + 1, bool)
+    length = index.first[item + 1] - index.first[item]
+    ends = np.cumsum(length)
+    least, lo = MATCHED * least_words, 0
+    while lo < len(text):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - length[lo] + BOUND_WORDS, "right")))
+        n = length[lo:hi]
+        begin = np.cumsum(n) - n
+        owner = np.repeat(np.arange(lo, hi), n)
+        word = np.arange(len(owner)) + np.repeat(index.first[item[lo:hi]] - begin, n)
+        number, run = index.run_at[word], np.zeros(len(owner), bool)
+        edges = np.flatnonzero(np.diff(text[lo:hi], prepend=-1, append=-1))
+        bounds = np.append(begin, len(owner))[edges]
+        for t, a, b in zip(text[lo:hi][edges[:-1]], bounds[:-1], bounds[1:]):
+            there = run_at[start[t] : max(start[t], start[t + 1] - TILE + 1)]
+            seen[there] = True
+            seen[0] = False
+            run[a:b] = seen[number[a:b]]
+            seen[there] = False
+        long = run.copy()  # COVERING words in such runs begin here
+        for k in range(1, COVERING - TILE + 1):
+            long[:-k] &= run[k:]
+        covered = _spread(run, TILE)  # no run begins in an item's last words
+        is_own = index.own[word]
+        own = np.add.reduceat(_spread(long, COVERING) & is_own, begin, dtype=int)
+        all_own = np.add.reduceat(is_own, begin, dtype=int)
+        coverage[lo:hi] = (own >= least_words) & (own >= least_coverage * all_own)
+        at = np.flatnonzero(covered)
+        if len(at):
+            apart = np.flatnonzero(np.concatenate(([True], (np.diff(at) > GAP + 1) | (np.diff(owner[at]) > 0))))
+            matched = np.add.reduceat(index.own[word[at]], apart, dtype=int)
+            content = np.add.reduceat(index.content[word[at]], apart, dtype=int)
+            passage[owner[at[apart[(matched >= least) & (content >= CONTENT * least)]]]] = True
+        lo = hi
+    return passage, coverage
+
+
+def _gathered(index: TestIndex, ids: np.ndarray, run_at: np.ndarray, j: int, least_words: int) -> bool:
+    """The same for the words of one text that runs of item ``j`` have too: whether enough for a passage stand together, or in
+    two places with no more than INTERRUPTION words between."""
+    mine = index.run_at[index.first[j] : index.first[j + 1]]
+    run = np.isin(run_at, mine[mine > 0])
+    at = np.flatnonzero(_spread(run, TILE))
+    if not len(at):
+        return False
+    least = MATCHED * least_words
+    apart = np.flatnonzero(np.concatenate(([True], np.diff(at) > GAP + 3)))  # a tile begins up to GAP + 2 words after the last
+    matched = np.diff(np.append(apart, len(at))).tolist()
+    content = np.add.reduceat(~index.usual[ids[at]], apart, dtype=int).tolist()
+    begin, end = at[apart].tolist(), at[np.append(apart[1:], len(at)) - 1].tolist()
+    for a in range(len(begin)):
+        if matched[a] >= least and content[a] >= CONTENT * least:
+            return True
+        for b in range(a + 1, len(begin)):
+            if begin[b] - end[a] > INTERRUPTION + 1:
+                break
+            if matched[a] + matched[b] >= least and content[a] + content[b] >= CONTENT * least:
+                return True
+    return False
+
+
 def search(index: TestIndex, texts: list[str], least_words: int, known: dict[str, int], least_coverage: float = 1.0) -> list[tuple[int, int, int, float]]:
     """(text number, item number, words, coverage) of the leaks in a batch of texts."""
     per_text, lengths = [], []
@@ -243,15 +378,22 @@ def search(index: TestIndex, texts: list[str], least_words: int, known: dict[str
         return []
     unknown = np.concatenate(([0], np.cumsum(ids == 0)))
     whole = np.flatnonzero(unknown[SEED:] == unknown[:-SEED])
-    lo = np.searchsorted(index.hashes, h[whole], "left")
-    hit = index.hashes[np.minimum(lo, len(index.hashes) - 1)] == h[whole]
-    whole, lo = whole[hit], lo[hit]
-    n = np.searchsorted(index.hashes, h[whole], "right") - lo
-    at = np.repeat(whole, n)
-    seed = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    text = np.searchsorted(start, at, "right") - 1
-    inside = at + SEED <= start[text + 1]
-    at, seed, text = at[inside], seed[inside], text[inside]
+    text = np.searchsorted(start, whole, "right") - 1
+    inside = whole + SEED <= start[text + 1]
+    whole, text = whole[inside], text[inside]
+    run_at = np.zeros(len(ids), int)
+    known_runs = np.flatnonzero(unknown[TILE:] == unknown[:-TILE])
+    r = rolling(ids, TILE)[known_runs]
+    number = np.minimum(np.searchsorted(index.runs, r), len(index.runs) - 1)
+    run_at[known_runs] = np.where(index.runs[number] == r, number + 1, 0)
+    out = []
+    for part in _hits(index, np.arange(len(index.hashes)), h[whole], whole, text):
+        out += _leaks(index, ids, start, run_at, *part, least_words, least_coverage)
+    return out
+
+
+def _leaks(index: TestIndex, ids: np.ndarray, start: np.ndarray, run_at: np.ndarray, at: np.ndarray, text: np.ndarray, seed: np.ndarray, least_words: int, least_coverage: float) -> list[tuple[int, int, int, float]]:
+    """``search`` for all pairs of the seeds found."""
     item = index.item[seed]
     pair, place = text * len(index.items) + item, index.place[seed]
     band = (at - start[text] - place) // BAND
@@ -260,17 +402,29 @@ def search(index: TestIndex, texts: list[str], least_words: int, known: dict[str
     many = c.copy()
     many[:-1] += np.where(beside, c[1:], 0)
     many[1:] = np.maximum(many[1:], np.where(beside, c[:-1] + c[1:], 0))
-    enough = many >= MIN_SEEDS
-    few = np.flatnonzero(~enough & (many >= NEAR_SEEDS))
+    enough, few = many >= MIN_SEEDS, (many >= NEAR_SEEDS) & (many < MIN_SEEDS)
+    pair_of = u >> 32
+    pairs = np.unique(pair_of[enough | few])
+    passage, coverage = _possible(index, run_at, start, *np.divmod(pairs, len(index.items)), least_words, least_coverage)
+    possible = np.isin(pair_of, pairs[passage | coverage])
+    few = np.flatnonzero(few & possible)
     one = first[few]  # the seeds of a band have one neighbourhood
     enough[few] = _worth_tiling(index, ids, at[one], item[one], place[one])
+    enough &= possible
+    covering = set(pairs[coverage].tolist())
+    pairs = np.unique(pair_of[enough])
+    sound = np.zeros(len(pairs), bool)
+    for k, (t, j) in enumerate(zip(*np.divmod(pairs, len(index.items)))):
+        text_run = run_at[start[t] : start[t + 1]].copy()
+        text_run[-TILE + 1 :] = 0
+        sound[k] = int(pairs[k]) in covering or _gathered(index, ids[start[t] : start[t + 1]], text_run, j, least_words)
+    keep = np.isin(pair_of, pairs[sound])[back.ravel()]
     good = enough[back.ravel()]
-    keep = np.isin(pair, pair[good])
-    pair, at, good = pair[keep], at[keep], good[keep]
+    pair, at, place, good = pair[keep], at[keep], place[keep], good[keep]
     if not len(at):
         return []
     order = np.argsort(pair, kind="stable")
-    pair, at, good = pair[order], at[order], good[order]
+    pair, at, place, good = pair[order], at[order], place[order], good[order]
     edges = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True])))
     out = []
     for a, b in zip(edges[:-1], edges[1:]):
@@ -282,15 +436,25 @@ def search(index: TestIndex, texts: list[str], least_words: int, known: dict[str
         order = np.argsort(at[a:b], kind="stable")
         seeds, sound = at[a:b][order] - start[t], good[a:b][order]
         cuts = np.flatnonzero(np.diff(seeds) > 2 * length) + 1
+        phrases, tiled = index.shared[index.first[j] : index.first[j + 1]], set()
         for g, any_good in zip(np.split(seeds, cuts), np.split(sound, cuts)):
             if not any_good.any():
                 continue
-            window = doc[max(0, g[0] - length - INTERRUPTION) : g[-1] + length + INTERRUPTION]
+            lo, hi = max(0, g[0] - length - INTERRUPTION), min(len(doc), g[-1] + length + INTERRUPTION)
+            tiled.add((lo, hi))
+            window = doc[lo:hi]
             found = tiles(words, np.where(window == 0, -1, window))
-            best = max(best, longest_passage(found, stock, index.common[j]))
+            best = max(best, longest_passage(found, stock, index.common[j], shared=phrases))
             for x, _, n in found:
                 if n >= COVERING:
                     covered[x : x + n] = True
+        # and what is around each diagonal alone: a longer run elsewhere may have taken words of a passage
+        diagonals = np.sort((at - place)[a:b][good[a:b]] - start[t])
+        for d in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > INTERRUPTION) + 1):
+            lo, hi = max(0, d[0] - INTERRUPTION), min(len(doc), d[-1] + length + INTERRUPTION)
+            if (lo, hi) not in tiled:
+                window = doc[lo:hi]
+                best = max(best, longest_passage(tiles(words, np.where(window == 0, -1, window)), stock, index.common[j], shared=phrases))
         own = int((~stock).sum())
         share = int((covered & ~stock).sum())
         if best >= least_words or (share >= least_words and share >= least_coverage * own):
@@ -304,9 +468,9 @@ def find_leaks(documents: DataFrame, tests: DataFrame, doc_id: str = "doc_id", i
     order, at least ``least_words`` too; stock wording counts for neither. Where only the coverage is enough, ``words`` is
     less than ``least_words``.
 
-    Seeds of five words are looked up in the index of the test items for whole texts; pairs with MIN_SEEDS
-    near one diagonal, or NEAR_SEEDS with NEAR matching words around one, are
-    tiled greedily. Case, punctuation, accents, spacing, words broken at line ends, characters that scanning confuses, a few
+    Seeds of five words are looked up in the index of the test items for whole texts, also those that many items share;
+    pairs with MIN_SEEDS near one diagonal, or NEAR_SEEDS with NEAR matching words around one, are tiled greedily, unless
+    upper bounds of what tiling can give (``_possible``, ``_gathered``) rule a leak out. Case, punctuation, accents, spacing, words broken at line ends, characters that scanning confuses, a few
     changed words and one interruption don't matter. Wording that several items share isn't counted.
 
     The test items are a stated, bounded query set: they are broadcast, and more than MAX_TEST_BYTES of them raise an

@@ -468,6 +468,61 @@ def test_leaks_in_parts_and_in_another_order(spark):
     assert got[4, 3].words < 20 and got[4, 3].coverage == 0.6
 
 
+def test_leaks_of_wording_whose_every_seed_is_shared(spark):
+    rnd = random.Random(29)
+    word = lambda: "".join(rnd.choice("bdgkmprsvz") + rnd.choice("aou") for _ in range(3))
+    say = lambda n: [word() for _ in range(n)]
+    passage = say(24)
+    parts = [passage[k : k + 9] for k in (0, 5, 10, 15)]  # in runs under STOCK_RUN, so no stock wording
+    sharing = [[w for p in parts for w in say(25) + p] + say(25) for _ in range(2)]
+    items = [say(20) + passage + say(20), *sharing, *(say(60) for _ in range(17))]
+    around = lambda w: " ".join(say(40) + w + say(40))
+    docs = spark.createDataFrame([(1, around(passage)), (2, around(passage[:12])), (3, around(parts[1]))], "doc_id long, text string")
+    t = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert [tuple(r)[:3] for r in leaks.find_leaks(docs, t).collect()] == [(1, 0, 24)]
+
+
+def test_set_phrases_with_other_words_between_are_no_leak():
+    rnd = random.Random(37)
+    word = lambda: "".join(rnd.choice("bdgkmprsvz") + rnd.choice("aou") for _ in range(3))
+    say = lambda n: [word() for _ in range(n)]
+    phrases = [say(8) for _ in range(4)]
+    filled = lambda: [w for p in phrases for w in p + say(1)]
+    items = [say(20) + filled() + say(20) for _ in range(3)] + [say(70) for _ in range(17)]  # in less than COMMON_ITEMS
+    index = leaks.build_index([(k, " ".join(w)) for k, w in enumerate(items)])
+    texts = [" ".join(say(30) + w + say(30)) for w in (filled(), items[0][20:56])]
+    assert [r[:2] for r in leaks.search(index, texts, 20, {}) if r[2] >= 20] == [(1, 0)]
+
+
+def test_a_set_phrase_elsewhere_takes_no_words_of_a_passage():
+    rnd = random.Random(41)
+    word = lambda: "".join(rnd.choice("bdgkmprsvz") + rnd.choice("aou") for _ in range(3))
+    say = lambda n: [word() for _ in range(n)]
+    phrase = say(8)
+    items = [say(20) + phrase + say(34) for _ in range(3)] + [say(62) for _ in range(17)]
+    index = leaks.build_index([(k, " ".join(w)) for k, w in enumerate(items)])
+    text = " ".join(say(30) + phrase + say(107) + items[0][21:42] + say(30))
+    assert [r[:3] for r in leaks.search(index, [text], 20, {})] == [(0, 0, 21)]
+
+
+def test_leaks_in_parts_and_without_bounds(monkeypatch):
+    rnd = random.Random(31)
+    phrases = [[f"w{rnd.randrange(30)}x" for _ in range(rnd.randint(3, 12))] for _ in range(12)]
+    say = lambda n: [w for _ in range(n) for w in (rnd.choice(phrases) if rnd.random() < 0.6 else [f"q{rnd.randrange(400)}z"])]
+    items = [say(14) for _ in range(20)]
+    texts = [" ".join(say(8) + rnd.choice(items)[5:45] + say(8)) for _ in range(60)]
+    index = leaks.build_index([(k, " ".join(w)) for k, w in enumerate(items)])
+    whole = leaks.search(index, texts, 20, {}, 0.5)
+    assert len(whole) >= 30
+    with monkeypatch.context() as m:
+        m.setattr(leaks, "HITS", 50)
+        m.setattr(leaks, "BOUND_WORDS", 300)
+        assert leaks.search(index, texts, 20, {}, 0.5) == whole
+    with monkeypatch.context() as m:
+        m.setattr(leaks, "_possible", lambda index, run_at, start, text, *_: (text >= 0, text >= 0))
+        assert leaks.search(index, texts, 20, {}, 0.5) == whole
+
+
 def test_no_core_module_imports_the_subpackage():
     from pathlib import Path
 
