@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +35,8 @@ MAX_TEST_BYTES = 64 << 20
 # Characters that scanning takes for one another; both sides are mapped before comparing
 _SAME = str.maketrans({"1": "l", "i": "l", "j": "l", "t": "l", "f": "l", "0": "o", "c": "o", "e": "o", "5": "s", "8": "b", "h": "b", "6": "b", "v": "u", "y": "u"})
 _GROUPS = (("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("nn", "m"))
-_BREAK = re.compile(r"(?<=\w)[­¬‐-]+\s*(?=\w)")
+_BREAK = re.compile(r"[\xad\xac\u2010-](?<=\w.)[\xad\xac\u2010-]*\s*(?=\w)")
+_FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -42,7 +44,7 @@ def words_of(text: str) -> list[str]:
     """Lower-case words without accents, punctuation and hyphens; a word broken at a line end is whole again."""
     if not text.isascii():
         text = text.replace("¬", "-").replace("­", "-").replace("‐", "-")
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = _FOREIGN.sub(lambda m: "".join(c for c in m[0] if not unicodedata.combining(c)), unicodedata.normalize("NFKD", text))
     if "-" in text:
         text = _BREAK.sub("", text)
     return _WORD.findall(text.lower())
@@ -161,27 +163,41 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int = TILE) -> list[tuple[int, in
     ib = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
     if not len(ia):
         return []
+    return _marked(_runs(ia, ib, least), len(a), len(b), least)
+
+
+def _runs(ia: np.ndarray, ib: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of the longest common runs that equal runs of ``least`` words at ``ia`` and ``ib``
+    make up, by their place in b."""
     diagonal = ib - ia
     order = np.lexsort((ia, diagonal))
     ia, ib, diagonal = ia[order], ib[order], diagonal[order]
     begin = np.flatnonzero(np.concatenate(([True], (diagonal[1:] != diagonal[:-1]) | (ia[1:] != ia[:-1] + 1))))
-    end = np.append(begin[1:], len(ia))
-    heap = [(-(int(e - s) + least - 1), int(ia[s]), int(ib[s])) for s, e in zip(begin, end)]
+    size = np.diff(np.append(begin, len(ia))) + least - 1
+    x, y = ia[begin], ib[begin]
+    order = np.argsort(y, kind="stable")
+    return list(zip(x[order].tolist(), y[order].tolist(), size[order].tolist()))
+
+
+def _marked(runs: list[tuple[int, int, int]], len_a: int, len_b: int, least: int, begin_b: int = 0) -> list[tuple[int, int, int]]:
+    """The tiles that greedy marking makes of the common runs of a and the ``len_b`` words of b from ``begin_b`` on."""
+    heap = [(-n, x, y) for x, y, n in runs]
     heapq.heapify(heap)
-    used_a, used_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    used_a, used_b = bytearray(len_a), bytearray(len_b)
     out = []
     while heap:
         size, x, y = heapq.heappop(heap)
-        size = -size
-        free = ~(used_a[x : x + size] | used_b[y : y + size])
-        if free.all():
-            used_a[x : x + size] = used_b[y : y + size] = True
+        size, z = -size, y - begin_b
+        if used_a.find(1, x, x + size) < 0 and used_b.find(1, z, z + size) < 0:
+            used_a[x : x + size] = used_b[z : z + size] = b"\1" * size
             out.append((x, y, size))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], free.astype(np.int8), [0]))))
-        for s, e in zip(edges[0::2], edges[1::2]):
-            if e - s >= least:
-                heapq.heappush(heap, (-int(e - s), x + int(s), y + int(s)))
+        elif size > least:
+            used = int.from_bytes(used_a[x : x + size]) | int.from_bytes(used_b[z : z + size])
+            s = 0
+            for free in used.to_bytes(size).split(b"\1"):
+                if len(free) >= least:
+                    heapq.heappush(heap, (-len(free), x + s, y + s))
+                s += len(free) + 1
     return sorted(out)
 
 
@@ -281,14 +297,6 @@ def _hits(index: TestIndex, of: np.ndarray, h: np.ndarray, at: np.ndarray, text:
     yield np.repeat(at, n), np.repeat(text, n), of[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
 
 
-def _spread(begin: np.ndarray, n: int) -> np.ndarray:
-    """The places within ``n`` words that begin at the given ones."""
-    out = begin.copy()
-    for k in range(1, n):
-        out[k:] |= begin[:-k]
-    return out
-
-
 def _possible(index: TestIndex, run_at: np.ndarray, start: np.ndarray, text: np.ndarray, item: np.ndarray, least_words: int, least_coverage: float) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs of a text and an item, in the order of texts: whether the item's words in runs of TILE that the text has
     too (numbers ``run_at``) are enough for a passage, and whether for the coverage. Tiling the others can't give a leak:
@@ -298,53 +306,64 @@ def _possible(index: TestIndex, run_at: np.ndarray, start: np.ndarray, text: np.
     seen = np.zeros(len(index.runs) + 1, bool)
     length = index.first[item + 1] - index.first[item]
     ends = np.cumsum(length)
+    own_sum, content_sum = (np.concatenate(([0], np.cumsum(x))) for x in (index.own, index.content))
     least, lo = MATCHED * least_words, 0
     while lo < len(text):
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - length[lo] + BOUND_WORDS, "right")))
         n = length[lo:hi]
         begin = np.cumsum(n) - n
-        owner = np.repeat(np.arange(lo, hi), n)
-        word = np.arange(len(owner)) + np.repeat(index.first[item[lo:hi]] - begin, n)
-        number, run = index.run_at[word], np.zeros(len(owner), bool)
+        word = np.arange(n.sum()) + np.repeat(index.first[item[lo:hi]] - begin, n)
+        number, run = index.run_at[word], np.zeros(len(word), bool)
         edges = np.flatnonzero(np.diff(text[lo:hi], prepend=-1, append=-1))
-        bounds = np.append(begin, len(owner))[edges]
+        bounds = np.append(begin, len(word))[edges]
         for t, a, b in zip(text[lo:hi][edges[:-1]], bounds[:-1], bounds[1:]):
             there = run_at[start[t] : max(start[t], start[t + 1] - TILE + 1)]
             seen[there] = True
             seen[0] = False
             run[a:b] = seen[number[a:b]]
             seen[there] = False
-        long = run.copy()  # COVERING words in such runs begin here
-        for k in range(1, COVERING - TILE + 1):
-            long[:-k] &= run[k:]
-        covered = _spread(run, TILE)  # no run begins in an item's last words
-        is_own = index.own[word]
-        own = np.add.reduceat(_spread(long, COVERING) & is_own, begin, dtype=int)
-        all_own = np.add.reduceat(is_own, begin, dtype=int)
-        coverage[lo:hi] = (own >= least_words) & (own >= least_coverage * all_own)
-        at = np.flatnonzero(covered)
-        if len(at):
-            apart = np.flatnonzero(np.concatenate(([True], (np.diff(at) > GAP + 1) | (np.diff(owner[at]) > 0))))
-            matched = np.add.reduceat(index.own[word[at]], apart, dtype=int)
-            content = np.add.reduceat(index.content[word[at]], apart, dtype=int)
-            passage[owner[at[apart[(matched >= least) & (content >= CONTENT * least)]]]] = True
+        at = np.flatnonzero(run)
+        runs = np.diff(np.searchsorted(at, np.append(begin, len(word))))
+        enough = runs * TILE >= least  # none has more than TILE words
+        at, owner = at[np.repeat(enough, runs)], np.repeat(np.arange(lo, hi)[enough], runs[enough])
         lo = hi
+        if not len(at):
+            continue
+        step, at = np.diff(at), word[at]
+        other = np.diff(owner) > 0  # no run begins in an item's last words
+        size = np.minimum(np.append(step, TILE), TILE)  # words up to the next run
+        apart = np.concatenate(([0], np.flatnonzero(other | (step > GAP + TILE)) + 1))
+        matched = np.add.reduceat(own_sum[at + size] - own_sum[at], apart)
+        content = np.add.reduceat(content_sum[at + size] - content_sum[at], apart)
+        passage[owner[apart[(matched >= least) & (content >= CONTENT * least)]]] = True
+        long = np.ones(max(len(at) - COVERING + TILE, 0), bool)  # COVERING words in such runs begin here
+        for k in range(COVERING - TILE):
+            long &= step[k : k + len(long)] == 1
+        long = np.flatnonzero(long)
+        if len(long):
+            at, owner = at[long], owner[long]
+            step, other = np.diff(at), np.diff(owner) > 0
+            size = np.append(np.where(other, COVERING, np.minimum(step, COVERING)), COVERING)
+            apart = np.concatenate(([0], np.flatnonzero(other) + 1))
+            own, owner = np.add.reduceat(own_sum[at + size] - own_sum[at], apart), owner[apart]
+            all_own = own_sum[index.first[item[owner] + 1]] - own_sum[index.first[item[owner]]]
+            coverage[owner[(own >= least_words) & (own >= least_coverage * all_own)]] = True
     return passage, coverage
 
 
-def _gathered(index: TestIndex, ids: np.ndarray, run_at: np.ndarray, j: int, least_words: int) -> bool:
-    """The same for the words of one text that runs of item ``j`` have too: whether enough for a passage stand together, or in
-    two places with no more than INTERRUPTION words between."""
-    mine = index.run_at[index.first[j] : index.first[j + 1]]
-    run = np.isin(run_at, mine[mine > 0])
-    at = np.flatnonzero(_spread(run, TILE))
+def _gathered(at: np.ndarray, unusual: np.ndarray, least_words: int) -> bool:
+    """The same for the words of one text in runs of TILE, which begin at ``at``, that the item has too: whether enough for a
+    passage stand together, or in two places with no more than INTERRUPTION words between. ``unusual`` sums up which words
+    of the text aren't common."""
     if not len(at):
         return False
     least = MATCHED * least_words
-    apart = np.flatnonzero(np.concatenate(([True], np.diff(at) > GAP + 3)))  # a tile begins up to GAP + 2 words after the last
-    matched = np.diff(np.append(apart, len(at))).tolist()
-    content = np.add.reduceat(~index.usual[ids[at]], apart, dtype=int).tolist()
-    begin, end = at[apart].tolist(), at[np.append(apart[1:], len(at)) - 1].tolist()
+    step = np.diff(at)
+    n = np.minimum(np.append(step, TILE), TILE)  # words up to the next run
+    apart = np.concatenate(([0], np.flatnonzero(step > GAP + TILE + 2) + 1))  # a tile begins up to GAP + 2 words after the last
+    matched = np.add.reduceat(n, apart).tolist()
+    content = np.add.reduceat(unusual[at + n] - unusual[at], apart).tolist()
+    begin, end = at[apart].tolist(), (at[np.append(apart[1:], len(at)) - 1] + TILE - 1).tolist()
     for a in range(len(begin)):
         if matched[a] >= least and content[a] >= CONTENT * least:
             return True
@@ -356,36 +375,66 @@ def _gathered(index: TestIndex, ids: np.ndarray, run_at: np.ndarray, j: int, lea
     return False
 
 
+def _within(runs: list[tuple[int, int, int]], places: list[int], lo: int, hi: int, length: int) -> list[tuple[int, int, int]]:
+    """What lies within the words ``lo`` to ``hi`` of the text of common runs with an item of ``length`` words; the runs are
+    in the order of their ``places`` in the text."""
+    out = []
+    for x, y, n in runs[bisect_left(places, lo - length) : bisect_left(places, hi)]:
+        cut = max(lo - y, 0)
+        n = min(y + n, hi) - y - cut
+        if n >= TILE:
+            out.append((x + cut, y + cut, n))
+    return out
+
+
+def _reaches(runs: list[tuple[int, int, int]], own: list[int], content: list[int], least_words: int) -> bool:
+    """Whether the item's words in the given runs, never more than GAP words apart, are enough for a passage; ``own`` and
+    ``content`` sum up the item's words of the kinds."""
+    least = MATCHED * least_words
+    end, matched, rare = 0, 0, 0
+    for x, _, n in sorted(runs):
+        if x > end + GAP:
+            matched = rare = 0
+        x, end, before = max(x, end), max(x + n, end), end
+        if end > before:
+            matched += own[end] - own[x]
+            rare += content[end] - content[x]
+            if matched >= least and rare >= CONTENT * least:
+                return True
+    return False
+
+
 def search(index: TestIndex, texts: list[str], least_words: int, known: dict[str, int], least_coverage: float = 1.0) -> list[tuple[int, int, int, float]]:
     """(text number, item number, words, coverage) of the leaks in a batch of texts."""
-    per_text, lengths = [], []
+    per_text, number = [], known.__getitem__
     for t in texts:
         w = words_of(t)
-        row = []
+        if len(known) > 300_000:
+            known.clear()
         for x in w:
-            v = known.get(x)
-            if v is None:
-                if len(known) > 300_000:
-                    known.clear()
-                v = known[x] = index.vocabulary.get(skeleton(x), 0)
-            row.append(v)
-        per_text.append(row)
-        lengths.append(len(row))
-    ids = np.fromiter((v for row in per_text for v in row), np.int64, sum(lengths))
+            if x not in known:
+                known[x] = index.vocabulary.get(skeleton(x), 0)
+        per_text.append(np.fromiter(map(number, w), np.int64, len(w)))
+    ids = np.concatenate([*per_text, np.zeros(0, np.int64)])
+    lengths = [len(x) for x in per_text]
     start = np.concatenate(([0], np.cumsum(lengths)))
-    h = rolling(ids, SEED)
-    if not len(h) or not len(index.hashes):
+    if len(ids) < SEED or not len(index.hashes):
         return []
     unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-    whole = np.flatnonzero(unknown[SEED:] == unknown[:-SEED])
-    text = np.searchsorted(start, whole, "right") - 1
-    inside = whole + SEED <= start[text + 1]
-    whole, text = whole[inside], text[inside]
     run_at = np.zeros(len(ids), int)
     known_runs = np.flatnonzero(unknown[TILE:] == unknown[:-TILE])
     r = rolling(ids, TILE)[known_runs]
     number = np.minimum(np.searchsorted(index.runs, r), len(index.runs) - 1)
     run_at[known_runs] = np.where(index.runs[number] == r, number + 1, 0)
+    shared = run_at > 0
+    whole = shared[: -SEED + 1].copy()  # the runs of a seed that the index has are there too
+    for k in range(1, SEED - TILE + 1):
+        whole &= shared[k : len(ids) - SEED + 1 + k]
+    whole = np.flatnonzero(whole)
+    text = np.searchsorted(start, whole, "right") - 1
+    inside = whole + SEED <= start[text + 1]
+    whole, text = whole[inside], text[inside]
+    h = rolling(ids, SEED)
     out = []
     for part in _hits(index, np.arange(len(index.hashes)), h[whole], whole, text):
         out += _leaks(index, ids, start, run_at, *part, least_words, least_coverage)
@@ -395,70 +444,94 @@ def search(index: TestIndex, texts: list[str], least_words: int, known: dict[str
 def _leaks(index: TestIndex, ids: np.ndarray, start: np.ndarray, run_at: np.ndarray, at: np.ndarray, text: np.ndarray, seed: np.ndarray, least_words: int, least_coverage: float) -> list[tuple[int, int, int, float]]:
     """``search`` for all pairs of the seeds found."""
     item = index.item[seed]
-    pair, place = text * len(index.items) + item, index.place[seed]
+    pair = text * len(index.items) + item
+    pairs, n = np.unique(pair, return_counts=True)
+    pairs = pairs[n >= NEAR_SEEDS]
+    passage, coverage = _possible(index, run_at, start, *np.divmod(pairs, len(index.items)), least_words, least_coverage)
+    possible = np.isin(pair, pairs[passage | coverage])
+    covering = set(pairs[coverage].tolist())
+    pair, item, at, text, place = pair[possible], item[possible], at[possible], text[possible], index.place[seed[possible]]
+    if not len(at):
+        return []
     band = (at - start[text] - place) // BAND
     u, first, back, c = np.unique(pair * (1 << 32) + band + (1 << 31), return_index=True, return_inverse=True, return_counts=True)
     beside = u[1:] == u[:-1] + 1  # seeds of a chain may lie on both sides of a band's edge
     many = c.copy()
     many[:-1] += np.where(beside, c[1:], 0)
     many[1:] = np.maximum(many[1:], np.where(beside, c[:-1] + c[1:], 0))
-    enough, few = many >= MIN_SEEDS, (many >= NEAR_SEEDS) & (many < MIN_SEEDS)
-    pair_of = u >> 32
-    pairs = np.unique(pair_of[enough | few])
-    passage, coverage = _possible(index, run_at, start, *np.divmod(pairs, len(index.items)), least_words, least_coverage)
-    possible = np.isin(pair_of, pairs[passage | coverage])
-    few = np.flatnonzero(few & possible)
+    enough, few = many >= MIN_SEEDS, np.flatnonzero((many >= NEAR_SEEDS) & (many < MIN_SEEDS))
     one = first[few]  # the seeds of a band have one neighbourhood
     enough[few] = _worth_tiling(index, ids, at[one], item[one], place[one])
-    enough &= possible
-    covering = set(pairs[coverage].tolist())
-    pairs = np.unique(pair_of[enough])
-    sound = np.zeros(len(pairs), bool)
-    for k, (t, j) in enumerate(zip(*np.divmod(pairs, len(index.items)))):
-        text_run = run_at[start[t] : start[t + 1]].copy()
-        text_run[-TILE + 1 :] = 0
-        sound[k] = int(pairs[k]) in covering or _gathered(index, ids[start[t] : start[t + 1]], text_run, j, least_words)
-    keep = np.isin(pair_of, pairs[sound])[back.ravel()]
-    good = enough[back.ravel()]
-    pair, at, place, good = pair[keep], at[keep], place[keep], good[keep]
+    keep = np.isin(pair, u[enough] >> 32)
+    pair, at, place, good = pair[keep], at[keep], place[keep], enough[back.ravel()][keep]
     if not len(at):
         return []
     order = np.argsort(pair, kind="stable")
     pair, at, place, good = pair[order], at[order], place[order], good[order]
-    edges = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True])))
-    out = []
+    edges = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True]))).tolist()
+    out, last = [], -1
+    seen = np.zeros(len(index.runs) + 1, bool)
     for a, b in zip(edges[:-1], edges[1:]):
         t, j = divmod(int(pair[a]), len(index.items))
-        doc, words, stock = ids[start[t] : start[t + 1]], index.items[j], index.stock[j]
+        covers = int(pair[a]) in covering
+        if t != last:
+            last, size = t, int(start[t + 1] - start[t])
+            text_run = run_at[start[t] : start[t + 1] - TILE + 1]
+            known_at = np.flatnonzero(text_run)
+            known_run = text_run[known_at]
+            unusual = np.concatenate(([0], np.cumsum(~index.usual[ids[start[t] : start[t + 1]]])))
+        item_run = index.run_at[index.first[j] : index.first[j + 1]]
+        seen[item_run] = True
+        alike = seen[known_run]
+        seen[item_run] = False
+        run, run_place = known_run[alike], known_at[alike]
+        if not (covers or _gathered(run_place, unusual, least_words)):
+            continue
+        words, stock = index.items[j], index.stock[j]
         length, best = len(words), 0
-        covered = np.zeros(length, bool)
         # windows around the seeds: a passage lies within the item's length and one interruption of its seeds
         order = np.argsort(at[a:b], kind="stable")
         seeds, sound = at[a:b][order] - start[t], good[a:b][order]
         cuts = np.flatnonzero(np.diff(seeds) > 2 * length) + 1
-        phrases, tiled = index.shared[index.first[j] : index.first[j + 1]], set()
+        around = []
         for g, any_good in zip(np.split(seeds, cuts), np.split(sound, cuts)):
-            if not any_good.any():
-                continue
-            lo, hi = max(0, g[0] - length - INTERRUPTION), min(len(doc), g[-1] + length + INTERRUPTION)
-            tiled.add((lo, hi))
-            window = doc[lo:hi]
-            found = tiles(words, np.where(window == 0, -1, window))
-            best = max(best, longest_passage(found, stock, index.common[j], shared=phrases))
-            for x, _, n in found:
-                if n >= COVERING:
-                    covered[x : x + n] = True
+            if any_good.any():
+                around.append((max(0, int(g[0]) - length - INTERRUPTION), min(size, int(g[-1]) + length + INTERRUPTION)))
         # and what is around each diagonal alone: a longer run elsewhere may have taken words of a passage
+        windows = dict.fromkeys(around)
         diagonals = np.sort((at - place)[a:b][good[a:b]] - start[t])
         for d in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > INTERRUPTION) + 1):
-            lo, hi = max(0, d[0] - INTERRUPTION), min(len(doc), d[-1] + length + INTERRUPTION)
-            if (lo, hi) not in tiled:
-                window = doc[lo:hi]
-                best = max(best, longest_passage(tiles(words, np.where(window == 0, -1, window)), stock, index.common[j], shared=phrases))
-        own = int((~stock).sum())
+            windows[max(0, int(d[0]) - INTERRUPTION), min(size, int(d[-1]) + length + INTERRUPTION)] = None
+        near = np.zeros(len(run), bool)
+        for window in windows:
+            near[slice(*np.searchsorted(run_place, window))] = True
+        run, run_place = run[near], run_place[near]
+        order = np.argsort(item_run, kind="stable")
+        item_run = item_run[order]
+        lo = np.searchsorted(item_run, run, "left")
+        n = np.searchsorted(item_run, run, "right") - lo
+        runs = _runs(order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)], np.repeat(run_place, n), TILE)
+        places = [y for _, y, _ in runs]
+        phrases = index.shared[index.first[j] : index.first[j + 1]]
+        own, content = (np.concatenate(([0], np.cumsum(x[index.first[j] : index.first[j + 1]]))).tolist() for x in (index.own, index.content))
+        for lo, hi in windows:
+            part = _within(runs, places, lo, hi, length)
+            if covers or _reaches(part, own, content, least_words):
+                found = windows[lo, hi] = _marked(part, length, hi - lo, TILE, lo)
+                best = max(best, longest_passage(found, stock, index.common[j], shared=phrases))
+        if best < least_words and not covers:
+            continue
+        covered = np.zeros(length, bool)
+        for lo, hi in around:
+            found = windows[lo, hi]
+            if found is None:
+                found = _marked(_within(runs, places, lo, hi, length), length, hi - lo, TILE, lo)
+            for x, _, n in found:
+                if n >= COVERING:
+                    covered[x : x + n] = True
         share = int((covered & ~stock).sum())
-        if best >= least_words or (share >= least_words and share >= least_coverage * own):
-            out.append((t, j, best, share / own if own else 0.0))
+        if best >= least_words or (share >= least_words and share >= least_coverage * own[-1]):
+            out.append((t, j, best, share / own[-1] if own[-1] else 0.0))
     return out
 
 
@@ -470,7 +543,7 @@ def find_leaks(documents: DataFrame, tests: DataFrame, doc_id: str = "doc_id", i
 
     Seeds of five words are looked up in the index of the test items for whole texts, also those that many items share;
     pairs with MIN_SEEDS near one diagonal, or NEAR_SEEDS with NEAR matching words around one, are tiled greedily, unless
-    upper bounds of what tiling can give (``_possible``, ``_gathered``) rule a leak out. Case, punctuation, accents, spacing, words broken at line ends, characters that scanning confuses, a few
+    upper bounds of what tiling can give (``_possible``, ``_gathered``, ``_reaches``) rule a leak out. Case, punctuation, accents, spacing, words broken at line ends, characters that scanning confuses, a few
     changed words and one interruption don't matter. Wording that several items share isn't counted.
 
     The test items are a stated, bounded query set: they are broadcast, and more than MAX_TEST_BYTES of them raise an

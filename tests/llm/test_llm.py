@@ -523,6 +523,25 @@ def test_leaks_in_parts_and_without_bounds(monkeypatch):
         assert leaks.search(index, texts, 20, {}, 0.5) == whole
 
 
+def test_only_windows_that_can_hold_a_passage_are_tiled(monkeypatch):
+    rnd = random.Random(41)
+    word = lambda: "".join(rnd.choice("bdgkmprsvz") + rnd.choice("aou") for _ in range(3))
+    say = lambda n: [word() for _ in range(n)]
+    items = [say(60) for _ in range(3)]
+    apart = items[0][:9] + say(2) + items[0][:9] + say(300) + items[0][9:18]  # 18 words of the item in two places far apart
+    texts = [" ".join(say(30) + w + say(30)) for w in [apart] * 8 + [items[1][10:40], items[2][:9] + say(3) + items[2][9:30]]]
+    index = leaks.build_index([(k, " ".join(w)) for k, w in enumerate(items)])
+    tilings, heapify = [], leaks.heapq.heapify
+    monkeypatch.setattr(leaks.heapq, "heapify", lambda heap: (tilings.append(len(heap)), heapify(heap)))
+    got = leaks.search(index, texts, 20, {})
+    assert [r[:3] for r in got] == [(8, 1, 30), (9, 2, 30)]
+    assert len(tilings) <= 4
+    monkeypatch.setattr(leaks, "_reaches", lambda *_: True)
+    monkeypatch.setattr(leaks, "_gathered", lambda *_: True)
+    monkeypatch.setattr(leaks, "_possible", lambda index, run_at, start, text, *_: (text >= 0, text >= 0))
+    assert leaks.search(index, texts, 20, {}) == got and len(tilings) > 10
+
+
 def test_no_core_module_imports_the_subpackage():
     from pathlib import Path
 
